@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..functions.columns import at_least, normal, row_hash, uniform
 from ..functions.quantiles import exact_medians, exact_quantiles, to_long
 from ..functions.sampling import cut_point
 from ..schemas import SENSORS, require
+from ..session import written
 from .sequences import apply_scaler, late_life, safe_scale, sequence_scaler, sequence_windows
 
 # Per anomaly type the number of sensors hit and the two parameters of its change.
@@ -163,14 +165,11 @@ def reconstruction_scores(
         windows = sequence_windows(apply_scaler(df, scaler, features), length, stride, label=mark, features=features)
         return windows.withColumn("vector", array_to_vector(F.flatten("window"))).drop("window")
 
-    fitted = vectors(train, None)
+    fitted = written(vectors(train, None), "fit-windows")
     model = PCA(k=components, inputCol="vector", outputCol="projected").fit(fitted)
     basis = model.pc.toArray()
     width = basis.shape[0]
-    mean = fitted.select(
-        F.posexplode(vector_to_array("vector")).alias("i", "x")
-    ).groupBy("i").agg(F.avg("x").alias("m"))
-    center = np.array([r["m"] for r in mean.orderBy("i").collect()]) if width else np.zeros(0)
+    center = fitted.select(Summarizer.mean(F.col("vector")).alias("m")).first()["m"].toArray()
 
     @F.pandas_udf("double")
     def rest(series: pd.Series) -> pd.Series:

@@ -69,10 +69,11 @@ def load_dataset(
 
 
 def newest(df: DataFrame) -> DataFrame:
-    """Rows of the most recently written file of a multi-folder read; the path decides between equal times."""
-    tagged = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("_time"))
-    latest = tagged.agg(F.max_by("_path", F.struct("_time", "_path")).alias("path")).scalar()
-    return tagged.where(F.col("_path") == latest).drop("_path", "_time")
+    """Rows of the most recently written run folder of a multi-folder read; the name decides between equal times."""
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "")
+    tagged = df.select("*", folder.alias("_folder"), F.col("_metadata.file_modification_time").alias("_time"))
+    latest = tagged.agg(F.max_by("_folder", F.struct("_time", "_folder")).alias("folder")).scalar()
+    return tagged.where(F.col("_folder") == latest).drop("_folder", "_time")
 
 
 def read_saved(spark: SparkSession, path: str, required: list[str], form: str = "parquet", schema=None) -> DataFrame:
