@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
-def attach_facts(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+def attach_facts(
+    rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, how: str = "left", salts: int = SALTS
+) -> DataFrame:
     """Join one row of facts per key to many rows.
 
-    Rows of one key are spread over `salts` partitions by their content and the facts are repeated for each.
-    Adaptive execution still turns this into a broadcast when the facts prove small enough at run time.
+    Rows of one key are spread over `salts` partitions by the column `spread` (one that varies inside a key)
+    and the facts are repeated for each. Adaptive execution still turns this into a broadcast when the facts
+    prove small enough at run time.
     """
-    others = [c for c in rows.columns if c not in keys] or keys
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

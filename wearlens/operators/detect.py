@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import at_least, normal, row_hash, uniform
 from ..functions.quantiles import exact_medians, exact_quantiles, to_long
-from ..functions.sampling import cut_point
+from ..functions.sampling import cut_point, up_to
 from ..schemas import SENSORS, require
 from ..session import written
-from .sequences import apply_scaler, late_life, safe_scale, sequence_scaler, sequence_windows
+from .sequences import apply_scaler, fitted_values, late_life, safe_scale, scaled, sequence_scaler, sequence_windows
 
 # Per anomaly type the number of sensors hit and the two parameters of its change.
 ANOMALY_TYPES = ("spike", "dropout", "drift_jump")
@@ -26,13 +26,6 @@ DRIFT = (10.0, 2.0)
 MAD_FACTOR = 1.4826
 
 
-def injection_cut(marked: DataFrame, fraction: float) -> Column:
-    """Scalar cut: late rows whose (hash, unit, cycle) is at most the cut are the injected ones."""
-    total = marked.agg(F.count(F.lit(1))).scalar()
-    wanted = F.greatest(F.bround(total * fraction).cast("long"), F.lit(1).cast("long"))
-    return cut_point(marked.where("is_late_life"), ["_hash", "unit", "cycle"], wanted)
-
-
 def inject_anomalies(
     holdout: DataFrame,
     fraction: float = 0.08,
@@ -51,8 +44,9 @@ def inject_anomalies(
     require(holdout, ["unit", "cycle", *sensors], "inject anomalies")
     u, c = F.col("unit"), F.col("cycle")
     marked = late_life(holdout).withColumn("_hash", row_hash(u, c, seed))
-    cut = injection_cut(marked, fraction)
-    chosen = F.col("is_late_life") & (F.struct("_hash", "unit", "cycle") <= cut)
+    order = ["_hash", "unit", "cycle"]
+    wanted = max(1, round(holdout.count() * fraction))
+    chosen = F.col("is_late_life") & up_to(order, cut_point(marked.where("is_late_life"), order, wanted))
     kind = F.element_at(F.array(*[F.lit(k) for k in ANOMALY_TYPES]), (row_hash(u, c, seed + 1) % 3 + 1).cast("int"))
     ranks = F.transform(F.sequence(F.lit(1), F.lit(len(sensors))), lambda i: row_hash(u, c, i + (seed + 1000)))
     count = F.coalesce(*[F.when(F.col("_kind") == k, F.lit(min(n, len(sensors)))) for k, n in ANOMALY_SENSORS.items()])
@@ -105,18 +99,10 @@ def mad_reference(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def reference_map(reference: DataFrame) -> Column:
-    """A fitted reference as one map value; it has one entry per feature."""
-    entry = F.struct("feature", F.struct("center", "scale"))
-    return reference.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-
-
 def distance_score(reference: DataFrame, features: list[str]) -> Column:
     """Root mean square of the standardized features."""
-    known = reference_map(reference)
-    squares = [
-        F.pow((F.col(f).cast("double") - known[f]["center"]) / known[f]["scale"], F.lit(2)) for f in features
-    ]
+    known = fitted_values(reference)
+    squares = [F.pow(scaled(f, known), F.lit(2)) for f in features]
     return F.sqrt(F.aggregate(F.array(*squares), F.lit(0.0), lambda a, x: a + x) / len(features))
 
 
@@ -159,7 +145,7 @@ def reconstruction_scores(
     A linear autoencoder: windows scaled on the train windows, projected on their leading principal
     components; the error is the mean squared rest. The fit exchanges one (length * features)^2 matrix.
     """
-    scaler = sequence_scaler(train, features, length, stride)
+    scaler = fitted_values(sequence_scaler(train, features, length, stride))
 
     def vectors(df: DataFrame, mark: str | None) -> DataFrame:
         windows = sequence_windows(apply_scaler(df, scaler, features), length, stride, label=mark, features=features)

@@ -17,3 +17,11 @@ def with_blend(df: DataFrame, first: str, second: str, first_weight: float = 0.7
             "prophet_fallback_used": F.col(second).isNull().cast("int"),
         }
     )
+
+
+def cycle_curve(windows: DataFrame, target: str, cycle: str = "target_cycle") -> DataFrame:
+    """Mean target per cycle on a daily axis that starts on 2000-01-01 with cycle 1; fails on cycles below 1."""
+    failed = F.raise_error(F.lit("Cycle values must be at least 1.")).cast("date")
+    day = F.when(F.col(cycle) >= 1, F.date_add(F.lit("2000-01-01").cast("date"), (F.col(cycle) - 1).cast("int")))
+    mean = windows.groupBy(cycle).agg(F.avg(F.col(target).cast("double")).alias("y"))
+    return mean.select(F.coalesce(day, failed).alias("ds"), cycle, "y")

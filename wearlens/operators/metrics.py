@@ -176,9 +176,9 @@ def calibration(df: DataFrame, target: str, prediction: str, bins: int = 10) ->
     count = max(2, min(bins, seen))
     long = rows.select(F.lit("p").alias("feature"), F.col("p").alias("value"))
     inner = exact_quantiles(long, [i / count for i in range(count + 1)])
-    edges = inner.agg(F.array_sort(F.collect_set("quantile")).alias("edges")).scalar()
-    # Right-closed bins: the number of inner edges below the value; the lowest edge belongs to the first bin.
-    place = F.size(F.filter(F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))), lambda e: e < F.col("p")))
+    # At most bins + 1 numbers. Right-closed bins: the number of inner edges below the value.
+    edges = sorted({r["quantile"] for r in inner.collect()})
+    place = sum((F.col("p") > e).cast("int") for e in edges[1:-1]) if len(edges) > 2 else F.lit(0)
     gaps = rows.withColumn("bin", place).groupBy("bin").agg(F.abs(F.avg("y") - F.avg("p")).alias("gap"))
     enough = F.count(F.lit(1)) >= 2
     return rows.agg(

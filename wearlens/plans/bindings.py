@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import attach_facts
 from ..functions.ordered import CYCLE_BUCKET, DAY, row_index
 from ..schemas import SENSORS, SETTINGS
 
@@ -41,7 +42,7 @@ def unit_cycles(spark: SparkSession, folder: str) -> DataFrame:
     """Readings by unit with the remaining life `rul` and a straight-line `prediction` of it."""
     rows = readings(spark, folder).withColumn("row_index", F.col("cycle"))
     lives = raw_readings(spark, folder).groupBy("unit").agg(F.count(F.lit(1)).alias("life"))
-    known = rows.join(lives, "unit").withColumn("rul", F.col("life") - F.col("cycle")).drop("life")
+    known = attach_facts(rows, lives, ["unit"], "cycle", "inner").withColumn("rul", F.col("life") - F.col("cycle")).drop("life")
     # Slope and intercept over all units follow from the life lengths alone: cycles are 1..life.
     n = F.sum("life")
     cycle_sum = F.sum(F.expr("life * (life + 1) / 2"))

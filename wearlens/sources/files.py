@@ -36,7 +36,7 @@ def read_cycles(
 
 def read_targets(spark: SparkSession, paths: str | list[str], names: str | None = None) -> DataFrame:
     """`unit, rul`: the unit is the 1-based line number inside its (small) file."""
-    rows = spark.read.option("wholetext", True).text(paths)
+    rows = spark.read.text(paths, wholetext=True)
     named = [_file_part(names, 1).alias("fd")] if names else []
     lines = F.split(F.rtrim("value", F.lit(" \r\n\t")), r"\r?\n")
     listed = rows.select(*named, F.posexplode(lines).alias("place", "line"))
