@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect as de
+from ..operators import forest as fo
 from ..operators import metrics as me
+from ..operators import neighbours as ne
 from ..operators import profile as po
 from ..operators import sequences as se
 from ..schemas import SENSORS, SETTINGS
@@ -428,13 +430,13 @@ def _append(spark, folder):
 @query(
     "paired_changes_joi7",
     f"WITH {_injected_sql(True)}, l AS ({q.unpivot('app', ['unit', 'cycle', 'is_anomaly', 'injected_anomaly_type'], SENSORS)}), "
-    "j AS (SELECT a.unit, a.cycle, a.injected_anomaly_type, a.sensor, c.value AS clean, a.value AS anomalous, round(a.value - c.value, 4) AS delta, "
+    "j AS (SELECT a.unit, a.cycle, a.injected_anomaly_type, a.sensor, c.value AS clean, a.value AS anomalous, a.value - c.value AS delta, "
     "row_number() OVER (PARTITION BY a.unit, a.cycle ORDER BY abs(a.value - c.value) DESC, a.sensor) AS rank FROM l a JOIN l c USING (unit, cycle, sensor) WHERE a.is_anomaly = 1 AND c.is_anomaly = 0) "
-    "SELECT unit, cycle, injected_anomaly_type, sensor, round(delta, 4) AS delta FROM j WHERE rank <= 3",
+    "SELECT unit, cycle, injected_anomaly_type, sensor, round(delta, 7) AS delta FROM j WHERE rank <= 3",
 )
 def _paired(spark, folder):
     pairs = de.paired_changes(rounded(_injected(spark, folder, True), 5), SENSORS, top=3)
-    return pairs.select("unit", "cycle", "injected_anomaly_type", "sensor", F.round("delta", 4).alias("delta"))
+    return pairs.select("unit", "cycle", "injected_anomaly_type", "sensor", F.round("delta", 7).alias("delta"))
 
 
 def _distance(map_sql: str, source: str, features: list[str], name: str) -> str:
@@ -475,6 +477,49 @@ def _reconstruction(spark, folder):
     return de.reconstruction_scores(train, _injected(spark, folder, False), SENSORS, length=10, stride=2)[0]
 
 
+_LOF_K = 10
+
+
+def _lof_sql(k: int) -> str:
+    return (
+        "WITH t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), e AS (SELECT vec_id, list_transform(v, lambda x: x * 1.25) AS v FROM t), "
+        "tn AS (SELECT a.vec_id AS q, b.vec_id AS r, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS p FROM t a JOIN t b ON a.vec_id <> b.vec_id), "
+        f"kt AS (SELECT * FROM tn WHERE p <= {k}), kd AS (SELECT q AS r, max(d) AS reach FROM kt GROUP BY 1), "
+        "td AS (SELECT q, 1.0 / (avg(greatest(d, reach)) + 1e-10) AS lrd FROM kt JOIN kd USING (r) GROUP BY 1), "
+        "en AS (SELECT a.vec_id AS q, b.vec_id AS r, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS p FROM e a CROSS JOIN t b), "
+        f"ke AS (SELECT * FROM en WHERE p <= {k}), "
+        "ed AS (SELECT q, 1.0 / (avg(greatest(d, reach)) + 1e-10) AS lrd FROM ke JOIN kd USING (r) GROUP BY 1), "
+        "s AS (SELECT ke.q, avg(td.lrd) AS mean FROM ke JOIN td ON ke.r = td.q GROUP BY 1) "
+    )
+
+
+def _stretched(spark, folder) -> tuple[DataFrame, DataFrame]:
+    train = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return train, train.withColumn("v", F.transform("v", lambda x: x * 1.25))
+
+
+@query("nearest_join_joi9", _lof_sql(5) + "SELECT q, r AS ref, p AS place, round(d, 6) AS dist FROM ke")
+def _nearest(spark, folder):
+    train, asked = _stretched(spark, folder)
+    refs = ne.distinct_vectors(train, "vec_id", "v")
+    out = ne.nearest(asked.select(F.col("vec_id").alias("q"), F.col("v").alias("vec")), refs, 5)
+    return out.select("q", "ref", (F.col("place") + 1).alias("place"), F.round("dist", 6).alias("dist"))
+
+
+@query("local_outlier_factor_ano5", _lof_sql(_LOF_K) + "SELECT s.q AS vec_id, round(mean / lrd, 5) AS local_outlier_factor_score FROM s JOIN ed USING (q)")
+def _lof(spark, folder):
+    train, asked = _stretched(spark, folder)
+    return rounded(ne.local_outlier_factor(train, asked, "vec_id", "v", _LOF_K), 5)
+
+
+@query("isolation_forest_ano4")
+def _forest(spark, folder):
+    train = matrix(spark, folder)
+    rows = _injected(spark, folder, False)
+    out = fo.isolation_scores(train, rows, "vec_id", SENSORS)
+    return out.select("unit", "cycle", "is_anomaly", "isolation_forest_score")
+
+
 # --- evaluation ------------------------------------------------------------------------------------
 
 
