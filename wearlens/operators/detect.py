@@ -48,27 +48,36 @@ def inject_anomalies(
     wanted = max(1, round(holdout.count() * fraction))
     chosen = F.col("is_late_life") & up_to(order, cut_point(marked.where("is_late_life"), order, wanted))
     kind = F.element_at(F.array(*[F.lit(k) for k in ANOMALY_TYPES]), (row_hash(u, c, seed + 1) % 3 + 1).cast("int"))
-    ranks = F.transform(F.sequence(F.lit(1), F.lit(len(sensors))), lambda i: row_hash(u, c, i + (seed + 1000)))
+    places = F.sequence(F.lit(1), F.lit(len(sensors)))
     count = F.coalesce(*[F.when(F.col("_kind") == k, F.lit(min(n, len(sensors)))) for k, n in ANOMALY_SENSORS.items()])
+    spread = DROPOUT[1] - DROPOUT[0]
+    drawn = {
+        "_ranks": F.transform(places, lambda i: row_hash(u, c, i + (seed + 1000))),
+        "_noise": F.transform(places, lambda i: normal(u, c, i + (seed + 2000))),
+        "_share": F.transform(places, lambda i: DROPOUT[0] + spread * uniform(u, c, i + (seed + 3000))),
+    }
+    # One pair per sensor: a factor and an amount to add, (1, 0) for a sensor that stays.
+    change = (
+        F.when(F.col("_kind") == "spike", F.transform("_noise", lambda z: F.struct(F.lit(1.0).alias("by"), (SPIKE[0] + SPIKE[1] * z).alias("add"))))
+        .when(F.col("_kind") == "dropout", F.transform("_share", lambda z: F.struct(z.alias("by"), F.lit(0.0).alias("add"))))
+        .otherwise(F.transform("_noise", lambda z: F.struct(F.lit(1.0).alias("by"), (DRIFT[0] + DRIFT[1] * z).alias("add"))))
+    )
+    values = F.array(*[F.col(s).cast("double") for s in sensors])
+    moved = F.transform(
+        F.arrays_zip("_values", "_change", "_ranks"),
+        lambda t: F.when(t["_ranks"] <= F.col("_limit"), t["_values"] * t["_change"]["by"] + t["_change"]["add"]).otherwise(t["_values"]),
+    )
     tagged = (
         marked.withColumn("_chosen", F.coalesce(chosen, F.lit(False)))
         .withColumn("_kind", F.when(F.col("_chosen"), kind))
-        .withColumn("_ranks", F.when(F.col("_chosen"), ranks))
+        .withColumns({n: F.when(F.col("_chosen"), d) for n, d in drawn.items()})
         .withColumn("_limit", F.element_at(F.array_sort("_ranks"), count))
+        .withColumn("_values", values)
+        .withColumn("_change", F.when(F.col("_chosen"), change))
+        .withColumn("_moved", F.when(F.col("_chosen"), moved).otherwise(F.col("_values")))
     )
-    changed = {}
-    for i, s in enumerate(sensors, start=1):
-        value = F.col(s).cast("double")
-        noise = normal(u, c, F.lit(seed + 2000 + i))
-        share = DROPOUT[0] + (DROPOUT[1] - DROPOUT[0]) * uniform(u, c, seed + 3000 + i)
-        new = (
-            F.when(F.col("_kind") == "spike", value + SPIKE[0] + SPIKE[1] * noise)
-            .when(F.col("_kind") == "dropout", value * share)
-            .otherwise(value + DRIFT[0] + DRIFT[1] * noise)
-        )
-        hit = F.get("_ranks", F.lit(i - 1)) <= F.col("_limit")
-        changed[s] = F.when(F.col("_chosen") & hit, new).otherwise(value)
-    helpers = ["_hash", "is_late_life", "_chosen", "_kind", "_ranks", "_limit"]
+    changed = {s: F.get("_moved", F.lit(i)) for i, s in enumerate(sensors)}
+    helpers = ["_hash", "is_late_life", "_chosen", "_kind", *drawn, "_limit", "_values", "_change", "_moved"]
     columns = [*holdout.columns, "is_anomaly", "injected_anomaly_type"]
     labels = {
         "is_anomaly": F.col("_chosen").cast("int"),

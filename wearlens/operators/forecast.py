@@ -43,9 +43,12 @@ def cycle_curve(windows: DataFrame, target: str, cycle: str = "target_cycle") ->
 
 def window_summary(windows: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
     """Mean, last value and change over the window per feature, from the `window` array."""
+    def values_of(place: int) -> Column:
+        return F.transform("window", lambda row: F.get(row, F.lit(place)))
+
     out, names = windows, []
     for i, f in enumerate(features):
-        values = F.transform("window", lambda r, i=F.lit(i): F.get(r, i))
+        values = values_of(i)
         parts = {
             f"{f}_mean": F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size("window"),
             f"{f}_last": F.element_at(values, -1),

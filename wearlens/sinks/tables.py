@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -71,7 +72,10 @@ def insert_if_absent(
         fresh = fresh.join(existing.select(DATE, *key), [DATE, *key], "left_anti")
     seen = Observation()
     write_by_day(fresh.observe(seen, F.count(F.lit(1)).alias("rows")), path)
-    return int(seen.get["rows"])
+    try:
+        return int(seen.get["rows"])
+    except Py4JJavaError:  # nothing was observed: execution found the rows to add empty and skipped them
+        return 0
 
 
 def upsert(batch: DataFrame, path: str, arrival: list[str], key: list[str] | None = None) -> None:
