@@ -8,10 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
-# Fixed values of the row hash: a prime modulus, key factors and three (factor, increment) rounds.
-HASH_PRIME = 2147483647
-HASH_KEYS = (73856093, 19349663, 83492791)
-HASH_ROUNDS = ((48271, 11), (69621, 7), (16807, 3))
+HASH_SPAN = 2**32
 
 
 def parse_time(c: Column) -> Column:
@@ -51,19 +48,15 @@ def blend(first: Column, second: Column, first_weight: float, second_weight: flo
 
 
 def row_hash(a: Column, b: Column, salt: int | Column) -> Column:
-    """Integer in [0, HASH_PRIME) from two whole-number keys and a salt, equal on every run and partitioning."""
-    prime = F.lit(HASH_PRIME).cast("long")
-    key_a, key_b, key_s = HASH_KEYS
-    salt = F.lit(salt).cast("long")
-    x = F.pmod(F.pmod(a.cast("long"), prime) * key_a + F.pmod(b.cast("long"), prime) * key_b + salt * key_s, prime)
-    for factor, increment in HASH_ROUNDS:
-        x = F.pmod(x * factor + increment, prime)
-    return x
+    """Integer in [0, HASH_SPAN) from two keys and a salt, equal on every run and partitioning."""
+    salt = salt if isinstance(salt, Column) else F.lit(salt)
+    text = F.concat_ws(":", *[c.cast("string") for c in (a, b, salt)])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def uniform(a: Column, b: Column, salt: int | Column) -> Column:
     """Number strictly between 0 and 1 from the row hash."""
-    return (row_hash(a, b, salt) + 0.5) / float(HASH_PRIME)
+    return (row_hash(a, b, salt) + 0.5) / float(HASH_SPAN)
 
 
 def normal(a: Column, b: Column, salt: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .columns import HASH_PRIME
+from .columns import HASH_SPAN
 
 BUCKETS = 65_536
 
@@ -17,7 +17,7 @@ def cut_point(candidates: DataFrame, order: list[str], wanted: int) -> Column |
     `order[0]` is a row hash. Hash values are even, so equal-width buckets are of equal size: BUCKETS counts
     find the bucket that holds the cut, and only that bucket is sorted. Two single rows reach the driver.
     """
-    placed = candidates.select(*order, F.floor(F.col(order[0]) * BUCKETS / HASH_PRIME).alias("bucket"))
+    placed = candidates.select(*order, F.floor(F.col(order[0]) * BUCKETS / HASH_SPAN).alias("bucket"))
     upto = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
     reached = counts.withColumn("reached", F.sum("rows").over(upto))

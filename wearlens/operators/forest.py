@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import HASH_PRIME, row_hash
+from ..functions.columns import HASH_SPAN, row_hash
 
 TREES = 300
 SAMPLE = 256
@@ -34,11 +34,11 @@ def tree_samples(df: DataFrame, key: str, trees: int = TREES, sample: int = SAMP
     """
     total = df.count()
     share = min(1.0, 2.0 * trees * sample / max(total, 1))
-    pool = df.where(row_hash(F.col(key), F.lit(1), seed) < share * HASH_PRIME)
+    pool = df.where(row_hash(F.col(key), F.lit(1), seed) < share * HASH_SPAN)
     drawn_share = min(1.0, 2.0 * sample / max(total * share, 1.0))
     spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     hashed = spread.withColumn("_hash", row_hash(F.col(key), F.col("tree"), seed + 7))
-    drawn = hashed.where(F.col("_hash") < drawn_share * HASH_PRIME)
+    drawn = hashed.where(F.col("_hash") < drawn_share * HASH_SPAN)
     order = W.partitionBy("tree").orderBy("_hash", key)
     return drawn.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= sample).drop("_place", "_hash")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.columns import HASH_KEYS, HASH_PRIME, HASH_ROUNDS
+from ..functions.columns import HASH_SPAN
 from ..schemas import SENSORS, SETTINGS
 
 READINGS = """tv AS (
@@ -25,15 +25,11 @@ MATRIX = "ev AS (SELECT label AS unit, row_number() OVER (PARTITION BY label ORD
 
 
 def row_hash(a: str, b: str, salt: str | int) -> str:
-    ka, kb, ks = HASH_KEYS
-    x = f"(({a}) % {HASH_PRIME} * {ka} + ({b}) % {HASH_PRIME} * {kb} + CAST({salt} AS BIGINT) * {ks}) % {HASH_PRIME}"
-    for factor, increment in HASH_ROUNDS:
-        x = f"(({x}) * {factor} + {increment}) % {HASH_PRIME}"
-    return f"({x})"
+    return f"CAST('0x' || substr(md5(concat_ws(':', {a}, {b}, {salt})), 1, 8) AS BIGINT)"
 
 
 def uniform(a: str, b: str, salt: str | int) -> str:
-    return f"(({row_hash(a, b, salt)} + 0.5) / {HASH_PRIME}.0)"
+    return f"(({row_hash(a, b, salt)} + 0.5) / {HASH_SPAN}.0)"
 
 
 def unpivot(source: str, ids: list[str], columns: list[str], name: str = "sensor", value: str = "value") -> str:

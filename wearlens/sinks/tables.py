@@ -17,12 +17,16 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn(DATE, F.to_date("event_time"))
 
 
-def write_by_day(df: DataFrame, path: str, mode: str = "append", compression: str = "snappy") -> None:
-    """Write by day. Rows are range-partitioned by (day, equipment, run, time), so a busy day or a busy
+def write_by_day(
+    df: DataFrame, path: str, mode: str = "append", compression: str = "snappy", seen: Observation | None = None
+) -> None:
+    """Write by day, counting the written rows in `seen`. Rows are range-partitioned by (day, equipment, run, time), so a busy day or a busy
     equipment is shared by many tasks and every file covers a narrow range of equipment."""
     ranged = _dated(df).repartitionByRange(DATE, *CLUSTER).sortWithinPartitions(DATE, *CLUSTER)
+    # Counted behind the exchange: the sampling pass of the range partitioning also runs what is before it.
+    counted = ranged if seen is None else ranged.observe(seen, F.count(F.lit(1)).alias("rows"))
     (
-        ranged.write.mode(mode)
+        counted.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)
         .partitionBy(DATE)
@@ -71,7 +75,7 @@ def insert_if_absent(
     if existing is not None:
         fresh = fresh.join(existing.select(DATE, *key), [DATE, *key], "left_anti")
     seen = Observation()
-    write_by_day(fresh.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+    write_by_day(fresh, path, seen=seen)
     try:
         return int(seen.get["rows"])
     except Py4JJavaError:  # nothing was observed: execution found the rows to add empty and skipped them
