@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
-SMALL = 1_000_000
+ACCURACY = 10_000
+SMALL = 100_000
 
 
 def to_long(df: DataFrame, columns: list[str], ids: list[str] | None = None) -> DataFrame:

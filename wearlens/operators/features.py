@@ -133,6 +133,9 @@ def rolling_stats(
     begun = W.partitionBy(*keys, "slot").orderBy("phase").rangeBetween(W.unboundedPreceding, W.currentRow)
     later = W.partitionBy(*keys, "slot").orderBy(F.col("back")).rangeBetween(W.unboundedPreceding, -1)
     spread = spread.withColumn("back", -F.col("phase"))
+    # Copies are kept only where the later bucket has rows of its own. The join partitions by the same keys
+    # as the frames below (or is a broadcast, if the bucket summary proves small at run time).
+    spread = spread.join(_whole_buckets(rows, keys, steps), [*keys, "slot"])
 
     def piece(step: int, over) -> Column:
         value = F.when(F.col("step") == step, F.col("value"))
@@ -142,13 +145,11 @@ def rolling_stats(
     for name, step in steps.items():
         pieced = pieced.withColumn(f"tail_{name}", piece(step, later))
     own = pieced.where(F.col("step") == 0)
-    whole = _whole_buckets(rows, keys, steps)
-    joined = own.join(whole, [*keys, "slot"]) if len(whole.columns) > len(keys) + 1 else own
     outputs = []
     for name, step in steps.items():
         parts = ["head", f"tail_{name}"] + ([f"middle_{name}"] if step > 1 else [])
         outputs += [_merged(parts, stat).alias(f"{name}_{stat}") for stat in STATS]
-    return joined.select(*[F.col(c) for c in readings.columns], *outputs)
+    return own.select(*[F.col(c) for c in readings.columns], *outputs)
 
 
 def lag_values(

@@ -55,7 +55,10 @@ def validation_checks(
     missing = missing_columns(df, [time, equipment, *sensors])
     absent_keys = [k for k in keys if k not in df.columns]
     present = [s for s in sensors if s in df.columns]
-    is_time = F.lit(False) if time not in df.columns else parse_time(F.col(time)).isNotNull()
+    is_time = F.lit(False)
+    if time in df.columns:
+        typed = dict(df.dtypes)[time].startswith("timestamp")
+        is_time = (F.col(time) if typed else parse_time(F.col(time))).isNotNull()
     null_key = F.lit(True)
     if not absent_keys:
         null_key = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()

@@ -286,6 +286,21 @@ def _stationarity(spark, folder):
     return po.stationarity(cycles(spark, folder), TWO)
 
 
+_LEVEL_SQL = f"""WITH {q.READINGS},
+e AS (SELECT unit, cycle, count(*) OVER u AS n, sensor_1 - avg(sensor_1) OVER u AS e FROM tv WINDOW u AS (PARTITION BY unit)),
+s AS (SELECT *, sum(e) OVER (PARTITION BY unit ORDER BY cycle) AS s, ceil(12 * pow(n / 100.0, 0.25)) AS l FROM e),
+k AS (SELECT a.unit, sum(2.0 * (1.0 - (b.cycle - a.cycle) / (a.l + 1.0)) * a.e * b.e) AS c FROM s a JOIN s b ON a.unit = b.unit AND b.cycle > a.cycle AND b.cycle - a.cycle <= a.l GROUP BY 1),
+t AS (SELECT unit, max(n) AS n, sum(s * s) AS ss, sum(e * e) AS ee FROM s GROUP BY 1),
+r AS (SELECT unit, (ss / (n * n)) / (ee / n + c / n) AS kpss_stat FROM t JOIN k USING (unit))
+SELECT unit, 'sensor_1' AS sensor, round(kpss_stat, 6) AS kpss_stat, kpss_stat <= 0.463 AS kpss_stationary FROM r"""
+
+
+@query("level_stationarity_agg8", _LEVEL_SQL)
+def _level(spark, folder):
+    out = po.stationarity(cycles(spark, folder), ["sensor_1"])
+    return out.select("unit", "sensor", "kpss_stat", "kpss_stationary")
+
+
 _WIDE = SENSORS
 
 

@@ -27,10 +27,10 @@ ROW_SCORES = ["isolation_forest_score", "local_outlier_factor_score", "zscore_sc
 def run_batch(raw: DataFrame, table: str, sensors: list[str], version: str, source_file: str | Column | None = None) -> DataFrame:
     """CSV or table rows to stored features in one plan: normalize, validate (raises before any write),
     engineer, pack, upsert. Returns the packed rows."""
-    prepared = written(prepare_batch(raw, sensors, source_file), "prepared")
-    gate(validation_checks(prepared, sensors))
     bucket = F.floor(F.unix_micros("event_time") / DAY)
-    placed = row_index(prepared, ["equipment_id"], ["event_time", "run_id"], bucket)
+    prepared = prepare_batch(raw, sensors, source_file)
+    placed = written(row_index(prepared, ["equipment_id"], ["event_time", "run_id"], bucket), "prepared")
+    gate(validation_checks(placed, sensors))
     packed = pack_long_features(engineer_features(placed, sensors), version)
     stored = packed.withColumn("arrival", F.lit(0))
     upsert(stored, table, arrival=["arrival"])
