@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,17 @@ def to_long(df: DataFrame, columns: list[str], ids: list[str] | None = None) ->
     return typed.unpivot(ids, columns, "feature", "value").where(F.col("value").isNotNull())
 
 
+def _brackets(bounds: Row, probabilities: list[float]) -> Column:
+    """Per probability the value range that must hold its rank, and the rank itself (from 0, not whole)."""
+    found = []
+    for p, low, high in zip(probabilities, bounds["low"], bounds["high"]):
+        if bounds["n"] <= SMALL:
+            low, high = bounds["least"], bounds["most"]
+        named = {"probability": p, "low": low, "high": high, "rank": p * (bounds["n"] - 1)}
+        found.append(F.struct(*[F.lit(float(v)).alias(k) for k, v in named.items()]))
+    return F.array(*found)
+
+
 def exact_quantiles(long: DataFrame, probabilities: list[float]) -> DataFrame:
     """`(feature, probability, quantile)` of a long frame, as numpy and pandas define it.
 
@@ -34,20 +45,13 @@ def exact_quantiles(long: DataFrame, probabilities: list[float]) -> DataFrame:
         F.percentile_approx("value", low, ACCURACY).alias("low"),
         F.percentile_approx("value", high, ACCURACY).alias("high"),
     )
-    whole = F.col("n") <= SMALL
-    wanted = [
-        F.struct(
-            F.lit(p).alias("probability"),
-            F.when(whole, F.col("least")).otherwise(F.get("low", F.lit(i))).alias("low"),
-            F.when(whole, F.col("most")).otherwise(F.get("high", F.lit(i))).alias("high"),
-            (F.lit(p) * (F.col("n") - 1)).alias("rank"),
-        )
-        for i, p in enumerate(probabilities)
-    ]
-    brackets = bounds.select("feature", F.explode(F.array(*wanted)).alias("w")).select("feature", "w.*")
-    # One row per (column, probability): its size is the number of columns, not the number of rows.
+    # One row per column reaches the driver; the brackets go back as constants.
+    brackets = [F.lit(x) for r in bounds.collect() for x in (r["feature"], _brackets(r, probabilities))]
+    if not brackets:
+        return long.sparkSession.createDataFrame([], "feature string, probability double, quantile double")
     counted = (
-        long.join(F.broadcast(brackets), "feature")
+        long.withColumn("w", F.explode(F.element_at(F.create_map(*brackets), F.col("feature"))))
+        .select("feature", "w.*", "value")
         .where(F.col("value") <= F.col("high"))
         .withColumn("value", F.when(F.col("value") >= F.col("low"), F.col("value")))
         .groupBy("feature", "probability", "rank", "value")

@@ -228,10 +228,10 @@ def _alerts(spark, folder):
 )
 def _headline(spark, folder):
     rows = schedule(spark, folder)
-    full = mt.schedule_summary(rows).select("task_count", "total_cost", "total_risk_cost", F.lit(1).alias("k"))
+    full = mt.schedule_summary(rows).select("task_count", "total_cost", "total_risk_cost")
     empty = mt.schedule_summary(rows.where("total_cost < 0"), "No schedule artifacts found")
-    none = empty.select(F.col("task_count").alias("empty_task_count"), F.col("total_cost").alias("empty_total_cost"), F.lit(1).alias("k"))
-    return full.join(none, "k").drop("k")
+    none = empty.select(F.struct("task_count", "total_cost")).scalar()
+    return full.withColumns({"empty_task_count": none["task_count"], "empty_total_cost": none["total_cost"]})
 
 
 # --- forecasts -------------------------------------------------------------------------------------
