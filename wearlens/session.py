@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, name: str = "wearlens") -> SparkSession:
     """A session for tests and the bench; on a cluster the submitter's own session is used as it is."""
     return (
@@ -29,9 +32,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-    root = tempfile.mkdtemp(prefix="wearlens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="wearlens-")
+    return _LOCAL_ROOTS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
