@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+MOST_DOCS = 1 << 15
 SEGMENT = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
@@ -88,6 +89,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        end = min(end, row + MOST_DOCS)
         yield Chunk(row, buf[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
         row = end
 
