@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lines, pii, substrings, toxicity
+from . import decontaminate, jaccard, kneser, lines, pii, substrings, toxicity
 from .registry import query, table
 from .sqltext import DECONTAMINATION
 
@@ -49,6 +49,16 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = kneser.fit(documents.where(~F.col("held_out")))
+    return kneser.scores(documents, model).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", F.col("lm_score").alias("score")
+    )
+
+
 @query("op10_decontamination", DECONTAMINATION)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
