@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, kneser, lines, pii, substrings, toxicity
+from . import decontaminate, jaccard, kneser, lines, packing, pii, substrings, toxicity
 from .registry import query, table
 from .sqltext import DECONTAMINATION
 
@@ -15,7 +15,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    model = toxicity.train(documents.join(labels, "doc_id"))
+    model = toxicity.train(documents, labels)
     scored = toxicity.scores(documents.withColumn("held_out", held_out), model)
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), "predicted")
 
@@ -25,6 +25,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(spark, sf_dir, "documents"))
+
+
 @query("op4_pii")
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -8,7 +8,7 @@ labelled texts kept out of the fit; the language is read from function words of
 of the logit, shifted so that the threshold of the text's language is 0.7.
 
 The fit uses a bounded sample: at most MAX_TOXIC toxic and MAX_CLEAN other labelled texts, taken in the order of a hash of
-their text. Scoring reads every whole text.
+their id. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -211,16 +211,16 @@ def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["toxic"].to_numpy()))]})
 
 
-def train(labelled: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict:
-    """Fit on a bounded sample of rows (text, toxic); rows with a null in either are left out."""
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("place")).where(
-        "text is not null and toxic in (0, 1)"
-    )
-    sample = None
-    for value, most in ((1, max_toxic), (0, max_clean)):
-        part = rows.where(F.col("toxic") == value).orderBy("place", "text").limit(most)
-        sample = part if sample is None else sample.unionAll(part)
-    found = sample.coalesce(1).mapInPandas(_fit_rows, "model binary").collect()
+def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict:
+    """Fit on a bounded sample of the labelled documents; rows with a null id, text or label are left out.
+
+    The sample is chosen among the labels alone, so that its bounded list of ids can be broadcast and only its texts move.
+    """
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    rows = rows.withColumn("place", F.xxhash64("doc_id"))
+    chosen = [rows.where(F.col("toxic") == value).orderBy("place", "doc_id").limit(most) for value, most in ((1, max_toxic), (0, max_clean))]
+    sample = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    found = sample.select("text", "toxic", "place").repartition(1).mapInPandas(_fit_rows, "model binary").collect()
     return pickle.loads(found[0].model) if found else fit([], np.empty(0))
 
 
