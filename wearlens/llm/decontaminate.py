@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from wearlens.session import written
 
+from .spread import bit_set, in_bit_set
 from .textscan import ALNUM, Words, mix, text_chunks
 
 WINDOW = 10
@@ -76,10 +77,6 @@ def _short(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def _slot(marks: np.ndarray) -> np.ndarray:
-    return (marks >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def _doc_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list[int], window: int, k: int) -> Iterator[pa.RecordBatch]:
     """Per document: number of words and the windows that may be the benchmark's."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("key", pa.string())]))
@@ -90,12 +87,12 @@ def _doc_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list
             grams, chosen = fingerprints(words, hashes, window, k)
             left = np.repeat(words.first[1:], counts) - np.arange(len(words))
             found = np.flatnonzero(chosen)
-            found = found[bits[_slot(grams[found])]]
+            found = found[in_bit_set(bits, grams[found])]
             starts = (found[:, None] - np.arange(window - k + 1)).ravel()
             starts = np.unique(starts[starts >= 0])
             pairs = [(starts[left[starts] >= window], window)]
             for n in lengths:
-                at = np.flatnonzero(bits[_slot(_short(hashes, n))]) if len(hashes) >= n else np.empty(0, np.int64)
+                at = np.flatnonzero(in_bit_set(bits, _short(hashes, n))) if len(hashes) >= n else np.empty(0, np.int64)
                 pairs.append((at[left[at] >= n], n))
             at = np.concatenate([p for p, _ in pairs])
             size = np.concatenate([np.full(len(p), n) for p, n in pairs])
@@ -123,20 +120,12 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
         ),
         "benchmark-windows",
     )
-    filled = (
-        items.select(F.explode("marks").alias("mark"))
-        .select(F.expr(f"shiftrightunsigned(mark, {64 - BITS})").alias("slot"))
-        .select(F.expr("shiftright(slot, 5)").alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    )
-    table = np.zeros(1 << (BITS - 5), np.uint32)
-    table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).astype(np.uint32)
+    table = bit_set(items.select(F.explode("marks").alias("mark")), "mark", BITS)
     packed = documents.sparkSession.sparkContext.broadcast(table)
     lengths = sorted(r.size for r in items.where(F.col("size") < window).select("size").distinct().collect())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed.value.view(np.uint8), bitorder="little").astype(bool)
-        return _doc_rows(batches, bits, lengths, window, k)
+        return _doc_rows(batches, packed.value, lengths, window, k)
 
     rows = written(
         documents.select("doc_id", "text")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearlens.session import written
@@ -20,10 +20,10 @@ def bit_set(values: DataFrame, column: str, bits: int) -> np.ndarray:
     filled = (
         values.select(F.expr(f"shiftrightunsigned({column}, {64 - bits})").alias("slot"))
         .select(F.expr("shiftright(slot, 5)").alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     )
     table = np.zeros(1 << (bits - 5), np.uint32)
-    table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).astype(np.uint32)
+    table[filled["word"].to_numpy()] = filled["bits"].to_numpy().astype(np.uint32)
     return table
 
 
