@@ -31,9 +31,11 @@ PREFIX = 4
 TABLES = 3
 DIM = 8
 WIDTHS = (1, 2, 3)
+BLANKS = max(WIDTHS)
 FILTERS = 8
 EPOCHS = 5
 CUT = 0.7
+FEWEST = 20
 
 # Frequent function words per language, by which a text's language is told.
 FUNCTION_WORDS = {
@@ -59,14 +61,14 @@ _KEYS, _MEMBER = _language_tables()
 
 
 class TextBatch:
-    """Word slots of the documents of a chunk, two blank words after each document."""
+    """Word slots of the documents of a chunk, with blank words after each document, enough for the widest filter."""
 
     def __init__(self, chunk: Chunk):
         words = Words(chunk, ALNUM)
-        hashes, counts = words.hashes(), words.counts()
-        self.starts = words.first[:-1] + 2 * np.arange(chunk.docs)
-        size = len(words) + 2 * chunk.docs
-        place = np.arange(len(words)) + 2 * words.doc()
+        hashes = words.hashes()
+        self.starts = words.first[:-1] + BLANKS * np.arange(chunk.docs)
+        size = len(words) + BLANKS * chunk.docs
+        place = np.arange(len(words)) + BLANKS * words.doc()
         self.slots = np.zeros((TABLES, size), np.int32)
         for k, h in enumerate((hashes, hashes >> np.uint64(32), words.hashes(PREFIX))):
             self.slots[k, place] = 1 + (h & np.uint64((1 << SLOTS) - 1)).astype(np.int32) % ((1 << SLOTS) - 1)
@@ -76,7 +78,6 @@ class TextBatch:
         np.add.at(votes, words.doc()[hit], _MEMBER[at[hit]])
         self.language = np.where(votes.max(1, initial=0) > 0, votes.argmax(1), len(LANGUAGES) - 1)
         self.docs = chunk.docs
-        self.ends = self.starts + counts  # the two blanks follow
 
 
 class Net:
@@ -109,7 +110,7 @@ class Net:
             for j in range(1, w):
                 response += x[j : j + total] @ f[j]
             # a text of fewer words than the width is met by its blanks; no window leaves its document
-            top = np.maximum.reduceat(response, np.minimum(t.starts, total - 1), axis=0)
+            top = np.maximum.reduceat(response, t.starts, axis=0)
             if places:
                 owner = np.repeat(np.arange(t.docs), np.diff(np.append(t.starts, len(x))))[:total]
                 row, col = np.nonzero(response == top[owner])
@@ -179,7 +180,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> dict:
             part = order[i : i + 64]
             weight = np.where(labels[part] > 0, 0.5 / share, 0.5 / (1 - share))
             net.step(_batch([texts[j] for j in part]), labels[part], weight, state, 0.1 / (1 + epoch))
-    kept = np.flatnonzero(held)
+    # with few labels the thresholds need all of them
+    kept = np.flatnonzero(held) if labels[held].sum() >= FEWEST else np.arange(len(texts))
     parts = [_batch([texts[j] for j in kept[i : i + 64]]) for i in range(0, len(kept), 64)]
     logits = np.concatenate([net.logits(t) for t in parts]) if parts else np.empty(0, np.float32)
     language = np.concatenate([t.language for t in parts]) if parts else np.empty(0, int)
@@ -187,7 +189,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> dict:
     cuts = np.full(len(LANGUAGES), everywhere, np.float32)
     for k in range(len(LANGUAGES)):
         of = language == k
-        if labels[kept][of].sum() >= 20:
+        if labels[kept][of].sum() >= FEWEST:
             cuts[k] = best_cut(logits[of], labels[kept][of], everywhere)
     return {"net": vars(net), "cuts": cuts}
 
