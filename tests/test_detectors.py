@@ -100,3 +100,11 @@ def test_series_spectrum_equals_numpy(spark):
     row = po.series_spectrum(df, ["sensor_1"]).first()
     expected = np.sort(np.abs(np.fft.rfft(x - x.mean()))[1:])[::-1][:5]
     np.testing.assert_allclose([row[f"fft_amp_{i}"] for i in range(1, 6)], expected, atol=1e-4)
+
+
+def test_long_series_stays_one_series(spark):
+    n = 70_000
+    df = spark.range(n).select(F.lit(1).alias("unit"), (F.col("id") + 1).alias("cycle"), F.sin(F.col("id") * 2 * np.pi * 700 / n).alias("sensor_1"))
+    rows = po.series_spectrum(df, ["sensor_1"], top=2).collect()
+    assert len(rows) == 1 and rows[0]["fft_amp_1"] == pytest.approx(n / 2, rel=1e-3) and rows[0]["fft_amp_2"] < 1
+    assert po.stationarity(df, ["sensor_1"]).count() == 1

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from wearlens.functions.ordered import row_index, running_totals, with_neighbours
 from wearlens.functions.quantiles import exact_quantiles
-from wearlens.functions import quantiles
 from wearlens.operators import features as ft
 from wearlens.operators import prepare as pr
 
@@ -72,9 +71,17 @@ def test_running_totals_and_quantiles(spark):
     assert [r["t"] for r in out] == list(range(1, len(values) + 1))
     long = given.select(F.col("m").alias("feature"), F.col("s").alias("value"))
     probabilities = [0.0, 0.1, 0.5, 0.92, 1.0]
-    small = quantiles.SMALL
-    for limit in (small, 10):  # whole-column and bracketed path
-        quantiles.SMALL = limit
-        rows = exact_quantiles(long, probabilities).orderBy("probability").collect()
-        np.testing.assert_allclose([r["quantile"] for r in rows], np.quantile(values, probabilities), rtol=1e-12)
-    quantiles.SMALL = small
+    rows = exact_quantiles(long, probabilities).orderBy("probability").collect()
+    np.testing.assert_allclose([r["quantile"] for r in rows], np.quantile(values, probabilities), rtol=1e-12)
+
+
+def test_quantiles_of_every_size_without_nan(spark):
+    rng = np.random.default_rng(2)
+    sizes = (1, 2, 3, 10, 11, 120, 1001, 6000, 30_000)
+    columns = {f"c{n}": rng.integers(0, 4 * n, n).astype(float) for n in sizes}
+    rows = [(k, v) for k, values in columns.items() for v in [*map(float, values), float("nan"), None]]
+    long = spark.createDataFrame(rows, "feature string, value double")
+    probabilities = [0.0, 0.05, 0.25, 0.5, 0.9, 0.95, 1.0]
+    found = {(r["feature"], r["probability"]): r["quantile"] for r in exact_quantiles(long, probabilities).collect()}
+    for name, values in columns.items():
+        np.testing.assert_allclose([found[name, p] for p in probabilities], np.quantile(values, probabilities), rtol=1e-12)

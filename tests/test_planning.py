@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from wearlens.functions.columns import blend, peak_index
 from wearlens.operators import forecast as fc
 from wearlens.operators import maintenance as mt
+from wearlens.operators import sequences as se
 from wearlens.plans import experiments as ex
 
 
@@ -67,3 +68,38 @@ def test_cycle_curve_and_trend(spark):
     assert gap < 0.01
     with pytest.raises(ValueError):
         fc.fit_trend(line.limit(1))
+
+
+def test_window_model_keeps_windows_with_missing_inputs(spark):
+    rows = [(u, float(i), None if u == 2 else float(i % 3), float(100 - i)) for u in range(3) for i in range(16)]
+    windows = spark.createDataFrame(rows, "unit int, a double, b double, rul double")
+    model = fc.fit_window_model(windows, ["a", "b"], "rul", maxIter=2)
+    found = fc.predict_windows(model, windows, "rul")
+    assert found.count() == 48 and found.where("prediction IS NULL OR isnan(prediction)").count() == 0
+    assert found.columns == ["unit", "a", "b", "rul", "prediction", "absolute_error"]
+
+
+def test_failure_mode_of_the_window_model(spark):
+    rows = [(i, float(i), None if i % 5 == 0 else float(i % 2), float(i % 2)) for i in range(60)]
+    windows = spark.createDataFrame(rows, "unit int, a double, b double, fails double")
+    model = fc.fit_window_model(windows, ["a", "b"], "fails", mode="failure", maxIter=3)
+    found = fc.predict_windows(model, windows, "fails", mode="failure")
+    assert found.columns == ["unit", "a", "b", "fails", "predicted_probability", "predicted_label"]
+    assert found.where("predicted_label = fails").count() > 45
+
+
+def test_given_days_per_scenario_count_as_changed(spark):
+    rows = spark.createDataFrame([(u, 10.0 * (u + 1)) for u in range(4)], "unit int, prediction double").withColumn("target_cycle", F.lit(1))
+    tasks = mt.maintenance_tasks(rows)
+    names = [s[0] for s in mt.SCENARIOS]
+    days = [(f"unit_{u}", n, 1 if n == names[0] or u else 2) for u in range(4) for n in names]
+    given = spark.createDataFrame(days, "equipment_id string, scenario string, scheduled_day int")
+    changed = {r["scenario"]: r["changed_assignments"] for r in mt.scenario_costs(tasks, given).collect()}
+    assert changed == {n: int(n != names[0]) for n in names}
+
+
+def test_latest_row_needs_an_order(spark):
+    rows = spark.createDataFrame([(1, 2.0), (1, 3.0)], "unit int, prediction double")
+    with pytest.raises(ValueError):
+        se.latest_per_unit(rows)
+    assert se.latest_per_unit(rows, ties=("prediction",)).first()["prediction"] == 3.0

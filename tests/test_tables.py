@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -100,3 +101,41 @@ def test_stream_load_is_idempotent(spark):
     for checkpoint in ("a", "b"):  # a lost checkpoint replays everything
         si.load_stream(si.read_messages(spark, f"{root}/in"), f"{root}/table", f"{root}/refused", f"{root}/{checkpoint}").awaitTermination()
     assert spark.read.parquet(f"{root}/table").count() == 1
+
+
+def test_upsert_keeps_stored_columns_and_takes_new_ones(spark, tmp_path):
+    path = str(tmp_path / "features")
+
+    def rows(values, columns):
+        kinds = "event_time timestamp, equipment_id string, run_id string, arrival int" + "".join(f", {c} double" for c in columns)
+        return spark.createDataFrame([(datetime.datetime(2024, 1, 1 + i), f"e{i}", "r", k, *v) for i, k, v in values], kinds)
+
+    st.upsert(rows([(0, 1, (1.0, 2.0)), (1, 1, (3.0, 4.0))], ["a", "b"]), path, arrival=["arrival"])
+    st.upsert(rows([(0, 2, (10.0,))], ["a"]), path, arrival=["arrival"])
+    st.upsert(rows([(1, 3, (5.0, 6.0))], ["a", "c"]), path, arrival=["arrival"])
+    found = {r["equipment_id"]: (r["a"], r["b"], r["c"]) for r in st.read_by_day(spark, path).collect()}
+    assert found == {"e0": (10.0, 2.0, None), "e1": (5.0, 4.0, 6.0)}
+
+
+def test_compaction_moves_the_old_days(spark, tmp_path):
+    hot, cold = str(tmp_path / "hot"), str(tmp_path / "cold")
+    days = [(datetime.datetime(2024, 1, d), f"e{d}", "r", float(d)) for d in range(1, 11)]
+    st.write_by_day(spark.createDataFrame(days, "event_time timestamp, equipment_id string, run_id string, a double"), hot)
+    st.compact_before(spark, hot, cold, "2024-01-06")
+    assert (spark.read.parquet(hot).count(), spark.read.parquet(cold).count()) == (5, 5)
+
+
+def test_published_messages_keep_key_and_nulls(spark, tmp_path):
+    path = str(tmp_path / "out")
+    st.publish(spark.createDataFrame([("e1", None), ("e2", 2.0)], "equipment_id string, a double"), path)
+    found = sorted(tuple(r) for r in spark.read.schema("key string, value string").json(path).collect())
+    assert found == [("e1", '{"equipment_id":"e1","a":null}'), ("e2", '{"equipment_id":"e2","a":2.0}')]
+
+
+def test_other_errors_are_not_an_absent_table(spark, tmp_path):
+    path = tmp_path / "broken"
+    path.mkdir()
+    (path / "part-0.parquet").write_text("no parquet")
+    batch = spark.createDataFrame([(datetime.datetime(2024, 1, 1), "e", "r", 1.0)], "event_time timestamp, equipment_id string, run_id string, a double")
+    with pytest.raises(Exception):
+        st.insert_if_absent(batch, str(path))

@@ -7,22 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-SMALL = 100_000
+#: Widths of brackets that one pass measures, as shares of the rows; the narrowest one that holds the rank is used.
+MARGINS = (4.0 / ACCURACY, 0.02, 1.0)
 
 
 def to_long(df: DataFrame, columns: list[str], ids: list[str] | None = None) -> DataFrame:
-    """One row per (row, column): `feature`, `value`; nulls left out."""
+    """One row per (row, column): `feature`, `value`; nulls and NaN left out."""
     ids = ids or []
     typed = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
-    return typed.unpivot(ids, columns, "feature", "value").where(F.col("value").isNotNull())
+    return typed.unpivot(ids, columns, "feature", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _brackets(bounds: Row, probabilities: list[float]) -> Column:
     """Per probability the value range that must hold its rank, and the rank itself (from 0, not whole)."""
     found = []
-    for p, low, high in zip(probabilities, bounds["low"], bounds["high"]):
-        if bounds["n"] <= SMALL:
-            low, high = bounds["least"], bounds["most"]
+    # An approximate quantile is off by up to 1 / ACCURACY of the rows; interpolation needs up to two ranks beside it.
+    width = next(i for i, m in enumerate(MARGINS) if m == 1.0 or m >= 2.0 / ACCURACY + 2.0 / bounds["n"])
+    for k, p in enumerate(probabilities):
+        low, high = (bounds[side][width * len(probabilities) + k] for side in ("low", "high"))
         named = {"probability": p, "low": low, "high": high, "rank": p * (bounds["n"] - 1)}
         found.append(F.struct(*[F.lit(float(v)).alias(k) for k, v in named.items()]))
     return F.array(*found)
@@ -32,16 +34,14 @@ def exact_quantiles(long: DataFrame, probabilities: list[float]) -> DataFrame:
     """`(feature, probability, quantile)` of a long frame, as numpy and pandas define it.
 
     Pass one brackets each wanted rank with approximate quantiles (error 1/ACCURACY, bracket four times as
-    wide). Pass two counts everything below the bracket and sorts only the distinct values inside it: a
-    share of about 8/ACCURACY of the rows, or all of them while a column has at most SMALL rows.
+    wide; wider for a column of few rows, whose ranks lie further apart). Pass two counts everything below the
+    bracket and sorts only the distinct values inside it. Null and NaN values are left out.
     """
-    margin = 4.0 / ACCURACY
-    low = [max(p - margin, 0.0) for p in probabilities]
-    high = [min(p + margin, 1.0) for p in probabilities]
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    low = [max(p - m, 0.0) for m in MARGINS for p in probabilities]
+    high = [min(p + m, 1.0) for m in MARGINS for p in probabilities]
     bounds = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
         F.percentile_approx("value", low, ACCURACY).alias("low"),
         F.percentile_approx("value", high, ACCURACY).alias("high"),
     )

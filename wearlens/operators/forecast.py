@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -59,26 +59,45 @@ def window_summary(windows: DataFrame, features: list[str]) -> tuple[DataFrame,
     return out.drop("window"), names
 
 
+def _known(name: str) -> str:
+    return f"nanvl(CAST(`{name}` AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
+def _filler(train: DataFrame, inputs: list[str]) -> tuple[SQLTransformer, list[str]]:
+    """A stage that adds `<input>_filled` and `<input>_missing`; NaN is missing, an input that is never known becomes 0."""
+    means = train.agg(*[F.avg(F.expr(_known(c))).alias(c) for c in inputs]).first()
+    terms = [f"coalesce({_known(c)}, {float(means[c] or 0.0)!r}D) AS `{c}_filled`" for c in inputs]
+    terms += [f"CAST({_known(c)} IS NULL AS DOUBLE) AS `{c}_missing`" for c in inputs]
+    names = [f"{c}_filled" for c in inputs] + [f"{c}_missing" for c in inputs]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__"), names
+
+
 def fit_window_model(train: DataFrame, inputs: list[str], target: str, mode: str = "rul", **params) -> PipelineModel:
-    """Gradient-boosted trees over window summaries: regression of the remaining life or failure probability."""
-    assembler = VectorAssembler(inputCols=inputs, outputCol="inputs", handleInvalid="skip")
+    """Gradient-boosted trees over window summaries: regression of the remaining life or failure probability.
+
+    Windows with a missing input are kept, in training and in prediction: the training mean stands in for it and a flag
+    per input tells the trees.
+    """
+    filler, filled = _filler(train, inputs)
+    assembler = VectorAssembler(inputCols=filled, outputCol="inputs")
     settings = {"maxIter": 10, "maxDepth": 4, "seed": 42, **params}
     if mode == "rul":
         model = GBTRegressor(featuresCol="inputs", labelCol=target, predictionCol="prediction", **settings)
     else:
         model = GBTClassifier(featuresCol="inputs", labelCol=target, **settings)
-    return Pipeline(stages=[assembler, model]).fit(train)
+    return Pipeline(stages=[filler, assembler, model]).fit(train)
 
 
 def predict_windows(model: PipelineModel, windows: DataFrame, target: str, mode: str = "rul") -> DataFrame:
     """Window columns with `prediction` and `absolute_error`, or `predicted_probability` and `predicted_label`."""
     scored = model.transform(windows)
+    scored = scored.select(*windows.columns, *[c for c in ("prediction", "probability") if c in scored.columns])
     if mode == "rul":
-        return scored.drop("inputs").withColumn("absolute_error", F.abs(F.col(target) - F.col("prediction")))
+        return scored.withColumn("absolute_error", F.abs(F.col(target) - F.col("prediction")))
     share = vector_to_array("probability")[1]
     out = scored.withColumn("predicted_probability", share)
     out = out.withColumn("predicted_label", at_least(F.col("predicted_probability"), 0.5))
-    return out.drop("inputs", "rawPrediction", "probability", "prediction")
+    return out.drop("probability", "prediction")
 
 
 def search_parameters(

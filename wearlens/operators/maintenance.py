@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import row_index
 from ..schemas import require
 from .prepare import prediction_column
 from .sequences import latest_per_unit
@@ -116,9 +117,10 @@ def maintenance_tasks(
     cycles_per_day: float = 5.0,
     horizon_days: int = 14,
     rates: CostRates | None = None,
-    max_tasks: int | None = 20,
+    max_tasks: int | None = None,
     ties: tuple[str, ...] = (),
 ) -> DataFrame:
+    """One task per unit; `max_tasks` keeps only the units with the lowest predictions."""
     require(predictions, ["unit"], "build maintenance tasks")
     column = prediction_column(predictions)
     latest = lowest_predictions(latest_per_unit(predictions, ties=ties), column, max_tasks)
@@ -129,6 +131,11 @@ def candidates(tasks: DataFrame) -> DataFrame:
     return tasks.orderBy("preferred_day", "predicted_rul_days", "equipment_id")
 
 
+def placed_candidates(tasks: DataFrame) -> DataFrame:
+    """The same order as `place` inside each preferred day, numbered by buckets of the remaining days."""
+    return row_index(tasks, ["preferred_day"], ["predicted_rul_days", "equipment_id"], F.floor(F.col("predicted_rul_days") * 100), "place")
+
+
 def over_days(tasks: DataFrame, horizon_days: int) -> DataFrame:
     """One row per task and day of the horizon (`day`)."""
     return tasks.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(horizon_days - 1))))
@@ -245,8 +252,9 @@ def scenario_costs(
 ) -> DataFrame:
     """Totals per named scenario and how many assignments differ from the base scenario.
 
-    Without an assignment every scenario takes its own cheapest days. The risk per day is that of the task,
-    so multipliers do not change it.
+    Without an assignment every scenario takes its own cheapest days. An assignment with a `scenario` column gives each
+    scenario its own days, one without it the same days to all. The risk per day is that of the task, so multipliers do
+    not change it.
     """
     resources, rates = resources or Resources(), rates or CostRates()
     listed = F.array(*[
@@ -264,19 +272,19 @@ def scenario_costs(
         )
 
     if assignment is not None:
-        chosen = cost(tasks.join(assignment.select("equipment_id", "scheduled_day"), "equipment_id"), "scheduled_day")
-        changed = F.lit(0).cast("long")
+        of = F.col("scenario") if "scenario" in assignment.columns else F.lit(None).cast("string")
+        given = assignment.select("equipment_id", "scheduled_day", of.alias("_of"))
+        chosen = cost(tasks.join(given, "equipment_id"), "scheduled_day")
+        chosen = chosen.where(F.coalesce(F.col("_of") == F.col("scenario"), F.lit(True))).drop("_of")
     else:
         days = cost(over_days(tasks, resources.horizon_days), "day")
         whole = F.struct("day", *[c for c in days.columns if c not in ("day", "equipment_id", "scenario")])
         best = days.groupBy("equipment_id", "scenario").agg(F.min_by(whole, F.struct("total_cost", "day")).alias("b"))
         chosen = best.select("equipment_id", "scenario", "b.*").withColumnRenamed("day", "scheduled_day")
-        # Base day beside every scenario of the same task: the same grouped rows, regrouped by task.
-        base = chosen.where(F.col("scenario") == scenarios[0][0]).select(
-            "equipment_id", F.col("scheduled_day").alias("base_day")
-        )
-        chosen = chosen.join(base, "equipment_id", "left")
-        changed = F.count_if(~F.col("scheduled_day").eqNullSafe(F.col("base_day")))
+    # Base day beside every scenario of the same task: the same rows, regrouped by task.
+    base = chosen.where(F.col("scenario") == scenarios[0][0]).select("equipment_id", F.col("scheduled_day").alias("base_day"))
+    chosen = chosen.join(base, "equipment_id", "left")
+    changed = F.count_if(~F.col("scheduled_day").eqNullSafe(F.col("base_day")))
     late = F.col("scheduled_day") > F.col("preferred_day")
     grouped = chosen.groupBy("scenario", "downtime_multiplier", "repair_multiplier", "labor_multiplier").agg(
         F.round(F.sum("total_cost"), 2).alias("total_cost"),

@@ -86,13 +86,10 @@ def top_sensors(ranked: DataFrame, order: list, rows: int) -> DataFrame:
     return ranked.orderBy(*order).limit(rows)
 
 
-SERIES_SEGMENT = 65_536
-
-
-def _series(df: DataFrame, sensors: list[str], segment: int) -> DataFrame:
-    """Values in cycle order per unit, sensor and segment of cycles: a task never holds a whole long life."""
+def _series(df: DataFrame, sensors: list[str], segment: int | None) -> DataFrame:
+    """Values in cycle order per unit and sensor. A segment length is asked for by the caller; without one a series is whole."""
     long = unpivot_sensors(df, ["unit", "cycle"], sensors).where("value IS NOT NULL")
-    cut = F.floor((F.col("cycle") - 1) / segment).alias("segment")
+    cut = (F.floor((F.col("cycle") - 1) / segment) if segment else F.lit(0).cast("long")).alias("segment")
     ordered = F.array_sort(F.collect_list(F.struct("cycle", "value")))
     return (
         long.groupBy("unit", "sensor", cut)
@@ -102,7 +99,7 @@ def _series(df: DataFrame, sensors: list[str], segment: int) -> DataFrame:
     )
 
 
-def series_spectrum(df: DataFrame, sensors: list[str], top: int = 5, segment: int = SERIES_SEGMENT) -> DataFrame:
+def series_spectrum(df: DataFrame, sensors: list[str], top: int = 5, segment: int | None = None) -> DataFrame:
     """Top Fourier amplitudes of the centred series per unit and sensor, rounded to 4 places."""
     amplitudes = spectrum_of(F.col("values"), top)
     found = _series(df, sensors, segment).select("unit", "sensor", "segment", *amplitudes)
@@ -142,7 +139,7 @@ def level_statistic(values: np.ndarray, lags: int) -> float:
     return float(np.sum(np.cumsum(error) ** 2) / (n * n) / variance) if variance > 0 else np.nan
 
 
-def stationarity(df: DataFrame, sensors: list[str], lags: int = 1, segment: int = SERIES_SEGMENT) -> DataFrame:
+def stationarity(df: DataFrame, sensors: list[str], lags: int = 1, segment: int | None = None) -> DataFrame:
     """Unit-root and level-stationarity tests per unit and sensor, p-values read off published tables."""
     result = T.StructType([T.StructField(n, T.DoubleType()) for n in ("adf_stat", "adf_pvalue", "kpss_stat", "kpss_pvalue")])
 

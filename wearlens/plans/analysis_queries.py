@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import detect as de
@@ -377,16 +378,27 @@ def _prepared(spark, folder):
 # --- ranking and sets ------------------------------------------------------------------------------
 
 
+def curve_sql() -> str:
+    long = q.unpivot("tv", ["failure_label"], TWO, "model_key", "threshold")
+    return (
+        f"{q.READINGS}, l AS ({long}), g AS (SELECT model_key, threshold, count(*) FILTER (failure_label = 1) AS pos, count(*) FILTER (failure_label = 0) AS neg FROM l GROUP BY 1, 2), "
+        "k AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER (PARTITION BY model_key) AS BIGINT) AS p, "
+        "CAST(sum(neg) OVER (PARTITION BY model_key) AS BIGINT) AS n FROM g WINDOW w AS (PARTITION BY model_key ORDER BY threshold DESC))"
+    )
+
+
 @query(
     "best_models_top3",
-    f"WITH {q.READINGS} SELECT 'sensor_1' AS model_key, round(corr(sensor_1, failure_label), 6) AS measure, 1 AS one FROM tv "
-    "UNION ALL SELECT 'sensor_2', round(corr(sensor_2, failure_label), 6), 1 FROM tv ORDER BY measure DESC LIMIT 1",
+    f"WITH {curve_sql()}, r AS (SELECT model_key, sum(neg * (tp - pos + pos / 2.0)) / (max(p) * max(n)) AS roc_auc, sum(pos / p * (tp / (tp + fp))) AS pr_auc FROM k GROUP BY 1), "
+    "b AS (SELECT model_key, threshold, 2.0 * tp / (tp + fp + p) AS f1, tp, fp FROM k QUALIFY row_number() OVER (PARTITION BY model_key ORDER BY 2.0 * tp / (tp + fp + p) DESC, threshold) = 1) "
+    "SELECT model_key, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc, threshold, round(f1, 9) AS f1, tp, fp, row_number() OVER (ORDER BY f1 DESC, pr_auc DESC, model_key) AS place FROM r JOIN b USING (model_key)",
 )
 def _best(spark, folder):
-    rows = cycles(spark, folder)
-    long = rows.select("failure_label", *TWO).unpivot(["failure_label"], TWO, "model_key", "value")
-    summary = long.groupBy("model_key").agg(F.round(F.corr("value", "failure_label"), 6).alias("measure"), F.lit(1).alias("one"))
-    return me.best_first(summary, "measure").limit(1)
+    report = me.anomaly_report(cycles(spark, folder), "failure_label", TWO)
+    # one row per score column
+    placed = report.withColumn("place", F.row_number().over(W.orderBy(F.desc("f1"), F.desc("pr_auc"), "model_key")).cast("long"))
+    named = placed.select("model_key", "roc_auc", "pr_auc", "threshold", "f1", "tp", "fp", "place")
+    return named.withColumns({c: F.round(c, 9) for c in ("roc_auc", "pr_auc", "f1")})
 
 
 @query(
@@ -538,22 +550,13 @@ def _forest(spark, folder):
 # --- evaluation ------------------------------------------------------------------------------------
 
 
-def _curve_sql() -> str:
-    long = q.unpivot("tv", ["failure_label"], TWO, "model_key", "threshold")
-    return (
-        f"{q.READINGS}, l AS ({long}), g AS (SELECT model_key, threshold, count(*) FILTER (failure_label = 1) AS pos, count(*) FILTER (failure_label = 0) AS neg FROM l GROUP BY 1, 2), "
-        "k AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER (PARTITION BY model_key) AS BIGINT) AS p, "
-        "CAST(sum(neg) OVER (PARTITION BY model_key) AS BIGINT) AS n FROM g WINDOW w AS (PARTITION BY model_key ORDER BY threshold DESC))"
-    )
-
-
 def _score_curve(spark, folder):
     return me.score_curve(cycles(spark, folder), "failure_label", TWO)
 
 
 @query(
     "roc_auc_eva1",
-    f"WITH {_curve_sql()} SELECT model_key, round(sum(neg * (tp - pos + pos / 2.0)) / (max(p) * max(n)), 9) AS roc_auc FROM k GROUP BY 1",
+    f"WITH {curve_sql()} SELECT model_key, round(sum(neg * (tp - pos + pos / 2.0)) / (max(p) * max(n)), 9) AS roc_auc FROM k GROUP BY 1",
 )
 def _roc_auc(spark, folder):
     return rounded(me.ranking_metrics(_score_curve(spark, folder)).select("model_key", "roc_auc"), 9)
@@ -561,7 +564,7 @@ def _roc_auc(spark, folder):
 
 @query(
     "average_precision_eva2",
-    f"WITH {_curve_sql()} SELECT model_key, round(sum(pos / p * (tp / (tp + fp))), 9) AS pr_auc, count(*) + 1 AS pr_curve_points FROM k GROUP BY 1",
+    f"WITH {curve_sql()} SELECT model_key, round(sum(pos / p * (tp / (tp + fp))), 9) AS pr_auc, count(*) + 1 AS pr_curve_points FROM k GROUP BY 1",
 )
 def _average_precision(spark, folder):
     return rounded(me.ranking_metrics(_score_curve(spark, folder)).select("model_key", "pr_auc", "pr_curve_points"), 9)
@@ -569,21 +572,21 @@ def _average_precision(spark, folder):
 
 @query(
     "pr_curve_eva3",
-    f"WITH {_curve_sql()} SELECT model_key, threshold, round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall FROM k "
+    f"WITH {curve_sql()} SELECT model_key, threshold, round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall FROM k "
     "UNION ALL SELECT DISTINCT model_key, CAST(NULL AS DOUBLE), 1.0, 0.0 FROM k",
 )
 def _pr_curve(spark, folder):
     return me.pr_curve(_score_curve(spark, folder)).select("model_key", "threshold", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-@query("roc_curve_eva3", f"WITH {_curve_sql()} SELECT model_key, threshold, round(fp / n, 9) AS fpr, round(tp / p, 9) AS tpr FROM k")
+@query("roc_curve_eva3", f"WITH {curve_sql()} SELECT model_key, threshold, round(fp / n, 9) AS fpr, round(tp / p, 9) AS tpr FROM k")
 def _roc_curve(spark, folder):
     return me.roc_curve(_score_curve(spark, folder)).select("model_key", "threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
 @query(
     "best_threshold_eva4",
-    f"WITH {_curve_sql()} SELECT model_key, threshold, round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall, round(2.0 * tp / (tp + fp + p), 9) AS f1, "
+    f"WITH {curve_sql()} SELECT model_key, threshold, round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall, round(2.0 * tp / (tp + fp + p), 9) AS f1, "
     "round(fp / n, 9) AS false_alarm_rate, tp, fp, n - fp AS tn, p - tp AS fn FROM k QUALIFY row_number() OVER (PARTITION BY model_key ORDER BY 2.0 * tp / (tp + fp + p) DESC, threshold) = 1",
 )
 def _best_threshold(spark, folder):
@@ -613,7 +616,7 @@ def _rul_report(spark, folder):
 
 @query(
     "classification_metrics_eva7",
-    f"WITH {_curve_sql()}, s AS (SELECT failure_label AS y, CAST(sensor_2 >= 50 AS INTEGER) AS h FROM tv) SELECT round(avg(CAST(y = h AS DOUBLE)), 9) AS accuracy, "
+    f"WITH {curve_sql()}, s AS (SELECT failure_label AS y, CAST(sensor_2 >= 50 AS INTEGER) AS h FROM tv) SELECT round(avg(CAST(y = h AS DOUBLE)), 9) AS accuracy, "
     "round(count(*) FILTER (y = 1 AND h = 1) / count(*) FILTER (h = 1), 9) AS precision, round(count(*) FILTER (y = 1 AND h = 1) / count(*) FILTER (y = 1), 9) AS recall, "
     "(SELECT round(sum(neg * (tp - pos + pos / 2.0)) / (max(p) * max(n)), 9) FROM k WHERE model_key = 'sensor_2') AS roc_auc, "
     "(SELECT round(sum(pos / p * (tp / (tp + fp))), 9) FROM k WHERE model_key = 'sensor_2') AS pr_auc FROM s",

@@ -194,16 +194,16 @@ def _layout(spark, folder):
 
 @query(
     "compact_old_snk4",
-    f"WITH {q.READINGS} SELECT CAST(floor(date_diff('day', DATE '1970-01-01', CAST(event_time AS DATE)) / 30.0) AS INTEGER) AS event_block, equipment_id, event_us, sensor_1 "
-    "FROM tv WHERE event_time < TIMESTAMP '2024-01-23 00:00:00'",
+    f"WITH {q.READINGS} SELECT CASE WHEN event_time < TIMESTAMP '2024-01-23 00:00:00' THEN CAST(floor(date_diff('day', DATE '1970-01-01', CAST(event_time AS DATE)) / 30.0) AS INTEGER) "
+    "ELSE -1 END AS event_block, equipment_id, event_us, sensor_1 FROM tv",
 )
 def _compact(spark, folder):
     hot, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
     st.write_by_day(_batch(spark, folder).select(*_KEYED), hot)
     st.compact_before(spark, hot, cold, "2024-01-23")
-    return spark.read.parquet(cold).select(
-        "event_block", "equipment_id", F.unix_micros("event_time").alias("event_us"), "sensor_1"
-    )
+    left = spark.read.parquet(hot).withColumn("event_block", F.lit(-1))
+    both = spark.read.parquet(cold).unionByName(left, allowMissingColumns=True)
+    return both.select("event_block", "equipment_id", F.unix_micros("event_time").alias("event_us"), "sensor_1")
 
 
 @query("stage_batch_snk5", f"WITH {q.READINGS} SELECT {_TV_OUT} FROM tv")
@@ -230,15 +230,16 @@ def _feature_set(spark, folder):
 
 @query(
     "publish_messages_snk7",
-    f"WITH {q.READINGS} SELECT equipment_id, CAST(sum(failure_label) AS BIGINT) AS failures, round(sum(sensor_1), 6) AS total FROM tv GROUP BY 1",
+    f"WITH {q.READINGS} SELECT equipment_id, CAST(sum(failure_label) AS BIGINT) AS failures, round(sum(sensor_1), 6) AS total, count(*) AS keyed FROM tv GROUP BY 1",
 )
 def _publish(spark, folder):
     path = scratch_path(spark, "published")
     st.publish(raw_readings(spark, folder).select("equipment_id", "event_us", "sensor_1", "failure_label"), path)
-    lines = spark.read.text(path)
-    parsed = lines.select(F.from_json("value", "equipment_id string, sensor_1 double, failure_label int").alias("m")).select("m.*")
+    lines = spark.read.schema("key string, value string").json(path)
+    parsed = lines.select("key", F.from_json("value", "equipment_id string, sensor_1 double, failure_label int").alias("m")).select("key", "m.*")
     return parsed.groupBy("equipment_id").agg(
-        F.sum("failure_label").alias("failures"), F.round(F.sum("sensor_1"), 6).alias("total")
+        F.sum("failure_label").alias("failures"), F.round(F.sum("sensor_1"), 6).alias("total"),
+        F.count_if(F.col("key") == F.col("equipment_id")).alias("keyed"),
     )
 
 

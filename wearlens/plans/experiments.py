@@ -83,7 +83,7 @@ def window_experiment(
 
 
 def plan_maintenance(
-    predictions: DataFrame, resources: Resources | None = None, rates: CostRates | None = None, max_tasks: int | None = 20,
+    predictions: DataFrame, resources: Resources | None = None, rates: CostRates | None = None, max_tasks: int | None = None,
     cycles_per_day: float = 5.0,
 ) -> dict[str, DataFrame]:
     """Tasks, cheapest-day schedule, summary and scenarios from a forecast table."""

@@ -85,15 +85,16 @@ def _tasks(spark, folder):
     f"WITH {_TASKS} SELECT equipment_id, predicted_rul FROM tk ORDER BY predicted_rul, unit LIMIT 20",
 )
 def _lowest(spark, folder):
-    return mt.maintenance_tasks(predictions(spark, folder)).select("equipment_id", "predicted_rul")
+    return mt.maintenance_tasks(predictions(spark, folder), max_tasks=20).select("equipment_id", "predicted_rul")
 
 
 @query(
     "ordered_candidates_top2",
-    f"WITH {_TASKS} SELECT equipment_id, preferred_day, predicted_rul FROM tk ORDER BY preferred_day, predicted_rul_days, equipment_id LIMIT 100",
+    f"WITH {_TASKS} SELECT equipment_id, preferred_day, predicted_rul, row_number() OVER (PARTITION BY preferred_day ORDER BY predicted_rul_days, equipment_id) AS place FROM tk",
 )
 def _candidates(spark, folder):
-    return mt.candidates(tasks(spark, folder)).limit(100).select("equipment_id", "preferred_day", "predicted_rul")
+    placed = mt.placed_candidates(tasks(spark, folder))
+    return placed.select("equipment_id", "preferred_day", "predicted_rul", "place")
 
 
 @query("task_days_joi4", f"WITH {_TASKS} SELECT equipment_id, unnest(range(0, 14)) AS day FROM tk")
@@ -381,7 +382,8 @@ def _tagged(spark, folder):
     tagged = sg.tagged_anomalies(_reading_stream(spark, folder), reference, TWO, 1.5)
     keyed = tagged.select("equipment_id", F.unix_micros("event_time").alias("event_us"), "score")
     sg.publish_stream(keyed, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    found = spark.read.text(f"{root}/out").select(F.from_json("value", "equipment_id string, event_us bigint, score double").alias("m")).select("m.*")
+    lines = spark.read.schema("key string, value string").json(f"{root}/out")
+    found = lines.select("key", F.from_json("value", "event_us bigint, score double").alias("m")).select(F.col("key").alias("equipment_id"), "m.*")
     return found.withColumn("score", F.round("score", 5))
 
 

@@ -36,7 +36,7 @@ def write_by_day(
 
 def read_by_day(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows with start <= event_time < end; the day folders outside are not listed into the scan."""
-    df = spark.read.parquet(path)
+    df = spark.read.option("mergeSchema", True).parquet(path)
     if start is not None:
         low = F.lit(start).cast("timestamp")
         df = df.where((F.col(DATE) >= F.to_date(low)) & (F.col("event_time") >= low))
@@ -47,10 +47,15 @@ def read_by_day(spark: SparkSession, path: str, start: str | None = None, end: s
 
 
 def _existing(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame | None:
-    """Rows of the table in the days the batch touches, or None while there is no table."""
+    """Rows of the table in the days the batch touches, or None while there is no table.
+
+    Files may differ in columns, since a batch may bring new ones; any other error than a missing table is raised.
+    """
     try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
+        table = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     days = [r[0] for r in batch.select(DATE).distinct().collect()]  # one value per calendar day
     return table.where(F.col(DATE).isin(days))
@@ -83,7 +88,11 @@ def insert_if_absent(
 
 
 def upsert(batch: DataFrame, path: str, arrival: list[str], key: list[str] | None = None) -> None:
-    """Replace rows of equal key by the newest arrival, keep their `created_at`, rewrite the touched days only."""
+    """Replace rows of equal key by the newest arrival, keep their `created_at`, rewrite the touched days only.
+
+    Columns that only the table has keep their stored values; columns that only the batch has are null in rows it does not
+    replace.
+    """
     key = key or READING_KEY
     spark = batch.sparkSession
     columns = [c for c in batch.columns if c not in arrival]
@@ -93,21 +102,33 @@ def upsert(batch: DataFrame, path: str, arrival: list[str], key: list[str] | Non
         DATE, *key, *body, "created_at", F.struct(F.lit(1).alias("source"), *arrival).alias("_order")
     )
     existing = _existing(spark, path, fresh)
-    merged = fresh
+    merged, stored = fresh, []
     if existing is not None:
+        stored = [c for c in existing.columns if c not in {DATE, "created_at", *key, *body, *arrival}]
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in batch.select(*arrival).schema.fields]
         kept = existing.select(
-            DATE, *key, *body, "created_at", F.struct(F.lit(0).alias("source"), *none).alias("_order")
+            DATE,
+            *key,
+            *[c for c in body if c in existing.columns],
+            *stored,
+            "created_at",
+            F.struct(F.lit(0).alias("source"), *none).alias("_order"),
         )
-        merged = kept.unionByName(fresh)
+        merged = kept.unionByName(fresh, allowMissingColumns=True)
+    # a key has one stored row at most, so its stored-only columns are that row's
     newest = merged.groupBy(DATE, *key).agg(
-        F.max_by(F.struct(*body), "_order").alias("_body"), F.min_by("created_at", "_order").alias("created_at")
+        F.max_by(F.struct(*body), "_order").alias("_body"),
+        *[F.min_by(c, "_order").alias(c) for c in stored],
+        F.min_by("created_at", "_order").alias("created_at"),
     )
-    write_by_day(newest.select(*key, "_body.*", "created_at"), path, mode="overwrite")
+    write_by_day(newest.select(*key, "_body.*", *stored, "created_at"), path, mode="overwrite")
 
 
 def compact_before(spark: SparkSession, source: str, target: str, cutoff: str, block_days: int = 30) -> None:
-    """Copy the days before `cutoff` into zstd files grouped by blocks of `block_days` days, same rows."""
+    """Move the days before `cutoff` into zstd files grouped by blocks of `block_days` days, same rows.
+
+    The day folders are removed from the source only after the blocks are written and their rows counted.
+    """
     old = spark.read.parquet(source).where(F.col(DATE) < F.lit(cutoff).cast("date"))
     block = F.floor(F.unix_date(DATE) / block_days).alias("event_block")
     grouped = old.select("*", block).repartitionByRange("event_block", *CLUSTER)
@@ -119,6 +140,13 @@ def compact_before(spark: SparkSession, source: str, target: str, cutoff: str, b
         .partitionBy("event_block")
         .parquet(target)
     )
+    days = [r[0] for r in old.select(DATE).distinct().collect()]  # one value per calendar day
+    moved = spark.read.parquet(target).where(F.col(DATE).isin(days)).count() if days else 0
+    if moved != old.count():
+        raise RuntimeError(f"{target} does not hold all rows before {cutoff}; {source} is left as it is.")
+    for day in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/{DATE}={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage_batch(prepared: DataFrame, path: str, form: str = "parquet") -> None:
@@ -140,12 +168,12 @@ def write_feature_set(features: DataFrame, path: str, version: str) -> None:
 
 def keyed_messages(df: DataFrame, key: str = "equipment_id") -> DataFrame:
     """`key, value`: one JSON object per row, ready for a message sink or a file."""
-    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def publish(df: DataFrame, path: str, key: str = "equipment_id") -> None:
-    """Batch publish of keyed JSON as text lines."""
-    keyed_messages(df, key).select("value").write.mode("append").text(path)
+    """Batch publish of messages as JSON lines `{"key": ..., "value": ...}`."""
+    keyed_messages(df, key).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
 def save_run(tables: dict[str, DataFrame], root: str, run_name: str) -> None:

@@ -36,10 +36,11 @@ def tagged_anomalies(readings: DataFrame, reference: DataFrame, features: list[s
 
 
 def publish_stream(rows: DataFrame, path: str, checkpoint: str, topic_key: str = "equipment_id") -> StreamingQuery:
-    """Write a stage as keyed JSON lines."""
-    keyed = keyed_messages(rows, topic_key).select("value")
+    """Write a stage as JSON lines `{"key": ..., "value": ...}`."""
+    keyed = keyed_messages(rows, topic_key)
     return (
-        keyed.writeStream.format("text")
+        keyed.writeStream.format("json")
+        .option("ignoreNullFields", "false")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
