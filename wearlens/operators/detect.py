@@ -100,12 +100,13 @@ def zscore_reference(df: DataFrame, features: list[str]) -> DataFrame:
 def mad_reference(df: DataFrame, features: list[str]) -> DataFrame:
     """`feature, center, scale`: median and scaled median absolute deviation, both exact."""
     long = to_long(df, features)
-    center = exact_medians(long)
-    away = long.join(F.broadcast(center), "feature").select("feature", F.abs(F.col("value") - F.col("median")).alias("value"))
-    spread = exact_medians(away).withColumnRenamed("median", "mad")
-    return center.join(spread, "feature").select(
-        "feature", F.col("median").alias("center"), safe_scale(F.col("mad") * MAD_FACTOR).alias("scale")
-    )
+    # one number per feature reaches the driver and goes back as a constant
+    centers = {r["feature"]: r["median"] for r in exact_medians(long).collect()}
+    if not centers:
+        return long.sparkSession.createDataFrame([], "feature string, center double, scale double")
+    center = F.element_at(F.create_map(*[F.lit(x) for pair in centers.items() for x in pair]), F.col("feature"))
+    spread = exact_medians(long.select("feature", F.abs(F.col("value") - center).alias("value")))
+    return spread.select("feature", center.alias("center"), safe_scale(F.col("median") * MAD_FACTOR).alias("scale"))
 
 
 def distance_score(reference: DataFrame, features: list[str]) -> Column:

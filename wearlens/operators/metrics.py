@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.ordered import running_totals
 from ..functions.quantiles import exact_quantiles
 from ..schemas import require
+from ..session import written
 
 
 def score_curve(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
@@ -19,10 +20,12 @@ def score_curve(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
     """
     require(df, [label, *scores], "evaluate scores")
     long = df.select(F.col(label).cast("int").alias("label"), *[F.col(s).cast("double").alias(s) for s in scores])
-    long = long.unpivot(["label"], scores, "model_key", "threshold").where("threshold IS NOT NULL")
+    long = long.unpivot(["label"], scores, "model_key", "threshold").where("threshold IS NOT NULL AND NOT isnan(threshold)")
     grouped = long.groupBy("model_key", "threshold").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
     )
+    # read four times below: cut points, bucket sums, rows and totals
+    grouped = written(grouped, "score-groups")
     curve = running_totals(grouped, "model_key", "threshold", {"pos": "tp", "neg": "fp"})
     # One row per score column.
     totals = grouped.groupBy("model_key").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
