@@ -35,8 +35,7 @@ from wearlens.session import written
 
 from .jaccard import packed, unpacked
 from .spread import bit_set, dealt, in_bit_set, joined, shard_groups
-from .textscan import Chunk, mix, text_chunks
-from .textscan import _powers as powers
+from .textscan import Chunk, mix, powers, text_chunks
 
 LENGTH = 50
 K = 20

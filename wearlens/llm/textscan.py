@@ -54,9 +54,13 @@ CODES = {SPACED: _codes(SPACED), ALNUM: _codes(ALNUM)}
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, kept for later calls and doubled when more are asked for.
+
+    They are made where they are used: a function sent to executors takes its module's tables along.
+    """
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, SEGMENT + 1)
+        size = max(n, 2 * len(_POWERS.get("p", ())), 256)
         with np.errstate(over="ignore"):
             for name, base in (("p", int(_BASE)), ("i", pow(int(_BASE), -1, 1 << 64))):
                 steps = np.full(size, base, np.uint64)
@@ -130,7 +134,7 @@ class Words:
         while i < len(self):
             at = self.starts[i]
             j = max(i + 1, int(np.searchsorted(self.ends, at + SEGMENT, "right")))
-            power, inverse = _powers(int(self.ends[j - 1] - at) + 1)
+            power, inverse = powers(int(self.ends[j - 1] - at) + 1)
             part = self.codes[self.chunk.buf[at : self.ends[j - 1]]]
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(part * power[: len(part)], out=total[1:])
