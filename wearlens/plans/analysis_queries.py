@@ -15,7 +15,7 @@ from ..operators import sequences as se
 from ..schemas import SENSORS, SETTINGS
 from . import sqltext as q
 from .batch_queries import TWO, rounded
-from .bindings import matrix, readings, table, unit_cycles
+from .bindings import ELEMENTS, matrix, readings, table, unit_cycles
 from .registry import query
 
 SEED = 42
@@ -302,15 +302,15 @@ def _level(spark, folder):
     return out.select("unit", "sensor", "kpss_stat", "kpss_stationary")
 
 
-_WIDE = SENSORS
+_WIDE = ELEMENTS
 
 
 @query(
     "zscore_reference_agg9",
-    f"WITH {q.MATRIX} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS center, round(stddev_pop({c}), 6) AS scale FROM ev" for c in _WIDE),
+    f"WITH {q.WIDE_MATRIX} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS center, round(stddev_pop({c}), 6) AS scale FROM ev" for c in _WIDE),
 )
 def _zscore(spark, folder):
-    return rounded(de.zscore_reference(matrix(spark, folder), _WIDE))
+    return rounded(de.zscore_reference(matrix(spark, folder, _WIDE), _WIDE))
 
 
 def _mad_sql(source: str, columns: list[str]) -> str:
@@ -417,17 +417,17 @@ def _top(spark, folder):
 
 def _injected_sql(append: bool) -> str:
     h = lambda salt: q.row_hash("unit", "cycle", salt)
-    n = len(SENSORS)
+    n = len(ELEMENTS)
     ranks = ", ".join(h(SEED + 1000 + i) for i in range(1, n + 1))
     outs = []
-    for i, s in enumerate(SENSORS, start=1):
+    for i, s in enumerate(ELEMENTS, start=1):
         u1, u2 = q.uniform("unit", "cycle", SEED + 2000 + i), q.uniform("unit", "cycle", SEED + 2500 + i)
         noise = f"sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2})"
         share = f"(0.01 + 0.07 * {q.uniform('unit', 'cycle', SEED + 3000 + i)})"
         new = f"CASE kind WHEN 'spike' THEN {s} + 24.0 + 4.5 * {noise} WHEN 'dropout' THEN {s} * {share} ELSE {s} + 10.0 + 2.0 * {noise} END"
         outs.append(f"round(CASE WHEN chosen AND ranks[{i}] <= cut THEN {new} ELSE {s} END, 5) AS {s}")
     base = (
-        f"{q.MATRIX}, a AS (SELECT *, {h(SEED)} AS hash, cycle >= ceil(0.7 * max(cycle) OVER (PARTITION BY unit)) AS late FROM ev), "
+        f"{q.WIDE_MATRIX}, a AS (SELECT *, {h(SEED)} AS hash, cycle >= ceil(0.7 * max(cycle) OVER (PARTITION BY unit)) AS late FROM ev), "
         "b AS (SELECT *, late AND row_number() OVER (PARTITION BY late ORDER BY hash, unit, cycle) <= greatest(1, round_even((SELECT count(*) FROM ev) * 0.08, 0)) AS chosen FROM a), "
         f"c AS (SELECT *, ['spike', 'dropout', 'drift_jump'][{h(SEED + 1)} % 3 + 1] AS kind, [{ranks}] AS ranks FROM b), "
         "d AS (SELECT *, list_sort(ranks)[CASE kind WHEN 'spike' THEN 4 WHEN 'dropout' THEN 3 ELSE 6 END] AS cut FROM c), "
@@ -435,13 +435,13 @@ def _injected_sql(append: bool) -> str:
     )
     if not append:
         return base
-    clean = ", ".join(f"round({s}, 5) AS {s}" for s in SENSORS)
+    clean = ", ".join(f"round({s}, 5) AS {s}" for s in ELEMENTS)
     return base + f", app AS (SELECT unit, cycle, {clean}, 0 AS is_anomaly, 'normal' AS injected_anomaly_type FROM ev UNION ALL SELECT * FROM inj WHERE is_anomaly = 1)"
 
 
 def _injected(spark, folder, append: bool) -> DataFrame:
-    holdout = matrix(spark, folder).select("unit", "cycle", *SENSORS)
-    return de.inject_anomalies(holdout, 0.08, SEED, append=append)
+    holdout = matrix(spark, folder, ELEMENTS).select("unit", "cycle", *ELEMENTS)
+    return de.inject_anomalies(holdout, 0.08, SEED, ELEMENTS, append)
 
 
 @query("inject_anomalies_ano1", f"WITH {_injected_sql(False)} SELECT * FROM inj")
@@ -456,13 +456,13 @@ def _append(spark, folder):
 
 @query(
     "paired_changes_joi7",
-    f"WITH {_injected_sql(True)}, l AS ({q.unpivot('app', ['unit', 'cycle', 'is_anomaly', 'injected_anomaly_type'], SENSORS)}), "
+    f"WITH {_injected_sql(True)}, l AS ({q.unpivot('app', ['unit', 'cycle', 'is_anomaly', 'injected_anomaly_type'], ELEMENTS)}), "
     "j AS (SELECT a.unit, a.cycle, a.injected_anomaly_type, a.sensor, c.value AS clean, a.value AS anomalous, a.value - c.value AS delta, "
     "row_number() OVER (PARTITION BY a.unit, a.cycle ORDER BY abs(a.value - c.value) DESC, a.sensor) AS rank FROM l a JOIN l c USING (unit, cycle, sensor) WHERE a.is_anomaly = 1 AND c.is_anomaly = 0) "
     "SELECT unit, cycle, injected_anomaly_type, sensor, round(delta, 7) AS delta FROM j WHERE rank <= 3",
 )
 def _paired(spark, folder):
-    pairs = de.paired_changes(rounded(_injected(spark, folder, True), 5), SENSORS, top=3)
+    pairs = de.paired_changes(rounded(_injected(spark, folder, True), 5), ELEMENTS, top=3)
     return pairs.select("unit", "cycle", "injected_anomaly_type", "sensor", F.round("delta", 7).alias("delta"))
 
 
@@ -541,9 +541,9 @@ def _lof(spark, folder):
 
 @query("isolation_forest_ano4")
 def _forest(spark, folder):
-    train = matrix(spark, folder)
+    train = matrix(spark, folder, ELEMENTS)
     rows = _injected(spark, folder, False)
-    out = fo.isolation_scores(train, rows, "vec_id", SENSORS)
+    out = fo.isolation_scores(train, rows, "vec_id", ELEMENTS)
     return out.select("unit", "cycle", "is_anomaly", "isolation_forest_score")
 
 

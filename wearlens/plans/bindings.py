@@ -57,8 +57,14 @@ def unit_cycles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors as a unit/cycle table: unit = label, 21 sensors and 3 settings from the first 24 elements."""
+ELEMENTS = [f"sensor_{i}" for i in range(1, 65)]
+
+
+def matrix(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+    """Vectors as a unit/cycle table: unit = label, elements under the given names.
+
+    By default the 21 sensors and 3 settings that the readers' files have; ELEMENTS names all 64.
+    """
     vectors = table(spark, folder, "embeddings")
     rows = row_index(
         vectors.select("vec_id", F.col("label").alias("unit"), "embedding"),
@@ -67,5 +73,5 @@ def matrix(spark: SparkSession, folder: str) -> DataFrame:
         F.floor(F.col("vec_id") / CYCLE_BUCKET),
         "cycle",
     )
-    picked = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(SENSORS + SETTINGS)]
+    picked = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names or SENSORS + SETTINGS)]
     return rows.select("unit", "cycle", "vec_id", *picked)

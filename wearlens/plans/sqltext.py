@@ -19,9 +19,13 @@ u0 AS (SELECT tv.*, life - cycle AS rul FROM tv JOIN lv USING (unit)),
 ab AS (SELECT regr_slope(rul, cycle) AS slope, regr_intercept(rul, cycle) AS start FROM u0),
 uv AS (SELECT u0.*, round(start + slope * cycle, 6) AS prediction FROM u0, ab)"""
 
-MATRIX = "ev AS (SELECT label AS unit, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS cycle, vec_id, " + ", ".join(
-    f"CAST(embedding[{i}] AS DOUBLE) AS {c}" for i, c in enumerate(SENSORS + SETTINGS, start=1)
-) + " FROM embeddings)"
+def matrix(names: list[str]) -> str:
+    picked = ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS {c}" for i, c in enumerate(names, start=1))
+    return f"ev AS (SELECT label AS unit, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS cycle, vec_id, {picked} FROM embeddings)"
+
+
+MATRIX = matrix(SENSORS + SETTINGS)
+WIDE_MATRIX = matrix([f"sensor_{i}" for i in range(1, 65)])
 
 
 def row_hash(a: str, b: str, salt: str | int) -> str:
