@@ -7,7 +7,7 @@ import os
 import time
 
 from wearlens.plans import catalog
-from wearlens.session import build_session
+from wearlens.session import build_session, discard_scratch
 
 HEADLINE = (
     "rolling_stats_win1", "lags_win2", "rolling_fft_win3", "window_scores_win7", "target_windows_win8", "sequence_scaler_win11",
@@ -29,6 +29,7 @@ def main() -> None:
             catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         times[name] = round(min(runs), 3)
+        discard_scratch(spark)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(folder)}))
     spark.stop()

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from wearlens.session import build_session  # noqa: E402
+from wearlens.session import build_session, discard_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = build_session("local[4]", 4, "wearlens-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    discard_scratch(session)
     session.stop()

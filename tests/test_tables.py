@@ -139,3 +139,15 @@ def test_other_errors_are_not_an_absent_table(spark, tmp_path):
     batch = spark.createDataFrame([(datetime.datetime(2024, 1, 1), "e", "r", 1.0)], "event_time timestamp, equipment_id string, run_id string, a double")
     with pytest.raises(Exception):
         st.insert_if_absent(batch, str(path))
+
+
+def test_scratch_folders_can_be_discarded(spark):
+    from wearlens import session
+
+    before = session._MADE.pop(spark.sparkContext.applicationId, [])
+    kept = session.written(spark.range(3), "discarded")
+    path = kept.inputFiles()[0]
+    assert kept.count() == 3 and session.discard_scratch(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+    session._MADE[spark.sparkContext.applicationId] = before

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000
+#: Positions are numbered inside an hour of a key; only counts per hour are put in order for the whole key.
+HOUR = 3_600_000_000
 CYCLE_BUCKET = 4096
 
 

@@ -89,7 +89,7 @@ def tasks_from_latest(
 ) -> DataFrame:
     """One task per unit from its latest predicted remaining life."""
     if cycles_per_day <= 0:
-        raise ValueError("cycles_per_day must be positive.")
+        raise ValueError("A day needs more than 0 cycles.")
     rates = rates or CostRates()
     rul = F.greatest(F.col(column).cast("double"), F.lit(0.0))
     based = latest.select(F.concat(F.lit("unit_"), F.col("unit").cast("long").cast("string")).alias("equipment_id"), rul.alias("predicted_rul"))

@@ -108,7 +108,7 @@ def anomaly_report(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
     """Ranking metrics and best-F1 threshold of every score column present, best F1 first."""
     present = [s for s in scores if s in df.columns]
     if not present:
-        raise ValueError("No supported anomaly score columns were found.")
+        raise ValueError("None of the asked score columns is in the table.")
     curve = score_curve(df, label, present)
     ranked = ranking_metrics(curve).drop("pr_curve_points")
     return best_first(ranked.join(best_thresholds(curve), "model_key"), "f1", "pr_auc")
@@ -137,7 +137,7 @@ def rul_report(df: DataFrame, target: str = "rul", prediction: str = "prediction
     y, p = F.col(target).cast("double"), F.col(prediction).cast("double")
     error = F.abs(y - p)
     nonzero = F.abs(y) > 1e-9
-    failed = F.raise_error(F.lit("Cannot compute MAPE because all RUL targets are zero.")).cast("double")
+    failed = F.raise_error(F.lit("The percentage error is undefined: every target is zero.")).cast("double")
     mape = F.coalesce(F.avg(F.when(nonzero, error / F.nullif(F.abs(y), F.lit(0.0)))), failed)
     errors = df.select(F.lit("error").alias("feature"), error.alias("value")).where("value IS NOT NULL")
     median = exact_quantiles(errors, [0.5]).select("quantile").scalar()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MICROS, parse_time
-from ..functions.ordered import DAY, row_index
+from ..functions.ordered import HOUR, row_index
 from ..schemas import DEFAULT_FEATURE_SET, FEATURE_META, READINGS, SENSORS, SETTINGS, require
 
 # Prediction columns in order of preference, and readable names of the score columns.
@@ -24,7 +24,7 @@ SCORE_NAMES = {
 
 def strict_time(c: Column) -> Column:
     """Timestamp; the job fails on the first value that is none."""
-    failed = F.raise_error(F.lit("event_time contains unparseable values.")).cast("timestamp")
+    failed = F.raise_error(F.lit("A value of event_time is no time.")).cast("timestamp")
     return F.coalesce(parse_time(c), failed)
 
 
@@ -43,7 +43,7 @@ def prepare_batch(
     if "run_id" not in out.columns:
         out = out.withColumn("run_id", F.concat(F.col("equipment_id").cast("string"), F.lit("_batch_run_001")))
     if "cycle" not in out.columns:
-        bucket = F.floor(F.unix_micros("event_time") / DAY)
+        bucket = F.floor(F.unix_micros("event_time") / HOUR)
         out = row_index(out, ["equipment_id"], ["event_time", *ties], bucket, "cycle")
     if source_file is not None and "source_file" not in out.columns:
         out = out.withColumn("source_file", source_file if isinstance(source_file, Column) else F.lit(source_file))

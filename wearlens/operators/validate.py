@@ -127,7 +127,7 @@ def gate(checks: DataFrame) -> None:
     failed = checks.where(~F.col("success")).orderBy("name").collect()
     if failed:
         summary = "; ".join(f"{r['name']}: {r['details']}" for r in failed)
-        raise ValueError(f"Batch validation failed. {summary}")
+        raise ValueError(f"The batch did not pass its checks: {summary}")
 
 
 def missing_values(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import at_least, blend, peak_index, ratio
-from ..functions.ordered import DAY, row_index
+from ..functions.ordered import HOUR, row_index
 from ..operators import features as ft
 from ..operators import prepare as pr
 from ..operators import validate as va
@@ -563,7 +563,7 @@ def _fft(spark, folder):
 @query("running_count_win4", f"WITH {q.READINGS} SELECT equipment_id, event_us, cycle FROM tv")
 def _running(spark, folder):
     rows = raw_readings(spark, folder)
-    out = row_index(rows, ["equipment_id"], ["event_us", "event_id"], F.floor(F.col("event_us") / DAY), "cycle")
+    out = row_index(rows, ["equipment_id"], ["event_us", "event_id"], F.floor(F.col("event_us") / HOUR), "cycle")
     return out.select("equipment_id", "event_us", "cycle")
 
 

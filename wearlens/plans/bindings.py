@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.joins import attach_facts
-from ..functions.ordered import CYCLE_BUCKET, DAY, row_index
+from ..functions.ordered import CYCLE_BUCKET, HOUR, row_index
 from ..schemas import SENSORS, SETTINGS
 
 
@@ -35,7 +35,7 @@ def raw_readings(spark: SparkSession, folder: str) -> DataFrame:
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """Readings with `cycle`, the position of the row inside its equipment."""
     rows = raw_readings(spark, folder)
-    return row_index(rows, ["equipment_id"], ["event_us", "event_id"], F.floor(F.col("event_us") / DAY), "cycle")
+    return row_index(rows, ["equipment_id"], ["event_us", "event_id"], F.floor(F.col("event_us") / HOUR), "cycle")
 
 
 def unit_cycles(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators.neighbours import local_outlier_factor
 from ..operators.prepare import pack_long_features, prepare_batch
 from ..operators.sequences import sequence_windows
 from ..operators.validate import gate, validation_checks
-from ..functions.ordered import DAY, row_index
+from ..functions.ordered import HOUR, row_index
 from ..session import written
 from ..sinks.tables import upsert
 
@@ -27,7 +27,7 @@ ROW_SCORES = ["isolation_forest_score", "local_outlier_factor_score", "zscore_sc
 def run_batch(raw: DataFrame, table: str, sensors: list[str], version: str, source_file: str | Column | None = None) -> DataFrame:
     """CSV or table rows to stored features in one plan: normalize, validate (raises before any write),
     engineer, pack, upsert. Returns the packed rows."""
-    bucket = F.floor(F.unix_micros("event_time") / DAY)
+    bucket = F.floor(F.unix_micros("event_time") / HOUR)
     prepared = prepare_batch(raw, sensors, source_file)
     placed = written(row_index(prepared, ["equipment_id"], ["event_time", "run_id"], bucket), "prepared")
     gate(validation_checks(placed, sensors))
@@ -41,10 +41,12 @@ def score_detectors(
     train: DataFrame, rows: DataFrame, features: list[str], trees: int = 300, neighbours: int = 35, contamination: float = 0.08
 ) -> DataFrame:
     """Row scores of the two reference distances, the isolation forest and the local outlier factor."""
-    known = written(train.withColumn("_row", F.xxhash64("unit", "cycle")), "train-rows")
-    labelled = written(rows.withColumn("_row", F.xxhash64("unit", "cycle", "is_anomaly")), "scored-rows")
+    # Numbers of written rows never meet, as hashes may; the forest samples by a hash that does not depend on the partitions.
+    number = F.monotonically_increasing_id()
+    known = written(train.withColumns({"_row": number, "_hash": F.xxhash64("unit", "cycle")}), "train-rows")
+    labelled = written(rows.withColumn("_row", number), "scored-rows")
     scored = score_statistics(known, labelled, features)
-    scored = isolation_scores(known, scored, "_row", features, contamination, trees)
+    scored = isolation_scores(known, scored, "_hash", features, contamination, trees)
     # Distances are taken between standardized rows.
     from ..operators.detect import zscore_reference
     from ..operators.sequences import fitted_values, scaled
@@ -61,7 +63,7 @@ def row_experiment(
 ) -> tuple[DataFrame, DataFrame]:
     """Scored rows with injected anomalies, and the ranking metrics, best average precision first."""
     if not 0 < contamination < 0.5:
-        raise ValueError("contamination must be between 0 and 0.5.")
+        raise ValueError("The expected share of anomalies has to lie above 0 and below one half.")
     labelled = inject_anomalies(holdout, fraction, seed, features, append)
     scored = written(score_detectors(train, labelled, features, trees, neighbours, contamination), "row-scores")
     return scored, best_first(ranking_metrics(score_curve(scored, "is_anomaly", ROW_SCORES)), "pr_auc")

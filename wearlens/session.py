@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, name: str = "wearlens") -> SparkSession:
@@ -40,7 +41,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for one written table; never reused, so a retried job cannot meet older files."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Remove the folders this application's queries have written for themselves; call it after the last action on them."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

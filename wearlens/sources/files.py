@@ -65,7 +65,7 @@ def load_dataset(
         return train, test, read_targets(spark, f"{folder}/RUL_{fd}.txt")
     if source == "kaggle":
         return read_csv(spark, f"{root}/Kaggle/{table_name}.csv", schema), None, None
-    raise ValueError(f"Unknown source: {source}")
+    raise ValueError(f"No reader for {source}.")
 
 
 def newest(df: DataFrame) -> DataFrame:
