@@ -10,6 +10,7 @@ beginning of the newest bucket. Each row takes part in a constant number of grow
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,6 +28,8 @@ ROLLING_WINDOWS = {"1h": HOUR, "8h": 8 * HOUR, "24h": 24 * HOUR}
 STATS = ("mean", "std", "min", "max")
 LAGS = tuple(range(1, 13))
 SPECTRUM_TOP = 5
+#: Values transformed at once by the rolling spectrum.
+FFT_BLOCK = 2_000_000
 LAG_RUN = 65_536
 
 
@@ -201,9 +204,9 @@ def rolling_spectrum(
 ) -> DataFrame:
     """Top Fourier amplitudes of `value` over [t-w, t] per key.
 
-    Every row needs all values of its window, so the values are gathered per row. Time is cut into chunks
-    that also receive the last `window` of the chunks before: a task's frame covers one chunk plus one
-    window of one equipment and sensor, whatever the length of its history.
+    Time is cut into chunks that also receive the last `window` of the chunks before. A task goes through its chunks in
+    order, holds one of them at a time and moves over it with a start index, so no window is copied into a row. Null values are
+    left out of the windows; a row without a value has the spectrum of the values around it.
     """
     reach = -(-window // chunk)
     position = F.floor(F.col(time_us) / chunk)
@@ -212,10 +215,57 @@ def rolling_spectrum(
         readings.select(*keys, *ids, time_us, "value", position.alias("_home"))
         .withColumn("_chunk", F.explode(F.sequence("_home", last)))
         .withColumn("_own", F.col("_home") == F.col("_chunk"))
+        .drop("_home")
     )
-    frame = W.partitionBy(*keys, "_chunk").orderBy(time_us).rangeBetween(-window, 0)
-    gathered = lent.withColumn("_values", F.collect_list("value").over(frame)).where("_own")
-    return gathered.select(*keys, *ids, time_us, *spectrum_of(F.col("_values"), top))
+    names, places = [*keys, *ids, time_us], [*keys, "_chunk"]
+    amplitudes = [f"fft_amp_{i + 1}" for i in range(top)]
+
+    def whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            fresh = np.flatnonzero(_new_group(rows, places))
+            held = rows.iloc[fresh[-1] :] if len(rows) else rows
+            if len(rows) and fresh[-1]:
+                yield spectra(rows.iloc[: fresh[-1]])
+        if held is not None and len(held):
+            yield spectra(held)
+
+    def spectra(rows: pd.DataFrame) -> pd.DataFrame:
+        time = rows[time_us].to_numpy(np.int64)
+        # one axis for all chunks, with a gap of more than a window between them
+        axis = time - time.min() + np.cumsum(_new_group(rows, places)) * (time.max() - time.min() + window + 1)
+        values = rows["value"].to_numpy(float)
+        known = ~np.isnan(values)
+        own = rows["_own"].to_numpy(bool)
+        start = np.searchsorted(axis[known], axis[own] - window, "left")
+        length = np.searchsorted(axis[known], axis[own], "right") - start
+        found = np.full((own.sum(), top), np.nan)
+        for n in np.unique(length[length >= 2]):
+            at = np.flatnonzero(length == n)
+            for part in np.array_split(at, -(-len(at) * n // FFT_BLOCK)):
+                block = values[known][start[part][:, None] + np.arange(n)]
+                strength = np.abs(np.fft.rfft(block - block.mean(axis=1, keepdims=True), axis=1))[:, 1:]
+                ranked = -np.sort(-strength, axis=1)[:, :top]
+                found[part, : ranked.shape[1]] = ranked
+        out = rows.loc[own, names].reset_index(drop=True)
+        for i, name in enumerate(amplitudes):
+            out[name] = pd.Series(found[:, i], dtype="Float64").mask(np.isnan(found[:, i]))
+        return out
+
+    kinds = T.StructType([lent.schema[c] for c in names] + [T.StructField(c, T.DoubleType()) for c in amplitudes])
+    dealt = lent.repartition(*places).sortWithinPartitions(*places, time_us)
+    return dealt.mapInPandas(whole_chunks, kinds)
+
+
+def _new_group(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Whether a row differs from the one before it in one of the columns; the first row does."""
+    fresh = np.zeros(len(rows), bool)
+    fresh[:1] = True
+    for c in columns:
+        codes = pd.factorize(rows[c], use_na_sentinel=False)[0]
+        fresh[1:] |= codes[1:] != codes[:-1]
+    return fresh
 
 
 def ratio_pairs(sensors: list[str]) -> list[tuple[str, str]]:
