@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, extract, jaccard, kneser, lines, packing, pii, quality, substrings, toxicity
 from .registry import query, table
-from .sqltext import DECONTAMINATION
+from .sqltext import DECONTAMINATION, JACCARD, QUALITY_RULES, REPEATS
 
 
 @query("op1_toxicity")
@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), "predicted")
 
 
-@query("op2_ngram_jaccard_join")
+@query("op2_ngram_jaccard_join", JACCARD)
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
@@ -43,7 +43,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", QUALITY_RULES)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = lines.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "common_words")
@@ -60,7 +60,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "described")
 
 
-@query("op8_suffix_array_dedup")
+@query("op8_suffix_array_dedup", REPEATS)
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 

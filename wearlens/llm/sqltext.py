@@ -28,3 +28,69 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
 from d left join h using (r) left join t using (r)
 """
 
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+JACCARD = f"""
+with recursive d as (select row_number() over () as r, doc_id, {_words(_SPACED)} as w from documents),
+s as (
+  select distinct r, k from (select r, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as k from d)
+),
+n as (select r, count(*) as n from s group by r),
+p as (select a.r as a, b.r as b, count(*) as c from s a join s b on a.k = b.k and a.r < b.r group by all),
+l as (select a, b from p join n x on x.r = a join n y on y.r = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+t as (select r, r as o from d union select t.r, e.b from t join e on t.o = e.a)
+select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(o.doc_id) as component_id
+from t join d on d.r = t.r join d o on o.r = t.o left join n on n.r = t.r group by t.r, d.doc_id
+"""
+
+QUALITY_RULES = f"""
+with d as (
+  select row_number() over () as r, doc_id, source as host, coalesce(text, '') as x, regexp_extract_all(coalesce(text, ''), '{_SPACED}') as w from documents
+),
+g as (select r, s, array_to_string(w[s : s + 2], ' ') as k from (select r, w, unnest(range(1, len(w) - 1)) as s from d)),
+c as (select r, unnest(range(s, s + 3)) as p from (select *, count(*) over (partition by r, k) as times from g) where times > 1),
+q as (select r, count(distinct p) as n_repeat_words from c group by r),
+l as (
+  select r, host, md5(x) as copy, line, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '{_SPACED}') as lw
+  from (select r, host, x, unnest(string_split(x, chr(10))) as line from d)
+),
+m as (select r, host, copy, line, array_to_string(lw, ' ') as k, len(lw) as size from l where len(lw) > 0),
+u as (select r, count(*) - count(distinct line) as n_dup_lines from m group by r),
+h as (select host, count(distinct md5(x)) as docs from d group by host),
+f as (
+  select m.host, k from m join h on m.host is not distinct from h.host group by m.host, k
+  having count(distinct copy) >= 20 and count(distinct copy) > 0.05 * max(docs)
+),
+z as (select r, cast(sum(size) as bigint) as common_words from m join f on m.host is not distinct from f.host and m.k = f.k group by r),
+b as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(x, '[#*$%&|<>]')) as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(common_words, 0) as common_words
+  from d left join q using (r) left join u using (r) left join z using (r)
+)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (n_words > 0 and n_words - common_words < 0.5 * n_words) as kept
+from b
+"""
+
+REPEATS = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, doc_id, p, substr(h, 2 * p + 1, 100) as k from (select *, unnest(range(0, len(h) // 2 - 49)) as p from d)),
+m as (select k, min(doc_id) as least from w group by k),
+x as (select r, p from w join m using (k) where least < doc_id),
+i as (select r, p, case when p > lag(p) over (partition by r order by p) + 50 then 1 else 0 end as fresh from x),
+j as (select r, p, sum(fresh) over (partition by r order by p) as run from i),
+s as (select r, run, min(p) as a, max(p) + 50 as b from j group by r, run),
+t as (select *, lag(b, 1, 0) over (partition by r order by a) as c from s),
+u as (
+  select r, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans,
+    string_agg(substr(h, cast(2 * c + 1 as bigint), cast(2 * (a - c) as bigint)), '' order by a) || substr(any_value(h), cast(2 * max(b) + 1 as bigint)) as kept
+  from t join d using (r) group by r
+)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join u using (r)
+"""
