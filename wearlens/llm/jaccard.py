@@ -6,10 +6,13 @@ n - ceil(t n) + l shingles share at least l of them, for every l. Each document
 prefix stored, the postings it meets, and the verifications left after asking for l matches; a pair is held to the smaller
 of its two l. Equal sets are one node from the start, so copies are never paired.
 
-Components are wanted, not every link. Postings are dealt by shingle to shards. A first pass verifies, for a part of the
-shingles, only the pairs of each posting list with one of its leaders; that joins groups of near copies by about as many
-links as they have members. The second pass takes every pair of the prefix index whose two nodes are still in different
-components, with the full matching rule, so that no link between components is missed. Verification compares whole sets.
+Components are wanted, not every link. Postings are dealt by shingle to shards. A first pass compares each node with one
+leader, the most central node of all its posting lists (the one whose prefix has most frequent shingles: the text that others
+are copies of); that joins groups of near copies by at most one comparison for each member. The second pass takes every pair of
+the prefix index whose two nodes are still in different components, with the full matching rule, so that no link between
+components is missed. Two nodes of one leader meet there only if they can link within the leader's shingles: they share at most
+what each of them shares with the leader, and shingles outside it. Pairs that would need the latter are found through these
+few shingles. So members that fail their leader are not paired with its whole group. Verification compares whole sets.
 """
 
 from __future__ import annotations
@@ -25,35 +28,41 @@ from pyspark.sql import functions as F
 
 from wearlens.session import written
 
-from .spread import bit_set, components, dealt, in_bit_set, joined, shard_groups
+from .spread import bit_set, components, dealt, in_bit_set, joined, shard_groups, stored
 from .textscan import SPACED, Words, mix, text_chunks
 
 N = 5
 PERCENT = 75
+#: Bytes kept of a shingle's 64-bit hash: two sets of 500 shingles meet by chance once in four million comparisons.
+BYTES = 5
 SKETCH = 20
 BLOCK = 12
 SHARDS = 256
 POSTINGS = 2_000_000
+FLUSH = 400_000
 MOST_MATCHES = 8
 STORED, VERIFIED = 0.25, 4.0
-LEADERS = 2
-LEADER_SHARE = 8
 NODE_BITS = 24
+#: Leaders are sought in the posting lists of every LEADER_SHARE-th shingle. Nodes with less of their shingles in their
+#: leader than FAMILY percent are paired as if they had none.
+LEADER_SHARE = 4
+FAMILY = 60
+PAIRS = 200
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """48-bit numbers, six bytes each."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def packed(tokens: np.ndarray, width: int = 6) -> bytes:
+    """The low bytes of each number."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def unpacked(cell: bytes) -> np.ndarray:
-    raw = np.zeros((len(cell) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(cell, np.uint8).reshape(-1, 6)
+def unpacked(cell: bytes, width: int = 6) -> np.ndarray:
+    raw = np.zeros((len(cell) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(cell, np.uint8).reshape(-1, width)
     return raw.reshape(-1).view("<u8").astype(np.uint64)
 
 
 def shingle_sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
-    """Per text its sorted distinct shingles as 48-bit hashes; fewer words than n make one shingle, no word makes none."""
+    """Per text its sorted distinct shingles as 64-bit hashes; fewer words than n make one shingle, no word makes none."""
     for chunk in text_chunks(column):
         words = Words(chunk, SPACED)
         hashes = words.hashes()
@@ -61,23 +70,24 @@ def shingle_sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
         for d in range(chunk.docs):
             a, b = int(words.first[d]), int(words.first[d + 1])
             if b - a >= n:
-                yield np.unique(grams[a : b - n + 1] >> np.uint64(16))
+                yield np.unique(grams[a : b - n + 1])
             elif b > a:
                 h = hashes[a : a + 1] + np.uint64(b - a)
                 for j in range(a + 1, b):
                     h = mix(h * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + 1])
-                yield mix(h) >> np.uint64(16)
+                yield mix(h)
             else:
                 yield np.empty(0, np.uint64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size, node (hash of the set) and the set itself, the latter once per node of a batch."""
+    """doc_id, set size, node (hash of the set) and the set's top BYTES bytes, the latter once per node of a task."""
+    seen: set[int | None] = set()
     for batch in batches:
-        sizes, nodes, sets, seen = [], [], [], set()
+        sizes, nodes, sets = [], [], []
         for tokens in shingle_sets(batch.column("text"), n):
-            cell = packed(tokens)
-            node = xxhash.xxh3_64_intdigest(cell) - (1 << 63) if len(tokens) else None
+            cell = packed(tokens >> np.uint64(64 - 8 * BYTES), BYTES)
+            node = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
             sizes.append(len(tokens))
             nodes.append(node)
             sets.append(cell if node is not None and node not in seen else None)
@@ -92,7 +102,7 @@ def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << SKETCH, np.uint32)
     for batch in batches:
         for cell in batch.column("set"):
-            np.add.at(table, (unpacked(cell.as_py()) >> np.uint64(48 - SKETCH)).astype(np.int64), 1)
+            np.add.at(table, (unpacked(cell.as_py(), BYTES) >> np.uint64(8 * BYTES - SKETCH)).astype(np.int64), 1)
     blocks = [b for b in range(1 << (SKETCH - BLOCK)) if table[b << BLOCK : (b + 1) << BLOCK].any()]
     cells = [zlib.compress(table[b << BLOCK : (b + 1) << BLOCK].tobytes(), 1) for b in blocks]
     yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(cells, pa.binary())], names=["shard", "cell"])
@@ -127,10 +137,10 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return table
 
 
-def prefix(tokens: np.ndarray, table: np.ndarray, usual: float, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The prefix of the cheapest number of matches, and that number."""
+def prefix(tokens: np.ndarray, table: np.ndarray, usual: float, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
+    """The prefix of the cheapest number of matches, that number, and how central the set is (0 to 255)."""
     n = len(tokens)
-    counts = table[(tokens >> np.uint64(48 - SKETCH)).astype(np.int64)]
+    counts = table[(tokens >> np.uint64(8 * BYTES - SKETCH)).astype(np.int64)]
     # sorted by (count, hash): the tokens are sorted already, and the sort is stable
     order = np.argsort(counts, kind="stable")
     needed = -(-percent * n // 100)
@@ -140,91 +150,109 @@ def prefix(tokens: np.ndarray, table: np.ndarray, usual: float, percent: int = P
     matches = np.arange(1, most + 1)
     cost = STORED * length + met + VERIFIED * met / matches
     best = int(np.argmin(cost))
-    return tokens[order[: length[best]]], best + 1
+    part = order[: length[best]]
+    central = int(255 * (counts[part] > usual + 4 * np.sqrt(usual)).mean())
+    return tokens[part], best + 1, central
 
 
 def _postings(batches: Iterator[pa.RecordBatch], table: np.ndarray, shards: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Prefix tokens (low 32 bits) and nodes, a pair of byte strings per shard and batch."""
     usual = float(np.median(table)) + 1
+    tokens, nodes, central, held = [], [], [], 0
     for batch in batches:
-        tokens, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for cell, node in zip(batch.column("set"), batch.column("node").to_pylist(), strict=True):
-            part, _ = prefix(unpacked(cell.as_py()), table, usual, percent)
+            part, _, rank = prefix(unpacked(cell.as_py(), BYTES), table, usual, percent)
             tokens.append(part)
             nodes.append(np.full(len(part), node, np.int64))
-        token, node = np.concatenate(tokens), np.concatenate(nodes)
-        shard = (mix(token) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        token, node, shard = token[order].astype(np.uint32), node[order], shard[order]
-        edges = np.searchsorted(shard, np.arange(shards + 1))
-        full = np.flatnonzero(np.diff(edges))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(full, pa.int32()),
-                pa.array([token[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()),
-                pa.array([node[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()),
-            ],
-            names=["shard", "tokens", "nodes"],
-        )
+            central.append(np.full(len(part), rank, np.uint8))
+            held += len(part)
+        if held > FLUSH:
+            yield _dealt_out(tokens, nodes, central, shards)
+            tokens, nodes, central, held = [], [], [], 0
+    if tokens:
+        yield _dealt_out(tokens, nodes, central, shards)
+
+
+def _dealt_out(tokens: list[np.ndarray], nodes: list[np.ndarray], central: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    token, node, rank = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(central)
+    shard = (mix(token) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    token, node, rank, shard = token[order].astype(np.uint32), node[order], rank[order], shard[order]
+    edges = np.searchsorted(shard, np.arange(shards + 1))
+    full = np.flatnonzero(np.diff(edges))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(full, pa.int32()),
+            pa.array([token[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()),
+            pa.array([node[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()),
+            pa.array([rank[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()),
+        ],
+        names=["shard", "tokens", "nodes", "central"],
+    )
+
+
+def _best(node: np.ndarray, leader: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One leader per node, the one of the highest rank."""
+    order = np.lexsort((rank, node))
+    last = np.append(node[order][1:] != node[order][:-1], True) if len(node) else np.empty(0, bool)
+    at = order[last]
+    return node[at], leader[at], rank[at]
+
+
+def _rows(kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), *(pa.array(v.astype(np.int64)) for v in (x, y, z))], names=["kind", "x", "y", "z"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each shard: postings of tokens that several nodes have (kind 1), and pairs of nodes with a leader (kind 0)."""
+    """Postings of tokens that several nodes have (kind 1), and per node its best leader in the task's shards (kind 0)."""
+    found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
     for shard, parts in shard_groups(batches):
         token, node = joined(parts, "tokens", np.uint32), joined(parts, "nodes", np.int64)
+        central = joined(parts, "central", np.uint8)
         order = np.lexsort((node, token))
-        token, node = token[order], node[order]
+        token, node, central = token[order], node[order], central[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node = token[fresh], node[fresh]
-        if not len(token):
-            continue
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        token, node, central = token[fresh], node[fresh], central[fresh]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, int)
         sizes = np.diff(np.append(starts, len(token)))
         several = np.repeat(sizes > 1, sizes)
-        token, node, sizes = token[several], node[several], sizes[sizes > 1]
+        token, node, central, sizes = token[several], node[several], central[several], sizes[sizes > 1]
         if not len(token):
             continue
         starts = np.cumsum(sizes) - sizes
-        a, b = [], []
-        use = np.repeat(token[starts] % LEADER_SHARE == 0, sizes)
-        for k in range(LEADERS):
-            rank = mix(node.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)))
-            # `mix` is bijective, so the least rank names one node of the list
-            first = np.repeat(np.minimum.reduceat(rank, starts), sizes)
-            leader = np.repeat(node[rank == first], sizes)
-            pair = use & (leader != node)
-            a.append(np.minimum(leader, node)[pair])
-            b.append(np.maximum(leader, node)[pair])
-        a, b = np.concatenate(a), np.concatenate(b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        fresh = np.ones(len(a), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, b = a[fresh], b[fresh]
-        wide = (np.int64(shard) << np.int64(32)) | token.astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.zeros(len(a), np.int32), np.ones(len(wide), np.int32)])), pa.array(np.concatenate([a, wide])), pa.array(np.concatenate([b, node]))],
-            names=["kind", "x", "y"],
-        )
-
-
-def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+        # distinct nodes never have the same rank but for a chance of 2^-56
+        rank = (central.astype(np.uint64) << np.uint64(56)) | (mix(node.view(np.uint64)) >> np.uint64(8))
+        top = np.repeat(np.maximum.reduceat(rank, starts), sizes)
+        first = np.flatnonzero(rank == top)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        leader = node[first[np.searchsorted(group[first], group)]]
+        asked = token % LEADER_SHARE == 0
+        found = _best(*(np.concatenate(v) for v in zip(found, (node[asked], leader[asked], top[asked]), strict=True)))
+        yield _rows(1, (np.int64(shard) << np.int64(32)) | token.astype(np.int64), node, np.zeros(len(node)))
+    yield _rows(0, found[0], found[1], found[2] >> np.uint64(1))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Per pair: shingles of both, whether they link, b's size, and for a family member its shingles that a does not have."""
     for batch in batches:
-        keep = []
+        both, link, sizes, rest = [], [], [], []
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            p, q = unpacked(x.as_py()), unpacked(y.as_py())
-            if len(q) < len(p):
-                p, q = q, p
-            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            both = int((q[at] == p).sum())
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            p, q = unpacked(x.as_py(), BYTES), unpacked(y.as_py(), BYTES)
+            hit = p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q
+            n = int(hit.sum())
+            both.append(n)
+            link.append(100 * n >= percent * (len(p) + len(q) - n))
+            sizes.append(len(q))
+            rest.append(q[~hit].astype(np.int64) if 100 * n >= FAMILY * len(q) else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(link, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.int64()))],
+            names=["a", "b", "both", "link", "size_b", "rest"],
+        )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link.
+def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes with what their whole sets have in common.
 
     A bit set of fixed size, filled with the nodes that pairs name, keeps most other sets from being shuffled; what it lets
     through besides only costs time.
@@ -238,19 +266,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             yield batch.filter(pa.array(in_bit_set(wanted.value, node)))
 
     few = sets.select("node", "set").where("set is not null").mapInArrow(pick, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    few = written(few, "wanted-sets")
     full = (
-        pairs.join(few.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        .join(few.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        pairs.join(few.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        .join(few.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         .select("a", "b", "set_a", "set_b")
     )
-    return full.mapInArrow(lambda batches: _verified(batches, percent), "a bigint, b bigint")
+    return full.mapInArrow(lambda batches: _compared(batches, percent), "a bigint, b bigint, both bigint, link boolean, size_b bigint, rest array<bigint>")
+
+
+def crossing(lists: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of `lists` (key, node, label, ...) whose key is met in several components."""
+    mixed = lists.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*key)
+    return lists.join(mixed, key)
 
 
 def _matches(batches: Iterator[pa.RecordBatch], table: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     usual = float(np.median(table)) + 1
     for batch in batches:
-        found = [prefix(unpacked(c.as_py()), table, usual, percent)[1] for c in batch.column("set")]
+        found = [prefix(unpacked(c.as_py(), BYTES), table, usual, percent)[1] for c in batch.column("set")]
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_shingles"), pa.array(found, pa.int32())], names=["node", "size", "matches"])
 
 
@@ -263,7 +296,7 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     spark = documents.sparkSession
-    sets = written(
+    sets = stored(
         documents.select("doc_id", "text").mapInArrow(lambda b: _sets(b, n), f"doc_id {kind}, n_shingles bigint, node bigint, set binary"), "shingle-sets"
     )
     table = spark.sparkContext.broadcast(frequencies(sets))
@@ -271,18 +304,19 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
     shards = max(SHARDS, -(-total * (105 - percent) // 100 // POSTINGS))
     full = sets.where("set is not null")
     postings = full.select("node", "set").mapInArrow(
-        lambda b: _postings(b, table.value, shards, percent), "shard int, tokens binary, nodes binary"
+        lambda b: _postings(b, table.value, shards, percent), "shard int, tokens binary, nodes binary, central binary"
     )
-    shared = written(dealt(postings).mapInArrow(_shared, "kind int, x bigint, y bigint"), "shared-postings")
+    shared = stored(dealt(postings).mapInArrow(_shared, "kind int, x bigint, y bigint, z bigint"), "shared-postings")
 
-    stars = shared.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = written(verified(written(stars, "leader-pairs"), sets, percent), "links")
+    best = shared.where("kind = 0").groupBy("x").agg(F.max_by("y", "z").alias("leader"))
+    led = written(best.where("x <> leader").select(F.col("leader").alias("a"), F.col("x").alias("b")), "leader-pairs")
+    first = stored(compared(led, sets, percent), "compared", PAIRS)
+    links = first.where("link").select("a", "b")
     labels = components(links)
 
     lists = shared.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"))
     labelled = lists.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_lists = written(labelled.join(mixed, "token"), "open-postings")
+    open_lists = written(crossing(labelled, ["token"]), "open-postings")
     named = spark.sparkContext.broadcast(bit_set(open_lists.select("node").distinct(), "node", NODE_BITS))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,16 +328,27 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
         .mapInArrow(lambda b: _matches(b, table.value, percent), "node bigint, size bigint, matches int")
         .groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"))
     )
-    left = written(open_lists.join(needs, "node"), "open-postings")
+    family = first.where("rest is not null").select(F.col("b").alias("node"), F.col("a").alias("leader"), "both")
+    needs = needs.join(family, "node", "left").select(
+        "node", "size", "matches", F.coalesce("leader", "node").alias("leader"), F.coalesce("both", "size").alias("both")
+    )
+    left = stored(open_lists.join(needs, "node"), "open-postings")
     right = left.toDF(*(c if c == "token" else f"{c}2" for c in left.columns))
+    enough = f"{100 + percent} * least(both, both2) >= {percent} * (size + size2)"
     crossed = (
         left.join(right, "token")
-        .where(f"label < label2 and 100 * least(size, size2) >= {percent} * greatest(size, size2)")
+        .where(f"label < label2 and 100 * least(size, size2) >= {percent} * greatest(size, size2) and (leader <> leader2 or {enough})")
         .groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
         .agg(F.count("*").alias("met"), F.first(F.least("matches", "matches2")).alias("least"))
         .where(F.col("met") >= F.col("least")).select("a", "b")
     )
-    more = written(verified(written(crossed, "crossed-pairs"), sets, percent), "links")
+    outside = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.explode("rest").alias("token"))
+    outside = outside.join(labels, "node", "left").select("leader", "token", "node", F.coalesce("label", "node").alias("label"))
+    one = written(crossing(outside, ["leader", "token"]), "open-rests")
+    two = one.toDF("leader", "token", "node2", "label2")
+    beside = one.join(two, ["leader", "token"]).where("label < label2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    pairs = written(crossed.unionAll(beside).distinct(), "crossed-pairs")
+    more = stored(compared(pairs, sets, percent).where("link").select("a", "b"), "links", PAIRS)
     labels = components(links.unionAll(more)) if more.limit(1).count() else labels
 
     least = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))

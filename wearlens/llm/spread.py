@@ -32,6 +32,17 @@ def in_bit_set(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (table[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def stored(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
+    """`written`, with at most `rows` rows in an Arrow batch meanwhile: rows that carry long texts or sets stay few at a time."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.set(key, before)
+
+
 def shard_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """The rows of each shard, from batches in which equal values of `shard` follow each other."""
     current, parts = None, []
