@@ -31,19 +31,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearlens.session import written
-
 from .jaccard import packed, unpacked
-from .spread import bit_set, dealt, in_bit_set, joined, shard_groups
+from .spread import bit_set, dealt, in_bit_set, joined, shard_groups, stored
 from .textscan import Chunk, mix, powers, text_chunks
 
 LENGTH = 50
 K = 20
 SHARDS = 64
 POSTINGS = 3_000_000
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 ID_BITS = 24
-FLUSH = 1_000_000
+FLUSH = 400_000
+ROWS = 256
 _CODES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0xABCDEF)) | np.uint64(1)
 _A, _B = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -191,6 +190,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that few texts are unpacked at once."""
+    for batch in batches:
+        for row in range(0, batch.num_rows, ROWS):
+            yield batch.slice(row, ROWS)
+
+
 def _texts(batch: pa.RecordBatch) -> pa.Array:
     unzip = zstandard.ZstdDecompressor()
     cells = [unzip.decompress(c.as_py()) for c in batch.column("zipped")]
@@ -216,7 +222,7 @@ def _known(a: Anchors, doc: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 def _contexts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted contexts, dealt to the anchors' shards."""
-    for batch in batches:
+    for batch in _slices(batches):
         ids = np.asarray(batch.column("doc_id"), np.int64)
         for chunk in text_chunks(_texts(batch)):
             rows = range(chunk.first, chunk.first + chunk.docs)
@@ -301,7 +307,7 @@ def removed_bytes(chunk: Chunk, a: Anchors, same: np.ndarray, mask: np.ndarray)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         ids, sizes, gone, spans, texts = batch.column("doc_id"), [], [], [], []
         for chunk in text_chunks(_texts(batch)):
             rows = range(chunk.first, chunk.first + chunk.docs)
@@ -342,7 +348,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, -(-volume // 16 // POSTINGS))
     posted = docs.mapInArrow(lambda b: _posted(b, shards), "shard int, grams binary, contexts binary, docs binary, counts binary")
-    runs = written(dealt(posted).mapInArrow(_runs, "doc_id bigint, same binary, wanted binary"), "runs")
+    runs = stored(dealt(posted).mapInArrow(_runs, "doc_id bigint, same binary, wanted binary"), "runs")
 
     asked = runs.where("length(wanted) > 0")
     named = documents.sparkSession.sparkContext.broadcast(bit_set(asked.select(F.xxhash64("doc_id").alias("slot")).distinct(), "slot", ID_BITS))
@@ -357,7 +363,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     contexts = some.mapInArrow(_zipped, "doc_id bigint, zipped binary").join(wanted, "doc_id").mapInArrow(
         lambda b: _contexts(b, shards), "shard int, ids binary, contexts binary, sides binary, raw binary"
     )
-    marks = written(dealt(contexts).mapInArrow(_marked, "doc_id bigint, keys binary, masks binary"), "marks")
+    marks = stored(dealt(contexts).mapInArrow(_marked, "doc_id bigint, keys binary, masks binary"), "marks")
 
     found = (
         runs.where("length(same) > 0").select("doc_id", "same", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("masks"))

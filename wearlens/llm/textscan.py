@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 MOST_DOCS = 1 << 15
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
