@@ -43,10 +43,10 @@ def score_detectors(
     """Row scores of the two reference distances, the isolation forest and the local outlier factor."""
     # Numbers of written rows never meet, as hashes may; the forest samples by a hash that does not depend on the partitions.
     number = F.monotonically_increasing_id()
-    known = written(train.withColumns({"_row": number, "_hash": F.xxhash64("unit", "cycle")}), "train-rows")
+    known = written(train.withColumns({"_row": number, "_key": F.xxhash64("unit", "cycle")}), "train-rows")
     labelled = written(rows.withColumn("_row", number), "scored-rows")
     scored = score_statistics(known, labelled, features)
-    scored = isolation_scores(known, scored, "_hash", features, contamination, trees)
+    scored = isolation_scores(known, scored, "_key", features, contamination, trees)
     # Distances are taken between standardized rows.
     from ..operators.detect import zscore_reference
     from ..operators.sequences import fitted_values, scaled
