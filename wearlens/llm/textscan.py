@@ -6,6 +6,7 @@ the size of its partition. A single longer document is a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,12 +81,21 @@ class Chunk:
         return self.buf[self.offsets[doc] : self.offsets[doc + 1]].tobytes()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process serves many tasks, and what one has freed would count for good."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
     """Chunks of the column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
         return
+    give_back()
     column = pc.fill_null(column.cast(pa.large_string()), "")
     data = column.buffers()
     offsets = np.frombuffer(data[1], np.int64)[column.offset : column.offset + len(column) + 1]
