@@ -62,3 +62,28 @@ def test_query(spark):
         blocks = re.split(r"</?(?:p|h1)>", body[1].replace("<br>", " ")) if body else []
         texts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", b))).strip() for b in blocks]
         assert r.text == "\n".join(t for t in texts if t) and r.n_chars == len(r.text)
+
+
+def test_text_that_is_the_same_on_all_pages_is_no_main_text(spark):
+    """Unlisted elements without cue words: only the texts tell a menu and a notice from the story."""
+    def page(i):
+        story = "".join(f"<p>Story {i} line {k} " + "word " * 10 + "</p>" for k in range(2 + i % 3))
+        return (
+            "<html><body class='comments sidebar'><div class='sidebar-layout'><div><p>Home of things</p><p>Shop</p></div>"
+            f"<div class=x1><p>Always the same notice, in a long sentence that goes on.</p></div><div class=x2><h1>Head {i}</h1>{story}<p>Read more here</p></div>"
+            "<div>All rights with us</div></div></body></html>"
+        )
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", page(i)) for i in range(12)], "page_id bigint, url string, html string")
+    for r in extract.extracted(pages).collect():
+        lines = r.text.split("\n")
+        assert r.described and lines[0] == f"Head {r.page_id}" and len(lines) == 3 + r.page_id % 3
+        assert all(x.startswith(f"Story {r.page_id} ") for x in lines[1:])
+
+
+def test_slots_of_a_wrapper():
+    wrapper = extract.parsed("ul ( li # /li )+ /ul ( div # /div )? p # /p")
+    found = extract.Matcher(wrapper)
+    assert found.slots("ul li # /li li # /li /ul p # /p".split()) == [2, 2, 9]
+    assert found.slots("ul li # /li /ul div # /div p # /p".split()) == [2, 6, 9]
+    assert found.slots("table # /table".split()) is None and found.slots([]) is None

@@ -6,14 +6,19 @@ of two streams has becomes an optional group, what repeats is a repeated group,
 no alternatives ("union-free"). Streams of a host are aligned in groups of at most FAN, and the results again, so that no
 task holds all streams of a large host.
 
-A wrapper also tells which element of the host's pages holds the main text: article, else main, else an element whose class
-or id says so, else the innermost one with most of the text outside navigation, forms, adverts, notices and comments. A
-page is read by its host's wrapper; where the wrapper does not describe it or its element is missing, by its own best element.
+Every page is then matched against its host's wrapper, which gives each of its texts a slot. Per host and slot it is counted
+on how many distinct pages each text stands; copies of a page count once. A text on more than half of the pages that have
+the slot (SEEN pages at least) belongs to the template, and a slot whose characters are nearly all such texts is fixed. Main
+text is what fills the varying slots. Where several elements hold varying text, article, main and class words choose the element,
+else the innermost one with most of it; navigation, forms, adverts, notices and comments are left out, unless they are around
+the element with most of the text. html and body give no such cue. A host without varying text, or too few pages to tell, is read
+by the cues alone.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +26,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,9 @@ from wearlens.session import written
 
 FAN = 64
 MOST = 0.6
+SEEN = 3
+VARYING = 0.2
+CUED = 0.25
 
 # Element names by their part in a page, and words of class, id or role.
 RAW = frozenset("script style noscript template svg iframe select textarea object canvas title".split())
@@ -51,20 +60,20 @@ SPACE = re.compile(r"\s+")
 class Block:
     """A run of text without a block tag inside, with the elements around it."""
 
-    __slots__ = ("path", "outside", "parts")
+    __slots__ = ("path", "parts")
 
-    def __init__(self, path: tuple[str, ...], outside: bool):
-        self.path, self.outside, self.parts = path, outside, []
+    def __init__(self, path: tuple[str, ...]):
+        self.path, self.parts = path, []
 
     def text(self) -> str:
         return SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
 def read(page: str) -> tuple[list[Block], list[str]]:
-    """Blocks of a page, and its token stream ('#' is a text slot)."""
+    """Blocks of a page, and its token stream ('#' is a text slot, '!' marks a cue of main text, '~' one of other parts)."""
     blocks: list[Block] = []
     stream: list[str] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str]] = []
     block: Block | None = None
     inside = 0
     at = 0
@@ -72,7 +81,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
     def close_to(i: int) -> None:
         nonlocal inside
         while len(stack) > i:
-            name, label, _ = stack.pop()
+            name, label = stack.pop()
             inside -= name in ("article", "main")
             stream.append(f"/{label}")
 
@@ -86,7 +95,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
             if block is None:
                 if not piece.strip():
                     continue
-                block = Block(tuple(label for _, label, _ in stack), bool(stack) and stack[-1][2])
+                block = Block(tuple(label for _, label in stack))
                 blocks.append(block)
                 stream.append("#")
             block.parts.append(piece)
@@ -104,16 +113,17 @@ def read(page: str) -> tuple[list[Block], list[str]]:
         if name in HOLDERS:
             block = None
             if slash:
-                places = [i for i, (n, _, _) in enumerate(stack) if n == name]
+                places = [i for i, (n, _) in enumerate(stack) if n == name]
                 if places:
                     close_to(places[-1])
                 continue
             words = {w for c in CUES.findall(rest) for w in re.split(r"[^a-z0-9]+", "".join(c).lower())} if rest else set()
-            out = bool(stack) and stack[-1][2]
-            out = out or name in OUTSIDE or (name == "header" and not inside) or bool(words & OUTSIDE_CUES and not words & {"article", "articlebody"}) or bool(rest and HIDDEN.search(rest))
-            label = name + ("!" if words & MAIN_CUES else "")
+            if name in ("html", "body"):
+                words, rest = set(), "/" if rest.endswith("/") else ""
+            out = name in OUTSIDE or (name == "header" and not inside) or bool(words & OUTSIDE_CUES and not words & {"article", "articlebody"}) or bool(rest and HIDDEN.search(rest))
+            label = name + ("!" if words & MAIN_CUES else "") + ("~" if out else "")
             if not rest.endswith("/"):
-                stack.append((name, label, out))
+                stack.append((name, label))
                 inside += name in ("article", "main")
                 stream.append(label)
         elif name in SPLITTERS:
@@ -233,16 +243,104 @@ def parsed(text: str) -> tuple:
     return tuple(stack[0])
 
 
-def masses(blocks: list[Block]) -> Counter:
-    """Characters per element path, of blocks outside navigation and the like."""
-    out: Counter = Counter()
-    for b in blocks:
-        if not b.outside:
-            size = sum(map(len, b.parts))
-            for i in range(1, len(b.path) + 1):
-                out["/".join(b.path[:i])] += size
-            out[""] += size
-    return out
+class Matcher:
+    """Slots of a wrapper: its texts are numbered, and a stream is matched as by a regular expression, without backtracking.
+
+    What stands in an optional group is optional by itself, as `aligned` opens such groups. Sets of positions are bits of a number.
+    """
+
+    def __init__(self, wrapper: tuple):
+        self.tokens: list[str] = []
+        self.after: list[int] = []
+        self.at: dict[str, int] = {}
+        self.first, self.last, self.empty = self._sequence(wrapper, False)
+        for k, token in enumerate(self.tokens):
+            self.at[token] = self.at.get(token, 0) | 1 << k
+
+    def _follow(self, ends: int, starts: int) -> None:
+        for k in _bits(ends):
+            self.after[k] |= starts
+
+    def _sequence(self, items: tuple, maybe: bool) -> tuple[int, int, bool]:
+        first, last, empty = 0, 0, True
+        for item in items:
+            if isinstance(item, str):
+                self.tokens.append(item)
+                self.after.append(0)
+                f = z = 1 << len(self.tokens) - 1
+                e = False
+            else:
+                f, z, e = self._sequence(item[1], item[0] == "?")
+                if item[0] == "+":
+                    self._follow(z, f)
+            e = e or maybe
+            self._follow(last, f)
+            first |= f if empty else 0
+            last = z | (last if e else 0)
+            empty = empty and e
+        return first, last, empty
+
+    def slots(self, stream: list[str]) -> list[int] | None:
+        """The position in the wrapper of each text of the stream; None if the wrapper does not describe the stream."""
+        if not stream:
+            return [] if self.empty else None
+        reached, steps = self.first & self.at.get(stream[0], 0), []
+        for token in stream[1:]:
+            steps.append(reached)
+            following = 0
+            for k in _bits(reached):
+                following |= self.after[k]
+            reached = following & self.at.get(token, 0)
+            if not reached:
+                return None
+        reached &= self.last
+        if not reached:
+            return None
+        here = next(_bits(reached))
+        places = [here]
+        for before in reversed(steps):
+            here = next(k for k in _bits(before) if self.after[k] >> here & 1)
+            places.append(here)
+        return [k for k, token in zip(reversed(places), stream, strict=True) if token == "#"]
+
+
+def _bits(number: int) -> Iterator[int]:
+    while number:
+        low = number & -number
+        yield low.bit_length() - 1
+        number ^= low
+
+
+def text_key(slot: int, text: int) -> int:
+    return xxhash.xxh3_64_intdigest(slot.to_bytes(8, "little") + text.to_bytes(8, "little", signed=True)) - (1 << 63)
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def cues(path: tuple[str, ...]) -> list[str]:
+    """The elements of a path that a cue sets apart from main text."""
+    return ["/".join(path[: i + 1]) for i, label in enumerate(path) if label.endswith("~")]
+
+
+def chosen(sizes: Counter) -> tuple[str, frozenset[str]]:
+    """The element that holds the main text, by characters per path of a block; and cues not to be followed, being around it.
+
+    Text under a cue counts CUED of its characters when the path with most text is sought.
+    """
+    if not sizes:
+        return "", frozenset()
+    marks = {p: cues(tuple(p.split("/"))) for p in sizes}
+    void = frozenset(marks[max(sizes, key=lambda p: (sizes[p] * (CUED if marks[p] else 1), p))])
+    total: Counter = Counter()
+    for p, n in sizes.items():
+        if void.issuperset(marks[p]):
+            labels = p.split("/") if p else []
+            for i in range(1, len(labels) + 1):
+                total["/".join(labels[:i])] += n
+            total[""] += n
+    return best_path(total), void
 
 
 def rank(path: str) -> int:
@@ -257,21 +355,43 @@ def best_path(sizes: Counter) -> str:
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host, stream and element path: characters and pages, added up per batch."""
+    """Per page: its stream, folded too, and per block the hash and characters of the text, and the path."""
+    kinds = {"host": pa.string(), "stream": pa.string(), "wrapper": pa.string(), "texts": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "paths": pa.list_(pa.string()), "copy": pa.int64()}
     for batch in batches:
-        sizes: Counter = Counter()
-        pages: Counter = Counter()
+        rows = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             blocks, stream = read(page or "")
-            key = (host, written_as(folded(stream)))
-            pages[key] += 1
-            for path, n in masses(blocks).items():
-                sizes[(*key, path)] += n
-            sizes[(*key, "")] += 0
-        rows = [(h, s, p, n, pages[(h, s)] if p == "" else 0) for (h, s, p), n in sizes.items()]
-        columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "stream", "path", "chars", "pages"])
+            texts = [b.text() for b in blocks]
+            hashes = [text_hash(t) for t in texts]
+            raw = " ".join(stream)
+            rows.append((host, raw, written_as(folded(stream)), hashes, [len(t) for t in texts], ["/".join(b.path) for b in blocks], text_hash(f"{raw} {hashes}")))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text of a page: slot, path, key of slot and text, characters, and whether slot and key are new on the page."""
+    kinds = {"host": pa.string(), "slot": pa.int32(), "path": pa.string(), "key": pa.int64(), "chars": pa.int64(), "new_slot": pa.int32(), "new_key": pa.int32()}
+    known: dict[str, Matcher] = {}
+    for batch in batches:
+        rows = []
+        for host, stream, wrapper, texts, sizes, paths in zip(*(batch.column(c).to_pylist() for c in ("host", "stream", "wrapper", "texts", "sizes", "paths")), strict=True):
+            slots = _matcher(known, wrapper).slots(stream.split())
+            met: set = set()
+            for slot, text, size, path in zip(slots or [], texts, sizes, paths, strict=False):
+                key = text_key(slot, text)
+                rows.append((host, slot, path, key, size, int(slot not in met), int((slot, key) not in met)))
+                met |= {slot, (slot, key)}
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _matcher(known: dict[str, Matcher], wrapper: str) -> Matcher:
+    if wrapper not in known:
+        if len(known) > 200:
+            known.clear()
+        known[wrapper] = Matcher(parsed(wrapper))
+    return known[wrapper]
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -283,13 +403,12 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper, path: per host one expression over all its pages and the element that holds the main text."""
+    """host, wrapper, path, rules: per host one expression over all its pages, the element that holds the main text, and as
+    JSON the fixed slots, the keys of template texts in other slots and the cues not to be followed."""
     seen = written(
-        pages.select("host", "html").mapInArrow(_observed, "host string, stream string, path string, chars bigint, pages bigint")
-        .groupBy("host", "stream", "path").agg(F.sum("chars").alias("chars"), F.sum("pages").alias("pages")),
-        "streams",
+        pages.select("host", "html").mapInArrow(_observed, "host string, stream string, wrapper string, texts array<bigint>, sizes array<int>, paths array<string>, copy bigint"), "streams"
     )
-    streams = seen.where("path = ''").select("host", F.col("stream").alias("wrapper"), "pages")
+    streams = seen.groupBy("host", "wrapper").agg(F.count("*").alias("pages"))
     while True:
         most = streams.groupBy("host").agg(F.count("*").alias("n"))
         largest = most.agg(F.max("n")).first()[0] or 0
@@ -297,38 +416,77 @@ def wrappers(pages: DataFrame) -> DataFrame:
         streams = written(salted.groupBy("host", "part").applyInPandas(_merge, "host string, wrapper string, pages bigint"), "wrappers")
         if largest <= FAN // 2:
             break
-    paths = seen.groupBy("host", "path").agg(F.sum("chars").alias("chars"))
-    total = paths.where("path = ''").select("host", F.col("chars").alias("total"))
-    last = F.element_at(F.split("path", "/"), -1)
-    level = F.when(last.startswith("article"), 3).when(last.startswith("main"), 2).when(last.endswith("!"), 1).otherwise(0)
-    order = F.struct(level, F.when(level > 0, F.col("chars")).otherwise(0), F.size(F.split("path", "/")), F.col("path"))
-    best = paths.where("path <> ''").join(total, "host").where((level > 0) | (F.col("chars") >= MOST * F.col("total"))).groupBy("host").agg(F.max_by("path", order).alias("path"))
-    return streams.select("host", "wrapper").join(best, "host", "left")
+    wrapper = streams.select("host", "wrapper")
+    single = seen.drop("wrapper").dropDuplicates(["host", "copy"])
+    slotted = written(
+        attach_facts(single, wrapper, ["host"], "copy").mapInArrow(_slotted, "host string, slot int, path string, key bigint, chars bigint, new_slot int, new_key int"), "slots"
+    )
+    slots = slotted.groupBy("host", "slot").agg(F.sum("new_slot").alias("pages"), F.sum("chars").alias("chars"))
+    texts = slotted.groupBy("host", "slot", "key").agg(F.sum("new_key").alias("held"), F.sum("chars").alias("chars")).where(F.col("held") >= SEEN)
+    # more than half of the pages: at most twice the texts of an average page remain per host
+    common = written(texts.join(slots.select("host", "slot", "pages"), ["host", "slot"]).where(2 * F.col("held") > F.col("pages")), "template")
+    shares = slots.join(common.groupBy("host", "slot").agg(F.sum("chars").alias("same")), ["host", "slot"], "left")
+    shares = written(shares.select("host", "slot", (1 - F.coalesce("same", F.lit(0)) / F.greatest("chars", F.lit(1))).alias("varies")), "shares")
+    places = slotted.groupBy("host", "slot", "path").agg(F.sum("chars").alias("chars")).join(shares, ["host", "slot"])
+    facts = places.select("host", "slot", "path", F.lit(0).cast("bigint").alias("key"), "chars", "varies").unionAll(
+        common.join(shares, ["host", "slot"]).where(F.col("varies") >= VARYING).select("host", "slot", F.lit(None).cast("string"), "key", F.lit(0).cast("bigint"), "varies")
+    )
+    return wrapper.join(facts.groupBy("host").applyInPandas(_rules, "host string, path string, rules string"), "host", "left")
+
 
+def _rules(rows: pd.DataFrame) -> pd.DataFrame:
+    """What a host's slots say."""
+    texts, places = rows[rows["path"].isna()], rows[rows["path"].notna()]
+    fixed = set(places["slot"][places["varies"] < VARYING].tolist())
+    varying = places[~places["slot"].isin(fixed)]
+    sizes: Counter = Counter()
+    if not (varying["chars"] * varying["varies"]).sum() > 0:
+        # nothing varies: cues alone
+        fixed, texts = set(), texts[:0]
+        for p, n in zip(places["path"], places["chars"], strict=True):
+            sizes[p] += int(n)
+    else:
+        for p, n, share in zip(varying["path"], varying["chars"], varying["varies"], strict=True):
+            sizes[p] += float(n) * float(share)
+    path, void = chosen(sizes)
+    rules = json.dumps({"fixed": sorted(fixed), "texts": sorted(texts["key"].tolist()), "void": sorted(void)})
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "path": [path or None], "rules": [rules]})
 
-def main_text(page: str, wrapper: tuple | None, path: str | None) -> tuple[str, bool]:
+
+NO_RULES: dict[str, frozenset] = {"fixed": frozenset(), "texts": frozenset(), "void": frozenset()}
+
+
+def main_text(page: str, wrapper: Matcher | None, path: str | None, rules: dict[str, frozenset] = NO_RULES) -> tuple[str, bool]:
     """Main text of a page, and whether its host's wrapper describes it."""
     blocks, stream = read(page)
-    fits = wrapper is not None and describes(wrapper, folded(stream))
-    asked = tuple(path.split("/")) if path and fits else ()
-    kept = [b for b in blocks if not b.outside]
-    if not asked or not any(b.path[: len(asked)] == asked for b in kept):
-        own = best_path(masses(blocks))
+    slots = wrapper.slots(stream) if wrapper is not None else None
+    texts = [b.text() for b in blocks]
+    kept = [
+        (b.path, t) for k, (b, t) in enumerate(zip(blocks, texts, strict=True))
+        if slots is None or not (slots[k] in rules["fixed"] or (rules["texts"] and text_key(slots[k], text_hash(t)) in rules["texts"]))
+    ]
+    asked = tuple(path.split("/")) if path and slots is not None else ()
+    void = rules["void"] if slots is not None else frozenset()
+    if not any(asked and p[: len(asked)] == asked and void.issuperset(cues(p)) for p, _ in kept):
+        sizes: Counter = Counter()
+        for p, t in kept:
+            sizes["/".join(p)] += len(t)
+        own, void = chosen(sizes)
         asked = tuple(own.split("/")) if own else ()
-    texts = [t for b in kept if b.path[: len(asked)] == asked and (t := b.text())]
-    return "\n".join(texts), fits
+    return "\n".join(t for p, t in kept if t and p[: len(asked)] == asked and void.issuperset(cues(p))), slots is not None
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple] = {}
+    known: dict[str, Matcher] = {}
+    ruled: dict[str, dict[str, frozenset]] = {}
     for batch in batches:
         texts, fits = [], []
-        for page, wrapper, path in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "path")), strict=True):
-            if wrapper is not None and wrapper not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[wrapper] = parsed(wrapper)
-            text, fit = main_text(page or "", known.get(wrapper), path)
+        for page, wrapper, path, rules in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "path", "rules")), strict=True):
+            if rules is not None and rules not in ruled:
+                if len(ruled) > 200:
+                    ruled.clear()
+                ruled[rules] = {k: frozenset(v) for k, v in json.loads(rules).items()}
+            text, fit = main_text(page or "", _matcher(known, wrapper) if wrapper is not None else None, path, ruled.get(rules, NO_RULES))
             texts.append(text)
             fits.append(fit)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(fits, pa.bool_())], names=["page_id", "url", "text", "described"])
