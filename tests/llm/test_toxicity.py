@@ -51,3 +51,27 @@ def test_query_keeps_rows_and_split(spark):
     rows = QUERIES["op1_toxicity"](spark, helpers.SF).collect()
     assert len(rows) == 200
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+def test_thresholds_follow_the_class_ratio_of_all_labels(spark):
+    """Half of the toxic texts have a word that a tenth of the clean ones have too: worth a cut in the capped sample only."""
+    rng = np.random.default_rng(5)
+    plain = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(5000):
+        toxic = i % 25 == 0
+        sign = ("hardsnarl" if i % 50 == 0 else "softsnarl") if toxic else "softsnarl" if i % 10 == 3 else "mild"
+        rows.append((i, " ".join([*rng.choice(plain, 12), sign, *rng.choice(plain, 5)]), int(toxic)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    docs = helpers.texts(spark, [r[:2] for r in rows])
+    model = toxicity.train(docs, labels, 120, 120)
+    found = {r.doc_id: (r.toxicity, r.predicted) for r in toxicity.scores(docs, model).collect()}
+    fresh = [r for r in rows if toxicity._text_key(r[1]) not in set(model["fitted"].tolist())]
+    y = np.array([r[2] for r in fresh])
+    score, predicted = (np.array([found[r[0]][k] for r in fresh]) for k in (0, 1))
+    weight = np.where(y == 1, 200 / (y == 1).sum(), 4800 / (y == 0).sum())
+
+    def f1(accepted):
+        return 2 * weight[accepted & (y == 1)].sum() / (weight[accepted].sum() + 200)
+
+    assert f1(predicted == 1) > 0.95 * max(f1(score >= c) for c in np.unique(score))

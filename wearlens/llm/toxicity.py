@@ -8,7 +8,8 @@ labelled texts kept out of the fit; the language is read from function words of
 of the logit, shifted so that the threshold of the text's language is 0.7.
 
 The fit uses a bounded sample: at most MAX_TOXIC toxic and MAX_CLEAN other labelled texts, taken in the order of a hash of
-their id. Scoring reads every whole text.
+their id. The thresholds use all labelled texts: histograms of the logits of those that were not fitted, each class weighted
+to its number in all labelled texts of the language. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ FILTERS = 8
 EPOCHS = 5
 CUT = 0.7
 FEWEST = 20
+BINS = 64
+REACH = 32
 
 # Frequent function words per language, by which a text's language is told.
 FUNCTION_WORDS = {
@@ -191,7 +195,11 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> dict:
         of = language == k
         if labels[kept][of].sum() >= FEWEST:
             cuts[k] = best_cut(logits[of], labels[kept][of], everywhere)
-    return {"net": vars(net), "cuts": cuts}
+    return {"net": vars(net), "cuts": cuts, "fitted": np.unique(np.array([_text_key(texts[j]) for j in inside], np.uint64))}
+
+
+def _text_key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def best_cut(logits: np.ndarray, labels: np.ndarray, default: float) -> float:
@@ -206,6 +214,60 @@ def best_cut(logits: np.ndarray, labels: np.ndarray, default: float) -> float:
     return (z[best] + z[best + 1]) / 2 if best + 1 < len(z) else z[best] - 1e-3
 
 
+def _binned(batches: Iterator[pa.RecordBatch], weights: dict, fitted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per text its language, the bin of its logit, and whether the text was fitted."""
+    net = Net.of(weights)
+    for batch in batches:
+        for chunk in text_chunks(batch.column("text")):
+            t = TextBatch(chunk)
+            at = np.round(np.clip(net.logits(t).astype(float), -REACH, REACH) * BINS).astype(np.int32)
+            known = np.isin(np.array([xxhash.xxh3_64_intdigest(chunk.text(d)) for d in range(chunk.docs)], np.uint64), fitted)
+            ids = batch.column("doc_id")[chunk.first : chunk.first + chunk.docs]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(t.language.astype(np.int32)), pa.array(at), pa.array(known)], names=["doc_id", "language", "bin", "fitted"])
+
+
+def calibrated(documents: DataFrame, labels: DataFrame, model: dict) -> np.ndarray:
+    """The logit threshold per language from all labelled texts; `labels` has doc_id and toxic (0, 1).
+
+    The driver gets one row per language, label and bin of the logit: at most 2 * REACH * BINS + 1 bins at any size.
+    """
+    sent, fitted = model["sent"], model["fitted"]
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    binned = documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(
+        lambda b: _binned(b, sent.value, fitted), f"doc_id {kind}, language int, bin int, fitted boolean"
+    )
+    found = binned.join(labels.select("doc_id", "toxic"), "doc_id").groupBy("language", "toxic", "bin", "fitted").agg(F.count("*").alias("n")).toPandas()
+    cuts = np.asarray(model["cuts"], np.float32).copy()
+    everywhere = histogram_cut(found)
+    if everywhere is None:
+        return cuts
+    cuts[:] = everywhere
+    for k in range(len(LANGUAGES)):
+        of = found[found["language"] == k]
+        if of["n"][(of["toxic"] == 1) & ~of["fitted"].astype(bool)].sum() >= FEWEST:
+            cuts[k] = everywhere if (own := histogram_cut(of)) is None else own
+    return cuts
+
+
+def histogram_cut(found: pd.DataFrame) -> float | None:
+    """The middle of the gap below the bin of the best F1, from (toxic, bin, fitted, n); None without both classes."""
+    size = [found["n"][found["toxic"] == c].sum() for c in (0, 1)]
+    if not all(size):
+        return None
+    weighted = []
+    for c in (0, 1):
+        of = found[found["toxic"] == c]
+        fresh = of[~of["fitted"].astype(bool)]
+        # with few labels the thresholds need all of them
+        used = fresh if fresh["n"].sum() >= FEWEST else of
+        weighted.append(used.groupby("bin")["n"].sum() * (size[c] / used["n"].sum()))
+    bins = weighted[0].index.union(weighted[1].index).sort_values(ascending=False)
+    clean, toxic = (np.cumsum(w.reindex(bins, fill_value=0).to_numpy(float)) for w in weighted)
+    best = int(np.argmax(2 * toxic / (toxic + clean + size[1])))
+    z = bins.to_numpy(float) / BINS
+    return (z[best] + z[best + 1]) / 2 if best + 1 < len(z) else z[best] - 1 / BINS
+
+
 def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One task gets the bounded sample; its order is fixed by the text, so a repeated task gives the same weights."""
     rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"text": [], "toxic": [], "place": []})])
@@ -214,7 +276,7 @@ def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict:
-    """Fit on a bounded sample of the labelled documents; rows with a null id, text or label are left out.
+    """Fit on a bounded sample of the labelled documents, thresholds from all of them; rows with a null id, text or label are left out.
 
     The sample is chosen among the labels alone, so that its bounded list of ids can be broadcast and only its texts move.
     """
@@ -223,7 +285,12 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     chosen = [rows.where(F.col("toxic") == value).orderBy("place", "doc_id").limit(most) for value, most in ((1, max_toxic), (0, max_clean))]
     sample = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
     found = sample.select("text", "toxic", "place").repartition(1).mapInPandas(_fit_rows, "model binary").collect()
-    return pickle.loads(found[0].model) if found else fit([], np.empty(0))
+    if not found:
+        return fit([], np.empty(0))
+    model = pickle.loads(found.pop().model)
+    # sent once, for the thresholds and for `scores`
+    model["sent"] = documents.sparkSession.sparkContext.broadcast(model["net"])
+    return model | {"cuts": calibrated(documents, rows, model)}
 
 
 def scores(documents: DataFrame, model: dict) -> DataFrame:
@@ -231,11 +298,11 @@ def scores(documents: DataFrame, model: dict) -> DataFrame:
 
     A null or empty text has the score of a text without words. Every text is read whole; equal texts get equal scores.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent, cuts = model.get("sent") or documents.sparkSession.sparkContext.broadcast(model["net"]), model["cuts"]
     kept = documents.drop("toxicity", "predicted")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, cuts = Net.of(sent.value["net"]), sent.value["cuts"]
+        net = Net.of(sent.value)
         move = np.log(CUT / (1 - CUT))
         for batch in batches:
             values = [np.empty(0)]
