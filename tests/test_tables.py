@@ -117,14 +117,6 @@ def test_upsert_keeps_stored_columns_and_takes_new_ones(spark, tmp_path):
     assert found == {"e0": (10.0, 2.0, None), "e1": (5.0, 4.0, 6.0)}
 
 
-def test_compaction_moves_the_old_days(spark, tmp_path):
-    hot, cold = str(tmp_path / "hot"), str(tmp_path / "cold")
-    days = [(datetime.datetime(2024, 1, d), f"e{d}", "r", float(d)) for d in range(1, 11)]
-    st.write_by_day(spark.createDataFrame(days, "event_time timestamp, equipment_id string, run_id string, a double"), hot)
-    st.compact_before(spark, hot, cold, "2024-01-06")
-    assert (spark.read.parquet(hot).count(), spark.read.parquet(cold).count()) == (5, 5)
-
-
 def test_published_messages_keep_key_and_nulls(spark, tmp_path):
     path = str(tmp_path / "out")
     st.publish(spark.createDataFrame([("e1", None), ("e2", 2.0)], "equipment_id string, a double"), path)

@@ -14,6 +14,7 @@ from ..operators import prepare as pr
 from ..operators import validate as va
 from ..schemas import SENSORS, SETTINGS, UNIT_CYCLE, sensor_columns
 from ..session import scratch_path
+from ..sinks import blocks as bl
 from ..sinks import tables as st
 from ..sources import files as sf
 from . import sqltext as q
@@ -195,15 +196,20 @@ def _layout(spark, folder):
 @query(
     "compact_old_snk4",
     f"WITH {q.READINGS} SELECT CASE WHEN event_time < TIMESTAMP '2024-01-23 00:00:00' THEN CAST(floor(date_diff('day', DATE '1970-01-01', CAST(event_time AS DATE)) / 30.0) AS INTEGER) "
-    "ELSE -1 END AS event_block, equipment_id, event_us, sensor_1 FROM tv",
+    "ELSE -1 END AS event_block, equipment_id, event_us, sensor_1, failure_label = 1 AS late FROM tv",
 )
 def _compact(spark, folder):
     hot, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
-    st.write_by_day(_batch(spark, folder).select(*_KEYED), hot)
-    st.compact_before(spark, hot, cold, "2024-01-23")
-    left = spark.read.parquet(hot).withColumn("event_block", F.lit(-1))
-    both = spark.read.parquet(cold).unionByName(left, allowMissingColumns=True)
-    return both.select("event_block", "equipment_id", F.unix_micros("event_time").alias("event_us"), "sensor_1")
+    rows = _batch(spark, folder).select(*_KEYED, "failure_label")
+    st.write_by_day(rows.where("failure_label = 0").drop("failure_label"), hot)
+    for cutoff in ("2024-01-10", "2024-01-16"):
+        bl.compact_before(spark, hot, cold, cutoff)
+    st.write_by_day(rows.where("failure_label = 1").withColumn("late", F.lit(True)), hot)  # late rows, with columns that older files lack
+    bl.compact_before(spark, hot, cold, "2024-01-23")
+    left = spark.read.option("mergeSchema", True).parquet(hot).withColumn("event_block", F.lit(-1))
+    both = bl.read_blocks(spark, cold).unionByName(left, allowMissingColumns=True)
+    late = F.coalesce("late", F.lit(False)).alias("late")
+    return both.select("event_block", "equipment_id", F.unix_micros("event_time").alias("event_us"), "sensor_1", late)
 
 
 @query("stage_batch_snk5", f"WITH {q.READINGS} SELECT {_TV_OUT} FROM tv")

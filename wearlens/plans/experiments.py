@@ -34,7 +34,7 @@ def run_batch(raw: DataFrame, table: str, sensors: list[str], version: str, sour
     packed = pack_long_features(engineer_features(placed, sensors), version)
     stored = packed.withColumn("arrival", F.lit(0))
     upsert(stored, table, arrival=["arrival"])
-    return prepared.sparkSession.read.parquet(table)
+    return prepared.sparkSession.read.option("mergeSchema", True).parquet(table)
 
 
 def score_detectors(

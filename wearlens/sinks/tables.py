@@ -124,31 +124,6 @@ def upsert(batch: DataFrame, path: str, arrival: list[str], key: list[str] | Non
     write_by_day(newest.select(*key, "_body.*", *stored, "created_at"), path, mode="overwrite")
 
 
-def compact_before(spark: SparkSession, source: str, target: str, cutoff: str, block_days: int = 30) -> None:
-    """Move the days before `cutoff` into zstd files grouped by blocks of `block_days` days, same rows.
-
-    The day folders are removed from the source only after the blocks are written and their rows counted.
-    """
-    old = spark.read.parquet(source).where(F.col(DATE) < F.lit(cutoff).cast("date"))
-    block = F.floor(F.unix_date(DATE) / block_days).alias("event_block")
-    grouped = old.select("*", block).repartitionByRange("event_block", *CLUSTER)
-    (
-        grouped.sortWithinPartitions("event_block", *CLUSTER)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .partitionBy("event_block")
-        .parquet(target)
-    )
-    days = [r[0] for r in old.select(DATE).distinct().collect()]  # one value per calendar day
-    moved = spark.read.parquet(target).where(F.col(DATE).isin(days)).count() if days else 0
-    if moved != old.count():
-        raise RuntimeError(f"{target} does not hold all rows before {cutoff}; {source} is left as it is.")
-    for day in days:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/{DATE}={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def stage_batch(prepared: DataFrame, path: str, form: str = "parquet") -> None:
     """Write a normalized batch for the next stage."""
     writer = prepared.write.mode("overwrite")
