@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, jaccard, kneser, lines, packing, pii, quality, substrings, toxicity
+from wearlens.session import scratch_path
+
+from . import centroids, decontaminate, extract, idfiles, infill, jaccard, kneser, lines, packing, pii, quality, substrings, toxicity
 from .registry import query, table
-from .sqltext import DECONTAMINATION, JACCARD, QUALITY_RULES, REPEATS
+from .sqltext import CENTROIDS, DECONTAMINATION, INFILL, JACCARD, QUALITY_RULES, REPEATS
 
 
 @query("op1_toxicity")
@@ -82,3 +84,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op11_token_id_files")
+def op11_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-id-files")
+    documents = table(spark, sf_dir, "documents")
+    idfiles.write_ids(documents, path)
+    return idfiles.read_ids(spark, path, documents.schema["doc_id"].dataType.simpleString(), ids=False)
+
+
+@query("op12_fill_in_middle", INFILL)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transformed(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256")
+    )
+
+
+@query("op13_centroid_clustering", CENTROIDS)
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.with_inertia(centroids.clustered(table(spark, sf_dir, "embeddings")))
+    written_out = F.array_join(F.transform("centroid", lambda c: c.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written_out, 256).alias("centroid_sha256"))

@@ -94,3 +94,54 @@ select doc_id, cast(len(h) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as
   sha256(unhex(coalesce(kept, h))) as kept_sha256
 from d left join u using (r)
 """
+
+INFILL = """
+with d as (
+  select doc_id, coalesce(text, '') as t, cast(length(coalesce(text, '')) as bigint) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+),
+g as (
+  select *, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as x, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as y,
+    cast('0x' || substr(h, 17, 8) as bigint) % 100 as z, cast('0x' || substr(h, 25, 8) as bigint) % 100 as w
+  from d
+),
+f as (
+  select *, least(x, y) as a, greatest(x, y) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or z >= 90 then 'plain' when w < 20 then 'spm' else 'psm' end as form
+  from g
+),
+p as (select *, substr(t, 1, a) as head, substr(t, a + 1, b - a) as body, substr(t, b + 1) as tail from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || head || '<S>' || tail || '<M>' || body else '<S>' || tail || '<P>' || head || '<M>' || body end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
+
+
+def _round(i: int) -> str:
+    """Assignment a{i} to the centroids c{i}, and the centroids c{i + 1} of its clusters."""
+    return f"""
+q{i} as (select r, k, cast(sum((x - y) * (x - y)) as bigint) as d from e join c{i} using (j) group by r, k),
+a{i} as (select r, min(k) as k, min(d) as d from (select *, min(d) over (partition by r) as least from q{i}) where d = least group by r),
+s{i} as (select k, j, sum(x) as s, count(*) as n from e join a{i} using (r) group by k, j),
+c{i + 1} as (
+  select k, j, case when n is null then y else cast((s - ((s % n) + n) % n) // n as bigint) end as y from c{i} left join s{i} using (k, j)
+),"""
+
+
+#: 16 centroids, three rounds, 64 components.
+CENTROIDS = f"""
+with v as (
+  select row_number() over () as r, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda u: u is not null and isfinite(cast(u as double)))) = 64
+),
+e as (select r, j, cast(floor(64 * cast(embedding[j] as double)) as bigint) as x from (select r, embedding, unnest(range(1, 65)) as j from v)),
+o as (select r, row_number() over (order by sha256('1:' || coalesce(cast(vec_id as varchar), '')), embedding) - 1 as k from v),
+c0 as (select k, j, x as y from o join e using (r) where k < 16),
+{_round(0)}{_round(1)}{_round(2)}
+{_round(3).split("s3 as")[0].rstrip().rstrip(",")},
+g as (select k, sum(d) as own from a3 group by k),
+z as (select k, sha256(string_agg(cast(y as varchar), ',' order by j)) as centroid_sha256 from c3 group by k)
+select vec_id, cast(a3.k as integer) as cluster, a3.d as distance, cast(own as bigint) as cluster_inertia,
+  cast((select sum(d) from a3) as bigint) as inertia, centroid_sha256
+from a3 join v using (r) join g on g.k = a3.k join z on z.k = a3.k
+"""
