@@ -41,7 +41,8 @@ MAGIC = b"BITIDS01"
 HEADER = "<8sIIQQIIQ"
 HEADER_SIZE = struct.calcsize(HEADER)
 BLOCK = 4096
-SEGMENT = 1 << 23
+#: Ids of a file. Spark reads and writes a file as one value, so this bounds what a task holds.
+SEGMENT = 1 << 20
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 CACHE = 1_000_000
@@ -288,6 +289,8 @@ def read_ids(spark: SparkSession, path: str, kind: str = "bigint", ids: bool = T
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where(F.col("length") > HEADER_SIZE).select("content")
     schema = f"part int, place int, doc_id {kind}, inside bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
     rows = files.mapInArrow(lambda b: _read(b, ids), schema)
+    if not ids:  # few bytes a document: the files are read once
+        rows = written(rows, "documents-of-files")
     sizes = written(rows.select("part", "place", "n_tokens").groupBy("part", "place").agg(F.sum("n_tokens").alias("size")), "file-sizes")
     # one row per range: as many as the shuffle has partitions
     totals = sizes.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect()
