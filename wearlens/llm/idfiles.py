@@ -11,7 +11,7 @@ so that a file, or any range of its ids, is unpacked by numpy without a loop ove
 only the blocks it wants. Files are made by Spark's own writer (one file per row, its bytes as they are; the writer's closing
 line feed is behind the last block), so they go to any store, and lost or repeated tasks leave nothing behind.
 
-Documents are tokenized once, dealt by ranges of doc_id, and cut into files of about SEGMENT ids. The number of ids before a
+Texts are dealt by ranges of doc_id, tokenized there, and cut into files of about SEGMENT ids in the same stage. The number of ids before a
 document is put together from totals of ranges, totals of files and the place in its file.
 """
 
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -200,46 +199,32 @@ class WordEncoder:
         return ids, bounds
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """doc_id, a hash of the ids, their number, and the packed ids."""
-    for batch in batches:
-        encoder = kept(f"words of {name}", lambda: WordEncoder(name))
-        for chunk in text_chunks(batch.column("text")):
-            rows = slice(chunk.first, chunk.first + chunk.docs)
-            ids, bounds = encoder.encode([t or "" for t in batch.column("text")[rows].to_pylist()])
-            cells = [pack(ids[a:b], encoder.bits) for a, b in itertools.pairwise(bounds.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id")[rows], pa.array([xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in cells], pa.int64()),
-                    pa.array(np.diff(bounds), pa.int64()), pa.array(cells, pa.binary()),
-                ],
-                names=["doc_id", "tie", "n_tokens", "packed"],
-            )
-
-
-def _files(batches: Iterator[pa.RecordBatch], bits: int, segment: int) -> Iterator[pa.RecordBatch]:
+def _files(batches: Iterator[pa.RecordBatch], name: str, segment: int) -> Iterator[pa.RecordBatch]:
     """One row per file: its bytes, handed to the text writer unchanged."""
+    encoder = kept(f"words of {name}", lambda: WordEncoder(name))
     part, place, held = TaskContext.get().partitionId(), 0, 0
     names: list[pa.Array] = []
     ids: list[np.ndarray] = []
 
     def closed() -> pa.RecordBatch:
         nonlocal place, held, names, ids
-        cell = pa.array([file_bytes(pa.concat_arrays(names), ids, bits, part, place)], pa.binary())
+        cell = pa.array([file_bytes(pa.concat_arrays(names), ids, encoder.bits, part, place)], pa.binary())
         place, held, names, ids = place + 1, 0, [], []
         return pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, *cell.buffers()[1:3])], names=["value"])
 
     for batch in batches:
-        first = 0
-        for i, (n, cell) in enumerate(zip(batch.column("n_tokens").to_pylist(), batch.column("packed"), strict=True)):
-            ids.append(unpack(cell.as_buffer(), n, bits))
-            held += n
-            if held >= segment:
-                names.append(batch.column("doc_id")[first : i + 1])
-                first = i + 1
-                yield closed()
-        if first < batch.num_rows:
-            names.append(batch.column("doc_id")[first:])
+        for chunk in text_chunks(batch.column("text")):
+            rows = slice(chunk.first, chunk.first + chunk.docs)
+            flat, bounds = encoder.encode([t or "" for t in batch.column("text")[rows].to_pylist()])
+            first, doc_ids = 0, batch.column("doc_id")[rows]
+            while first < chunk.docs:  # up to the document that fills the file
+                last = min(chunk.docs, int(np.searchsorted(bounds, bounds[first] + segment - held)))
+                names.append(doc_ids[first:last])
+                ids += [flat[a:b] for a, b in itertools.pairwise(bounds[first : last + 1].tolist())]
+                held += int(bounds[last] - bounds[first])
+                first = last
+                if held >= segment:
+                    yield closed()
     if ids:
         yield closed()
 
@@ -248,16 +233,14 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, segme
     """Write the ids of every text, END_ID after each, to files below `path`, in ascending order of doc_id.
 
     A null text is empty and is the end id alone; a null doc_id comes first; rows of equal doc_id follow each other in the order
-    of a hash of their ids. Other columns are not read. No rows make no files. A document is never cut over two files: a text
+    of a hash of their texts. Other columns are not read. No rows make no files. A document is never cut over two files: a text
     longer than a file is a file of its own, at most 2 GB packed.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    bits = WordEncoder(tokenizer).bits
-    rows = documents.select("doc_id", "text").mapInArrow(lambda b: _encoded(b, tokenizer), f"doc_id {kind}, tie bigint, n_tokens bigint, packed binary")
     keys = ["doc_id", "tie", "row"]
     # the row's number only parts copies of one id, so that any number of them is dealt over several tasks
-    ordered = written(rows, "token-ids").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    files = ordered.drop("tie", "row").mapInArrow(lambda b: _files(b, bits, segment), "value string")
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    files = ordered.mapInArrow(lambda b: _files(b, tokenizer, segment), "value string")
     files.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
