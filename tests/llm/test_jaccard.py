@@ -58,6 +58,30 @@ def test_no_rows_and_null_id(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == [("5", "5"), ("None", "5"), ("None", "None")]
 
 
+def test_members_that_fail_their_leader(spark):
+    """Excerpts and edits of one text, with shared passages besides: many pairs link only through what their leader lacks."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    base, rows = r.sample(words, 200), []
+    extras = [r.sample(words, 60) for _ in range(4)]
+    for i in range(160):
+        a, n = r.randint(0, 80), r.randint(60, 140)
+        text = base[a : a + n] if i % 2 else list(base)
+        for _ in range(r.randint(0, 9)):
+            text[r.randrange(len(text))] = r.choice(words)
+        if i % 3:
+            text += extras[i % 4][: r.randint(10, 60)]
+        rows.append((i, " ".join(text)))
+    assert sorted(tuple(x) for x in jaccard.linked(helpers.texts(spark, rows)).collect()) == expected(rows)
+
+
+def test_tables_grow_with_the_input():
+    assert [jaccard.sketch_bits(n) for n in (0, 1 << 28, 1 << 30, 1 << 34, 1 << 60)] == [20, 20, 21, 23, 24]
+    import numpy as np
+
+    assert jaccard.slots(np.array([0, (1 << 40) - 1], np.uint64), 1 << 22).tolist() == [0, (1 << 22) - 1]
+
+
 def test_prefixes_share_enough():
     import numpy as np
 

@@ -11,8 +11,9 @@ leader, the most central node of all its posting lists (the one whose prefix has
 are copies of); that joins groups of near copies by at most one comparison for each member. The second pass takes every pair of
 the prefix index whose two nodes are still in different components, with the full matching rule, so that no link between
 components is missed. Two nodes of one leader meet there only if they can link within the leader's shingles: they share at most
-what each of them shares with the leader, and shingles outside it. Pairs that would need the latter are found through these
-few shingles. So members that fail their leader are not paired with its whole group. Verification compares whole sets.
+what each of them shares with the leader, and shingles outside it. Pairs that need the latter are found through these few
+shingles, in prefixes and with counted matches of their own (`besides`). So members that fail their leader are not paired with
+its whole group. Verification compares whole sets.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +37,21 @@ N = 5
 PERCENT = 75
 #: Bytes kept of a shingle's 64-bit hash: two sets of 500 shingles meet by chance once in four million comparisons.
 BYTES = 5
-SKETCH = 20
+#: The counter table has 2^SKETCH entries, one bit more for every further fourfold of SKETCHED shingles, and 2^MOST_SKETCH at most:
+#: beyond that, what is counted too high costs time only.
+SKETCH, MOST_SKETCH, SKETCHED = 20, 24, 1 << 28
 BLOCK = 12
 SHARDS = 256
-POSTINGS = 2_000_000
+POSTINGS = 500_000
 FLUSH = 400_000
 MOST_MATCHES = 8
 STORED, VERIFIED = 0.25, 4.0
-NODE_BITS = 24
-#: Leaders are sought in the posting lists of every LEADER_SHARE-th shingle. Nodes with less of their shingles in their
-#: leader than FAMILY percent are paired as if they had none.
-LEADER_SHARE = 4
+#: Bit sets of nodes have SPARE bits a node, between these powers of two.
+SPARE, FEWEST_BITS, MOST_BITS = 8, 20, 27
+#: Nodes with less of their shingles in their leader than FAMILY percent are paired as if they had none.
 FAMILY = 60
 PAIRS = 200
+SEEN = 1 << 18
 
 
 def packed(tokens: np.ndarray, width: int = 6) -> bytes:
@@ -81,7 +85,7 @@ def shingle_sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size, node (hash of the set) and the set's top BYTES bytes, the latter once per node of a task."""
+    """doc_id, set size, node (hash of the set) and the set's top BYTES bytes, the latter only once for copies that a task meets soon."""
     seen: set[int | None] = set()
     for batch in batches:
         sizes, nodes, sets = [], [], []
@@ -91,6 +95,8 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             sizes.append(len(tokens))
             nodes.append(node)
             sets.append(cell if node is not None and node not in seen else None)
+            if len(seen) > SEEN:
+                seen.clear()
             seen.add(node)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
@@ -98,12 +104,21 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         )
 
 
-def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(1 << SKETCH, np.uint32)
+def sketch_bits(shingles: int) -> int:
+    return min(MOST_SKETCH, SKETCH + max(0, (shingles // SKETCHED).bit_length() // 2))
+
+
+def slots(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Places of tokens in a table of `size` counters."""
+    return (tokens >> np.uint64(8 * BYTES - size.bit_length() + 1)).astype(np.int64)
+
+
+def _counters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(1 << bits, np.uint32)
     for batch in batches:
         for cell in batch.column("set"):
-            np.add.at(table, (unpacked(cell.as_py(), BYTES) >> np.uint64(8 * BYTES - SKETCH)).astype(np.int64), 1)
-    blocks = [b for b in range(1 << (SKETCH - BLOCK)) if table[b << BLOCK : (b + 1) << BLOCK].any()]
+            np.add.at(table, slots(unpacked(cell.as_py(), BYTES), len(table)), 1)
+    blocks = [b for b in range(1 << (bits - BLOCK)) if table[b << BLOCK : (b + 1) << BLOCK].any()]
     cells = [zlib.compress(table[b << BLOCK : (b + 1) << BLOCK].tobytes(), 1) for b in blocks]
     yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(cells, pa.binary())], names=["shard", "cell"])
 
@@ -127,30 +142,36 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarr
         yield current, total
 
 
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """Shingle counts by the top SKETCH bits of the hash, over all documents."""
-    parts = sets.where("set is not null").select("set").mapInArrow(_counters, "shard int, cell binary")
+def frequencies(sets: DataFrame, shingles: int) -> np.ndarray:
+    """Shingle counts by the top bits of the hash, over all documents, which have so many shingles."""
+    bits = sketch_bits(shingles)
+    parts = sets.where("set is not null").select("set").mapInArrow(lambda b: _counters(b, bits), "shard int, cell binary")
     rows = dealt(parts).mapInArrow(_added, "shard int, cell binary").collect()
-    table = np.zeros(1 << SKETCH, np.float32)
+    table = np.zeros(1 << bits, np.float32)
     for r in rows:
         table[r.shard << BLOCK : (r.shard + 1) << BLOCK] = np.frombuffer(r.cell, np.uint64)
     return table
 
 
+def in_order(tokens: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens in the global order (count, hash), and their counts."""
+    counts = table[slots(tokens, len(table))]
+    order = np.argsort(counts, kind="stable")
+    return tokens[order], counts[order]
+
+
 def prefix(tokens: np.ndarray, table: np.ndarray, usual: float, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
     """The prefix of the cheapest number of matches, that number, and how central the set is (0 to 255)."""
     n = len(tokens)
-    counts = table[(tokens >> np.uint64(8 * BYTES - SKETCH)).astype(np.int64)]
-    # sorted by (count, hash): the tokens are sorted already, and the sort is stable
-    order = np.argsort(counts, kind="stable")
+    tokens, counts = in_order(tokens, table)
     needed = -(-percent * n // 100)
     most = min(MOST_MATCHES, needed)
     length = n - needed + np.arange(1, most + 1)
-    met = np.cumsum(np.maximum(counts[order] - usual, 0))[length - 1]
+    met = np.cumsum(np.maximum(counts - usual, 0))[length - 1]
     matches = np.arange(1, most + 1)
     cost = STORED * length + met + VERIFIED * met / matches
     best = int(np.argmin(cost))
-    part = order[: length[best]]
+    part = slice(length[best])
     central = int(255 * (counts[part] > usual + 4 * np.sqrt(usual)).mean())
     return tokens[part], best + 1, central
 
@@ -227,14 +248,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(rank == top)
         group = np.repeat(np.arange(len(sizes)), sizes)
         leader = node[first[np.searchsorted(group[first], group)]]
-        asked = token % LEADER_SHARE == 0
-        found = _best(*(np.concatenate(v) for v in zip(found, (node[asked], leader[asked], top[asked]), strict=True)))
+        found = _best(*(np.concatenate(v) for v in zip(found, (node, leader, top), strict=True)))
         yield _rows(1, (np.int64(shard) << np.int64(32)) | token.astype(np.int64), node, np.zeros(len(node)))
     yield _rows(0, found[0], found[1], found[2] >> np.uint64(1))
 
 
-def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Per pair: shingles of both, whether they link, b's size, and for a family member its shingles that a does not have."""
+def _compared(batches: Iterator[pa.RecordBatch], table: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Per pair: shingles of both, whether they link, b's size, and for a family member its shingles that a does not have, rarest first."""
     for batch in batches:
         both, link, sizes, rest = [], [], [], []
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
@@ -244,21 +264,27 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             both.append(n)
             link.append(100 * n >= percent * (len(p) + len(q) - n))
             sizes.append(len(q))
-            rest.append(q[~hit].astype(np.int64) if 100 * n >= FAMILY * len(q) else None)
+            rest.append(in_order(q[~hit], table)[0].astype(np.int64) if 100 * n >= FAMILY * len(q) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(link, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.int64()))],
             names=["a", "b", "both", "link", "size_b", "rest"],
         )
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def node_bits(nodes: DataFrame) -> Broadcast:
+    """A bit set of the nodes, with SPARE bits for each; from 2^MOST_BITS / SPARE nodes on it lets more and more others through."""
+    named = nodes.distinct()
+    bits = min(MOST_BITS, max(FEWEST_BITS, (SPARE * named.count()).bit_length()))
+    return nodes.sparkSession.sparkContext.broadcast(bit_set(named, "node", bits))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, table: Broadcast, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes with what their whole sets have in common.
 
-    A bit set of fixed size, filled with the nodes that pairs name, keeps most other sets from being shuffled; what it lets
-    through besides only costs time.
+    A bit set filled with the nodes that pairs name keeps most other sets from being shuffled; what it lets through besides only
+    costs time.
     """
-    named = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = pairs.sparkSession.sparkContext.broadcast(bit_set(named, "node", NODE_BITS))
+    wanted = node_bits(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +297,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
         .join(few.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         .select("a", "b", "set_a", "set_b")
     )
-    return full.mapInArrow(lambda batches: _compared(batches, percent), "a bigint, b bigint, both bigint, link boolean, size_b bigint, rest array<bigint>")
+    return full.mapInArrow(lambda batches: _compared(batches, table.value, percent), "a bigint, b bigint, both bigint, link boolean, size_b bigint, rest array<bigint>")
 
 
 def crossing(lists: DataFrame, key: list[str]) -> DataFrame:
@@ -280,6 +306,30 @@ def crossing(lists: DataFrame, key: list[str]) -> DataFrame:
     return lists.join(mixed, key)
 
 
+def besides(first: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one leader's family, in different components, that can link only through shingles their leader lacks.
+
+    Two members share at most the smaller of their numbers of the leader's shingles, so they need a known number of others. These
+    are met in prefixes of their own, again rarest first: of k such shingles, at least l of the needed m are among the first
+    k - m + l, on both sides. All of it is a condition of the join, so pairs that cannot link make no rows.
+    """
+    member = first.where("rest is not null").select(
+        F.col("a").alias("leader"), F.col("b").alias("node"), "both", F.col("size_b").alias("size"), F.size("rest").alias("k"), F.posexplode("rest").alias("place", "token")
+    )
+    # whatever the partner, this many outside shingles are needed at least
+    alone = f"greatest(ceil({percent} * size / 100) - both - {MOST_MATCHES}, 0)"
+    few = member.where(f"place < k - {alone}").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    one = written(crossing(few, ["leader", "token"]), "open-rests")
+    two = one.toDF(*(c if c in ("leader", "token") else f"{c}2" for c in one.columns))
+    need = f"ceil({percent} * (size + size2) / {100 + percent}) - least(both, both2)"
+    matches = f"least({need}, {MOST_MATCHES})"
+    near = f"100 * least(size, size2) >= {percent} * greatest(size, size2) and {need} >= 1 and {need} <= least(k, k2)"
+    places = f"place < k - ({need}) + {matches} and place2 < k2 - ({need}) + {matches}"
+    met = one.join(two, ["leader", "token"]).where(f"label < label2 and {near} and {places}")
+    counted = met.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).agg(F.count("*").alias("met"), F.first(F.expr(matches)).alias("least"))
+    return counted.where("met >= least").select("a", "b")
+
+
 def _matches(batches: Iterator[pa.RecordBatch], table: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     usual = float(np.median(table)) + 1
     for batch in batches:
@@ -299,8 +349,8 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
     sets = stored(
         documents.select("doc_id", "text").mapInArrow(lambda b: _sets(b, n), f"doc_id {kind}, n_shingles bigint, node bigint, set binary"), "shingle-sets"
     )
-    table = spark.sparkContext.broadcast(frequencies(sets))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    table = spark.sparkContext.broadcast(frequencies(sets, total))
     shards = max(SHARDS, -(-total * (105 - percent) // 100 // POSTINGS))
     full = sets.where("set is not null")
     postings = full.select("node", "set").mapInArrow(
@@ -310,14 +360,14 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
 
     best = shared.where("kind = 0").groupBy("x").agg(F.max_by("y", "z").alias("leader"))
     led = written(best.where("x <> leader").select(F.col("leader").alias("a"), F.col("x").alias("b")), "leader-pairs")
-    first = stored(compared(led, sets, percent), "compared", PAIRS)
+    first = stored(compared(led, sets, table, percent), "compared", PAIRS)
     links = first.where("link").select("a", "b")
     labels = components(links)
 
     lists = shared.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"))
     labelled = lists.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     open_lists = written(crossing(labelled, ["token"]), "open-postings")
-    named = spark.sparkContext.broadcast(bit_set(open_lists.select("node").distinct(), "node", NODE_BITS))
+    named = node_bits(open_lists.select("node"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,13 +392,9 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
         .agg(F.count("*").alias("met"), F.first(F.least("matches", "matches2")).alias("least"))
         .where(F.col("met") >= F.col("least")).select("a", "b")
     )
-    outside = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.explode("rest").alias("token"))
-    outside = outside.join(labels, "node", "left").select("leader", "token", "node", F.coalesce("label", "node").alias("label"))
-    one = written(crossing(outside, ["leader", "token"]), "open-rests")
-    two = one.toDF("leader", "token", "node2", "label2")
-    beside = one.join(two, ["leader", "token"]).where("label < label2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    beside = besides(first, labels, percent)
     pairs = written(crossed.unionAll(beside).distinct(), "crossed-pairs")
-    more = stored(compared(pairs, sets, percent).where("link").select("a", "b"), "links", PAIRS)
+    more = stored(compared(pairs, sets, table, percent).where("link").select("a", "b"), "links", PAIRS)
     labels = components(links.unionAll(more)) if more.limit(1).count() else labels
 
     least = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
