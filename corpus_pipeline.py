@@ -12,37 +12,57 @@ from wearlens.session import written
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+#: Rows are told apart by number inside a stage: ids may be null or repeated.
+ROW = "row_number"
+
+
+def _by_place(docs: DataFrame) -> DataFrame:
+    """Columns other than the text named by their place, so that none clashes with what is added."""
+    return docs.toDF(*[c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows, columns named by place, with a number each; written, so that numbers are the same wherever they are read."""
+    return written(_by_place(docs).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels of two thirds of the ids."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
-    return toxicity.scores(docs, toxicity.train(docs, labels)).where("predicted = 0").select(docs.columns)
+    scored = toxicity.scores(_by_place(docs), toxicity.train(docs, labels))
+    return scored.where("predicted = 0").drop("toxicity", "predicted").toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; rows without an id stay."""
-    linked = jaccard.linked(docs.select("doc_id", "text"))
-    return _without(docs, linked.where("doc_id <> component_id"))
+    """One row of each group of linked documents: the first one of the smallest id; a null id counts as the largest."""
+    rows = _numbered(docs)
+    linked = jaccard.linked(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    doc_id = F.col(f"column_{docs.columns.index('doc_id')}")
+    order = F.struct(doc_id.isNull(), doc_id, ROW)
+    first = linked.join(rows.select(ROW, doc_id), ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW))
+    return rows.join(first.select(ROW), ROW, "left_semi").drop(ROW).toDF(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated"))
+    rows = _numbered(docs)
+    found = decontaminate.contaminated_words(rows.select(F.col(ROW).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW).toDF(*docs.columns)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with marks in place of personal data."""
-    clean = pii.private_spans(docs.select(docs.columns)).withColumn("text", F.when(F.col("text").isNotNull(), F.col("redacted")))
-    count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, count).otherwise(F.col("n_chars"))).select(docs.columns)
+    """All documents, with marks in place of personal data; a null text stays null, and n_chars follows the text."""
+    found = pii.private_spans(_by_place(docs))
+    text = F.when(F.col("text").isNotNull(), F.col("redacted"))
+    number = f"column_{docs.columns.index('n_chars')}"
+    chars = F.when(F.size("spans") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(number))
+    return found.withColumns({number: chars, "text": text}).drop("base", "spans", "redacted").toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents' tokens in sequences of one window: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
+    offset. Rows of equal or null ids are documents of their own."""
     return packing.sequences(docs)
 
 
@@ -56,6 +76,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the table of documents, one after another; each is written before the next one reads it. No rows
+    give no rows; extra columns are carried up to the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

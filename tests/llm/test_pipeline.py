@@ -32,6 +32,36 @@ def test_stages_against_plain_versions(spark):
     assert check(rows, list(before.items())) < 0.03
 
 
+def test_rows_are_told_apart_by_number(spark, tmp_path):
+    """Null and repeated ids, clashing extra columns, a very long text."""
+    from pyspark.sql import functions as F
+
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima"
+    words = " ".join(f"w{i}" for i in range(300))
+    rows = [
+        (1, f"clean one {words}"), (1, f"this holds {item} indeed"), (None, f"that holds {item} too"), (None, "no id here at all but some words follow"),
+        (None, "no id here at all but some words follow"), (2, "long " + " ".join(f"x{i}" for i in range(40_000))), (3, f"clean one {words} more"),
+    ]
+    docs = helpers.texts(spark, rows).select(
+        "doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"),
+        *[F.lit(i).alias(c) for i, c in enumerate(("_row", "toxicity", "predicted", "spans", "base", "redacted", "component_id"))],
+    )
+    spark.createDataFrame([("b1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{helpers.SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = written(docs, "odd")
+    for name in ("toxicity", "ngram_jaccard_join", "decontamination", "pii"):
+        before = docs
+        docs = written(stages[name](spark, docs, str(tmp_path)), name)
+        assert docs.columns == before.columns
+        assert {tuple(r) for r in docs.select(docs.columns[5:]).distinct().collect()} == {tuple(range(7))}
+        left = sorted((str(r.doc_id), r.text[:10]) for r in docs.collect())
+        if name == "ngram_jaccard_join":  # one of two copies without an id, and of the near copies the smaller id
+            assert left == sorted([("1", "clean one "), ("1", "this holds"), ("None", "that holds"), ("None", "no id here"), ("2", "long x0 x1")])
+        if name == "decontamination":
+            assert left == sorted([("1", "clean one "), ("None", "no id here"), ("2", "long x0 x1")])
+
+
 def test_odd_documents(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearlens.session import written
@@ -176,40 +176,40 @@ def prefix(tokens: np.ndarray, table: np.ndarray, usual: float, percent: int = P
     return tokens[part], best + 1, central
 
 
+#: What is known of each posting, as byte strings per shard.
+POSTING = {"tokens": np.uint32, "nodes": np.int64, "central": np.uint8, "sizes": np.uint32, "matches": np.uint8}
+
+
 def _postings(batches: Iterator[pa.RecordBatch], table: np.ndarray, shards: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Prefix tokens (low 32 bits) and nodes, a pair of byte strings per shard and batch."""
+    """Prefix tokens with their nodes, and the nodes' set sizes and wanted matches, a row per shard and batch."""
     usual = float(np.median(table)) + 1
-    tokens, nodes, central, held = [], [], [], 0
+    parts: list[tuple] = []
+    held = 0
     for batch in batches:
         for cell, node in zip(batch.column("set"), batch.column("node").to_pylist(), strict=True):
-            part, _, rank = prefix(unpacked(cell.as_py(), BYTES), table, usual, percent)
-            tokens.append(part)
-            nodes.append(np.full(len(part), node, np.int64))
-            central.append(np.full(len(part), rank, np.uint8))
+            tokens = unpacked(cell.as_py(), BYTES)
+            part, matches, rank = prefix(tokens, table, usual, percent)
+            parts.append((part, node, rank, len(tokens), matches))
             held += len(part)
         if held > FLUSH:
-            yield _dealt_out(tokens, nodes, central, shards)
-            tokens, nodes, central, held = [], [], [], 0
-    if tokens:
-        yield _dealt_out(tokens, nodes, central, shards)
+            yield _dealt_out(parts, shards)
+            parts, held = [], 0
+    if parts:
+        yield _dealt_out(parts, shards)
 
 
-def _dealt_out(tokens: list[np.ndarray], nodes: list[np.ndarray], central: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    token, node, rank = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(central)
+def _dealt_out(parts: list[tuple], shards: int) -> pa.RecordBatch:
+    tokens, *facts = zip(*parts, strict=True)
+    lengths, token = [len(t) for t in tokens], np.concatenate(tokens)
     shard = (mix(token) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    token, node, rank, shard = token[order].astype(np.uint32), node[order], rank[order], shard[order]
-    edges = np.searchsorted(shard, np.arange(shards + 1))
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
     full = np.flatnonzero(np.diff(edges))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(full, pa.int32()),
-            pa.array([token[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()),
-            pa.array([node[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()),
-            pa.array([rank[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()),
-        ],
-        names=["shard", "tokens", "nodes", "central"],
-    )
+    columns = [pa.array(full, pa.int32())]
+    for values, kind in zip((token, *(np.repeat(np.array(f), lengths) for f in facts)), POSTING.values(), strict=True):
+        values = values[order].astype(kind)
+        columns.append(pa.array([values[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=["shard", *POSTING])
 
 
 def _best(node: np.ndarray, leader: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,37 +220,42 @@ def _best(node: np.ndarray, leader: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     return node[at], leader[at], rank[at]
 
 
-def _rows(kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), *(pa.array(v.astype(np.int64)) for v in (x, y, z))], names=["kind", "x", "y", "z"])
+def _rows(kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray, matches: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(x), kind, np.int32)), *(pa.array(v.astype(np.int64)) for v in (x, y, z)), pa.array(matches.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "x", "y", "z", "matches"])
+
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, int)
+    return starts, np.diff(np.append(starts, len(values)))
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of tokens that several nodes have (kind 1), and per node its best leader in the task's shards (kind 0)."""
+
+def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Postings (kind 1) of tokens that several nodes have, without the nodes that are too large or small for every other one of
+    the list, and per node its best leader in the task's shards (kind 0)."""
     found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
     for shard, parts in shard_groups(batches):
-        token, node = joined(parts, "tokens", np.uint32), joined(parts, "nodes", np.int64)
-        central = joined(parts, "central", np.uint8)
-        order = np.lexsort((node, token))
-        token, node, central = token[order], node[order], central[order]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, central = token[fresh], node[fresh], central[fresh]
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, int)
-        sizes = np.diff(np.append(starts, len(token)))
-        several = np.repeat(sizes > 1, sizes)
-        token, node, central, sizes = token[several], node[several], central[several], sizes[sizes > 1]
-        if not len(token):
+        token, node, central, size, matches = (joined(parts, name, kind) for name, kind in POSTING.items())
+        order = np.lexsort((node, size, token))  # a node's rows follow each other, since it has one size
+        order = order[np.append(True, (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1]))] if len(order) else order
+        _, lengths = _runs(token[order])
+        order = order[np.repeat(lengths > 1, lengths)]
+        if not len(order):
             continue
-        starts = np.cumsum(sizes) - sizes
+        token, node, central, size, matches = token[order], node[order], central[order], size[order].astype(np.int64), matches[order]
+        starts, lengths = _runs(token)
         # distinct nodes never have the same rank but for a chance of 2^-56
         rank = (central.astype(np.uint64) << np.uint64(56)) | (mix(node.view(np.uint64)) >> np.uint64(8))
-        top = np.repeat(np.maximum.reduceat(rank, starts), sizes)
-        first = np.flatnonzero(rank == top)
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        leader = node[first[np.searchsorted(group[first], group)]]
-        found = _best(*(np.concatenate(v) for v in zip(found, (node, leader, top), strict=True)))
-        yield _rows(1, (np.int64(shard) << np.int64(32)) | token.astype(np.int64), node, np.zeros(len(node)))
-    yield _rows(0, found[0], found[1], found[2] >> np.uint64(1))
+        top = np.repeat(np.maximum.reduceat(rank, starts), lengths)
+        leader = np.repeat(node[rank == top], lengths)
+        led = leader != node
+        found = _best(*(np.concatenate(v) for v in zip(found, (node[led], leader[led], top[led]), strict=True)))
+        near = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])  # sizes rise within a list
+        kept = np.append(near, False) | np.append(False, near)
+        key = (np.int64(shard) << np.int64(32)) | token[kept].astype(np.int64)
+        yield _rows(1, key, node[kept], size[kept], matches[kept])
+    yield _rows(0, found[0], found[1], found[2] >> np.uint64(1), np.zeros(len(found[0])))
 
 
 def _compared(batches: Iterator[pa.RecordBatch], table: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
@@ -302,8 +307,9 @@ def compared(pairs: DataFrame, sets: DataFrame, table: Broadcast, percent: int =
 
 def crossing(lists: DataFrame, key: list[str]) -> DataFrame:
     """Rows of `lists` (key, node, label, ...) whose key is met in several components."""
-    mixed = lists.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*key)
-    return lists.join(mixed, key)
+    of_key = Window.partitionBy(*key)
+    mixed = lists.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key)).where("low <> high")
+    return mixed.drop("low", "high")
 
 
 def besides(first: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -330,13 +336,6 @@ def besides(first: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return counted.where("met >= least").select("a", "b")
 
 
-def _matches(batches: Iterator[pa.RecordBatch], table: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    usual = float(np.median(table)) + 1
-    for batch in batches:
-        found = [prefix(unpacked(c.as_py(), BYTES), table, usual, percent)[1] for c in batch.column("set")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_shingles"), pa.array(found, pa.int32())], names=["node", "size", "matches"])
-
-
 def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -353,36 +352,22 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
     table = spark.sparkContext.broadcast(frequencies(sets, total))
     shards = max(SHARDS, -(-total * (105 - percent) // 100 // POSTINGS))
     full = sets.where("set is not null")
-    postings = full.select("node", "set").mapInArrow(
-        lambda b: _postings(b, table.value, shards, percent), "shard int, tokens binary, nodes binary, central binary"
-    )
-    shared = stored(dealt(postings).mapInArrow(_shared, "kind int, x bigint, y bigint, z bigint"), "shared-postings")
+    cells = ", ".join(f"{name} binary" for name in POSTING)
+    postings = full.select("node", "set").mapInArrow(lambda b: _postings(b, table.value, shards, percent), f"shard int, {cells}")
+    shared = stored(dealt(postings).mapInArrow(lambda b: _shared(b, percent), "kind int, x bigint, y bigint, z bigint, matches int"), "shared-postings")
 
     best = shared.where("kind = 0").groupBy("x").agg(F.max_by("y", "z").alias("leader"))
-    led = written(best.where("x <> leader").select(F.col("leader").alias("a"), F.col("x").alias("b")), "leader-pairs")
+    led = written(best.select(F.col("leader").alias("a"), F.col("x").alias("b")), "leader-pairs")
     first = stored(compared(led, sets, table, percent), "compared", PAIRS)
     links = first.where("link").select("a", "b")
     labels = components(links)
 
-    lists = shared.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"))
-    labelled = lists.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    open_lists = written(crossing(labelled, ["token"]), "open-postings")
-    named = node_bits(open_lists.select("node"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bit_set(named.value, batch.column("node").to_numpy(zero_copy_only=False))))
-
-    needs = (
-        full.select("node", "n_shingles", "set").mapInArrow(pick, "node bigint, n_shingles bigint, set binary")
-        .mapInArrow(lambda b: _matches(b, table.value, percent), "node bigint, size bigint, matches int")
-        .groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"))
-    )
+    lists = shared.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"), F.col("z").alias("size"), "matches")
     family = first.where("rest is not null").select(F.col("b").alias("node"), F.col("a").alias("leader"), "both")
-    needs = needs.join(family, "node", "left").select(
-        "node", "size", "matches", F.coalesce("leader", "node").alias("leader"), F.coalesce("both", "size").alias("both")
+    placed = lists.join(written(labels.join(family, "node", "full"), "placed-nodes"), "node", "left").select(
+        "token", "node", "size", "matches", F.coalesce("label", "node").alias("label"), F.coalesce("leader", "node").alias("leader"), F.coalesce("both", "size").alias("both")
     )
-    left = stored(open_lists.join(needs, "node"), "open-postings")
+    left = written(crossing(placed, ["token"]), "open-postings")
     right = left.toDF(*(c if c == "token" else f"{c}2" for c in left.columns))
     enough = f"{100 + percent} * least(both, both2) >= {percent} * (size + size2)"
     crossed = (

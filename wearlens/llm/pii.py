@@ -5,17 +5,20 @@ e-mail addresses, national telephone numbers, numbers in card groups with other
 over format and context features give each a probability; a span is added if it reaches the threshold of its kind and does
 not overlap a span that is already taken.
 
-There are no labelled spans, so the trees learn from weak labels: matches of the base patterns that pass their checks are
-positive, matches that fail them (checksum, range, digit count) and candidates inside longer tokens are negative. They are
-fitted on the candidates of at most MAX_TEXTS texts with a digit or an @, taken in the order of a hash of the text.
+There are no labelled spans, so the trees learn from weak labels: matches of the base patterns by their checks, proposals by
+a check of their plain form (an address once "(at)" and "(dot)" are replaced, the checksum, a valid version 6 address, a word
+for a telephone before the number). They are fitted on at most MAX_TEXTS distinct texts, the same number for each kind. The
+thresholds come from the scores of the proposals of all texts.
 """
 
 from __future__ import annotations
 
-import hashlib
+import ipaddress
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textscan import text_chunks
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TEXTS = 4000
 ROUNDS, DEPTH, BINS, RATE = 40, 3, 32, 0.3
 PRECISION = 0.95
+SCORE_BINS = 1000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,6 +43,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}|&#64;) ?| at ", re.IGNORECASE)
 SPOKEN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.)[A-Za-z0-9-]{1,63}){1,6}", re.IGNORECASE)
+DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot ", re.IGNORECASE)
 NATIONAL = re.compile(r"(?<![0-9])(?:\([0-9]{2,5}\)|0?[0-9]{2,5})[ ./-]{1,2}[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,4}")
 GROUPS = re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{2,6}){2,4}")
 COLONS = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
@@ -49,6 +56,9 @@ CUES = {
     "phone": ("phone", "tel", "call", "telefon", "fax", "mobile", "llamar"),
 }
 
+# What a text must show to be of use for learning a kind.
+HINTS = {"email": r"(?i)@|[({\[]at[)}\]]| dot |&#64;", "ip": r"[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]{0,4}:", "card": r"[0-9]{4}[ ./_-]?[0-9]{4}", "phone": r"\+[0-9]|[0-9)][ ./-][0-9]"}
+
 
 def passes_luhn(digits: str) -> bool:
     total = 0
@@ -58,6 +68,12 @@ def passes_luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(part: str) -> bool:
+    """Whether a run of digits, leading zeros or not, is a number up to 255."""
+    number = part.lstrip("0")
+    return len(number) < 3 or (len(number) == 3 and number <= "255")
+
+
 def matches(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, passes) of the base patterns' matches, leftmost and non-overlapping per kind."""
     out, at, low = [], text.find("@"), 0
@@ -70,7 +86,7 @@ def matches(text: str) -> list[tuple[int, int, int, bool]]:
             low = m.end()
         at = text.find("@", at + 1)
     for m in IP.finditer(text):
-        out.append((m.start(), 1, m.end(), all(len(p) <= 300 and int(p) <= 255 for p in m[0].split("."))))
+        out.append((m.start(), 1, m.end(), all(at_most_255(p) for p in m[0].split("."))))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -120,12 +136,13 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
 
 
 class Boosted:
-    """Trees of fixed depth on quantile bins, logistic loss; one threshold per kind."""
+    """Trees of fixed depth on quantile bins, logistic loss; one threshold per kind. Without trees, or for a kind without a threshold,
+    no span is taken."""
 
     def __init__(self) -> None:
         self.edges: list[np.ndarray] = []
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.start, self.cuts = -2.0, np.full(len(KINDS), 0.9)
+        self.start, self.cuts = -2.0, np.full(len(KINDS), np.inf)
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], axis=1)
@@ -168,26 +185,37 @@ class Boosted:
             z += value[node - (2**DEPTH - 1)]
         return 1 / (1 + np.exp(-z))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Per kind the lowest threshold, at least 0.5, from which on the precision is PRECISION."""
-        p, kind = self.probability(x), x[:, : len(KINDS)].argmax(1)
-        for k in range(len(KINDS)):
-            of = kind == k
-            order = np.argsort(-p[of], kind="stable")
-            precision = np.cumsum(y[of][order]) / np.arange(1, of.sum() + 1)
-            good = np.flatnonzero(precision >= PRECISION)
-            if len(good):
-                ranked = np.append(p[of][order], 0.0)
-                self.cuts[k] = max(0.5, (ranked[good[-1]] + ranked[good[-1] + 1]) / 2)
-        return self
+
+def free_proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The proposals that the trees decide: those that meet no base span."""
+    return [(s, k, e) for s, k, e in proposals(text) if not any(s < e2 and s2 < e for s2, _, e2 in base)]
+
+
+def plausible(text: str, start: int, kind: int, end: int) -> bool:
+    """The weak label of a proposal: whether its plain form passes a check of its kind."""
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+        return False
+    span = text[start:end]
+    if kind == 0:
+        plain = DOT.sub(".", AT.sub("@", span))
+        return " " not in plain and plain[-1].isalpha() and bool(base_spans(plain))
+    if kind == 1:
+        try:
+            return ipaddress.ip_address(span).version == 6
+        except ValueError:
+            return False
+    digits = "".join(c for c in span if c in "0123456789")
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and passes_luhn(digits)
+    around = text[max(0, start - 40) : start].lower()
+    return 8 <= len(digits) <= 15 and any(w in around for w in CUES["phone"])
 
 
 def weak_labels(text: str) -> list[tuple[list[float], float]]:
-    rows = [(features(text, s, k, e), float(good)) for s, k, e, good in matches(text)]
-    for s, k, e in proposals(text):
-        if text[s - 1 : s].isalnum() or text[e : e + 1].isalnum():
-            rows.append((features(text, s, k, e), 0.0))
-    return rows
+    found = matches(text)
+    base = [(s, k, e) for s, k, e, good in found if good]
+    rows = [(features(text, s, k, e), float(good)) for s, k, e, good in found]
+    return rows + [(features(text, s, k, e), float(plausible(text, s, k, e))) for s, k, e in free_proposals(text, base)]
 
 
 def fit(texts: list[str]) -> Boosted:
@@ -195,9 +223,7 @@ def fit(texts: list[str]) -> Boosted:
     y = np.array([r[1] for r in rows])
     if not 0 < y.sum() < len(y):
         return Boosted()
-    x = np.array([r[0] for r in rows], float)
-    held = np.arange(len(y)) % 4 == 3
-    return Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+    return Boosted().fit(np.array([r[0] for r in rows], float), y)
 
 
 def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,20 +231,67 @@ def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"model": [pickle.dumps(vars(fit(texts)))]})
 
 
+def sample_texts(documents: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
+    """Distinct texts for the fit, at most max_texts: the same number for each kind, among the texts that could hold it.
+
+    Hashes of the texts are chosen first; they are few, so they are broadcast and only their texts move. Copies count once.
+    """
+    texts = documents.select("text", F.xxhash64("text").alias("place")).where("text is not null")
+    hints = [F.when(F.col("text").rlike(HINTS[kind]), F.lit(kind)) for kind in KINDS]
+    hinted = texts.select("place", F.explode(F.array_compact(F.array(*hints))).alias("kind")).distinct()
+    chosen = [hinted.where(F.col("kind") == kind).orderBy("place").limit(max_texts // len(KINDS)).select("place") for kind in KINDS]
+    places = F.broadcast(reduce(DataFrame.unionAll, chosen).distinct())
+    return texts.join(places, "place").groupBy("place").agg(F.min("text").alias("text")).select("text")
+
+
+def _histogram(batches: Iterator[pa.RecordBatch], model: Boosted) -> Iterator[pa.RecordBatch]:
+    """Free proposals by kind, bin of the score and weak label, counted per batch."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for chunk in text_chunks(batch.column("text")):
+            rows, kinds, labels = [], [], []
+            for t in batch.column("text")[chunk.first : chunk.first + chunk.docs].to_pylist():
+                for s, k, e in free_proposals(t, base_spans(t)) if t else ():
+                    rows.append(features(t, s, k, e))
+                    kinds.append(k)
+                    labels.append(int(plausible(t, s, k, e)))
+            if rows:
+                bins = np.minimum((model.probability(np.array(rows, float)) * SCORE_BINS).astype(int), SCORE_BINS - 1)
+                counts.update(zip(kinds, bins.tolist(), labels, strict=True))
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "bin", "label", "n"]
+        )
+
+
+def cuts_of(counts: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Per kind the lowest score of at least 0.5 from which on the precision is PRECISION, from (kind, bin, label, n); a kind that
+    reaches it nowhere adds nothing."""
+    table = np.zeros((len(KINDS), SCORE_BINS, 2))
+    for k, b, y, n in counts:
+        table[k, b, y] += n
+    cuts = np.full(len(KINDS), np.inf)
+    for k in range(len(KINDS)):
+        above = np.cumsum(table[k, ::-1], axis=0)[::-1]
+        total = above.sum(1)
+        good = np.flatnonzero((total > 0) & (above[:, 1] >= PRECISION * total) & (np.arange(SCORE_BINS) >= SCORE_BINS // 2))
+        if len(good):
+            cuts[k] = good[0] / SCORE_BINS
+    return cuts
+
+
 def train(documents: DataFrame, max_texts: int = MAX_TEXTS) -> Boosted:
-    """Fit on at most max_texts texts with a digit or an @.
+    """Trees from a bounded sample of distinct texts, thresholds from the free proposals of all texts.
 
-    Rows are first thinned by a hash of the text to about 16 * max_texts, so that what meets in one task does not grow.
+    The driver gets one row per kind, bin and label. Where no text has a match or proposal the model adds nothing.
     """
-    share = min(1.0, 16 * max_texts / max(1, documents.count()))
-    sample = (
-        documents.select("text", F.xxhash64("text").alias("place"))
-        .where((F.pmod("place", F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20))))) & F.col("text").rlike("[0-9@]"))
-        .orderBy("place", "text").limit(max_texts)
-    )
-    found = sample.select("text").coalesce(1).mapInPandas(_fit_rows, "model binary").collect()
+    found = sample_texts(documents, max_texts).coalesce(1).mapInPandas(_fit_rows, "model binary").collect()
     model = Boosted()
     vars(model).update(pickle.loads(found[0].model) if found else {})
+    if model.trees:
+        sent = documents.sparkSession.sparkContext.broadcast(model)
+        counted = documents.select("text").mapInArrow(lambda b: _histogram(b, sent.value), "kind int, bin int, label int, n bigint")
+        model.cuts = cuts_of([tuple(r) for r in counted.groupBy("kind", "bin", "label").agg(F.sum("n")).collect()])
     return model
 
 
@@ -227,9 +300,7 @@ def find(texts: list[str], model: Boosted) -> list[tuple[list[tuple[int, int, in
     base = [base_spans(t) for t in texts]
     asked = []
     for i, t in enumerate(texts):
-        for s, k, e in proposals(t):
-            if not any(s < e2 and s2 < e for s2, _, e2 in base[i]):
-                asked.append((i, s, k, e))
+        asked += [(i, s, k, e) for s, k, e in free_proposals(t, base[i])]
     extra: dict[int, list] = {}
     if asked:
         p = model.probability(np.array([features(texts[i], s, k, e) for i, s, k, e in asked], float))
@@ -266,18 +337,16 @@ def private_spans(documents: DataFrame, model: Boosted | None = None) -> DataFra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = find(texts, sent.value)
-            lists = [[[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in part] for part in side] for side in zip(*found, strict=True)] or [[], []]
-            clean = [redacted(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(x, kind) for x in lists), pa.array(clean, pa.string())], names=[*batch.schema.names, "base", "spans", "redacted"]
-            )
+            for chunk in text_chunks(batch.column("text")):  # rows go on chunk by chunk: whole batches of texts are not held twice
+                rows = batch.slice(chunk.first, chunk.docs)
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                found = find(texts, sent.value)
+                lists = [[[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in part] for part in side] for side in zip(*found, strict=True)]
+                clean = [redacted(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, *(pa.array(x, kind) for x in lists), pa.array(clean, pa.string())], names=[*batch.schema.names, "base", "spans", "redacted"]
+                )
 
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(scan, f"{schema}, base {spans}, spans {spans}, redacted string")
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

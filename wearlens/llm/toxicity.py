@@ -281,7 +281,8 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     The sample is chosen among the labels alone, so that its bounded list of ids can be broadcast and only its texts move.
     """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    rows = rows.withColumn("place", F.xxhash64("doc_id"))
+    # an id with several labels is toxic if one of them says so
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("place", F.xxhash64("doc_id"))
     chosen = [rows.where(F.col("toxic") == value).orderBy("place", "doc_id").limit(most) for value, most in ((1, max_toxic), (0, max_clean))]
     sample = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
     found = sample.select("text", "toxic", "place").repartition(1).mapInPandas(_fit_rows, "model binary").collect()
@@ -305,15 +306,14 @@ def scores(documents: DataFrame, model: dict) -> DataFrame:
         net = Net.of(sent.value)
         move = np.log(CUT / (1 - CUT))
         for batch in batches:
-            values = [np.empty(0)]
-            for chunk in text_chunks(batch.column("text")):
+            for chunk in text_chunks(batch.column("text")):  # rows go on chunk by chunk: whole batches of texts are not held twice
                 t = TextBatch(chunk)
                 z = net.logits(t).astype(float) - cuts[t.language] + move
-                values.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-            p = np.concatenate(values)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= CUT).astype(np.int32))], names=[*batch.schema.names, "toxicity", "predicted"]
-            )
+                p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+                rows = batch.slice(chunk.first, chunk.docs)
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array(p, pa.float64()), pa.array((p >= CUT).astype(np.int32))], names=[*batch.schema.names, "toxicity", "predicted"]
+                )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(score, f"{schema}, toxicity double, predicted int")
