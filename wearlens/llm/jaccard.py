@@ -50,6 +50,7 @@ STORED, VERIFIED = 0.25, 4.0
 SPARE, FEWEST_BITS, MOST_BITS = 8, 20, 27
 #: Nodes with less of their shingles in their leader than FAMILY percent are paired as if they had none.
 FAMILY = 60
+MET = 2
 PAIRS = 200
 SEEN = 1 << 18
 
@@ -212,12 +213,15 @@ def _dealt_out(parts: list[tuple], shards: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["shard", *POSTING])
 
 
-def _best(node: np.ndarray, leader: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One leader per node, the one of the highest rank."""
+def _best(node: np.ndarray, leader: np.ndarray, rank: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One leader per node, the one of the highest rank, and in how many lists they meet."""
     order = np.lexsort((rank, node))
-    last = np.append(node[order][1:] != node[order][:-1], True) if len(node) else np.empty(0, bool)
-    at = order[last]
-    return node[at], leader[at], rank[at]
+    node, leader, rank, met = node[order], leader[order], rank[order], met[order]
+    starts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (rank[1:] != rank[:-1]))) if len(node) else np.empty(0, int)
+    total = np.add.reduceat(met, starts) if len(node) else met
+    node, leader, rank = node[starts], leader[starts], rank[starts]
+    last = np.append(node[1:] != node[:-1], True) if len(node) else np.empty(0, bool)
+    return node[last], leader[last], rank[last], total[last]
 
 
 def _rows(kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray, matches: np.ndarray) -> pa.RecordBatch:
@@ -234,7 +238,7 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Postings (kind 1) of tokens that several nodes have, without the nodes that are too large or small for every other one of
     the list, and per node its best leader in the task's shards (kind 0)."""
-    found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
     for shard, parts in shard_groups(batches):
         token, node, central, size, matches = (joined(parts, name, kind) for name, kind in POSTING.items())
         order = np.lexsort((node, size, token))  # a node's rows follow each other, since it has one size
@@ -250,12 +254,12 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         top = np.repeat(np.maximum.reduceat(rank, starts), lengths)
         leader = np.repeat(node[rank == top], lengths)
         led = leader != node
-        found = _best(*(np.concatenate(v) for v in zip(found, (node[led], leader[led], top[led]), strict=True)))
+        found = _best(*(np.concatenate(v) for v in zip(found, (node[led], leader[led], top[led], np.ones(led.sum(), np.int64)), strict=True)))
         near = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])  # sizes rise within a list
         kept = np.append(near, False) | np.append(False, near)
         key = (np.int64(shard) << np.int64(32)) | token[kept].astype(np.int64)
         yield _rows(1, key, node[kept], size[kept], matches[kept])
-    yield _rows(0, found[0], found[1], found[2] >> np.uint64(1), np.zeros(len(found[0])))
+    yield _rows(0, found[0], found[1], found[2] >> np.uint64(1), found[3])
 
 
 def _compared(batches: Iterator[pa.RecordBatch], table: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
@@ -286,22 +290,21 @@ def node_bits(nodes: DataFrame) -> Broadcast:
 def compared(pairs: DataFrame, sets: DataFrame, table: Broadcast, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes with what their whole sets have in common.
 
-    A bit set filled with the nodes that pairs name keeps most other sets from being shuffled; what it lets through besides only
+    Bit sets filled with the nodes of either side keep most other sets from being shuffled; what they let through besides only
     costs time.
     """
-    wanted = node_bits(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(in_bit_set(wanted.value, node)))
-
-    few = sets.select("node", "set").where("set is not null").mapInArrow(pick, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    full = (
-        pairs.join(few.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        .join(few.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        .select("a", "b", "set_a", "set_b")
-    )
+    def sets_of(side: str) -> DataFrame:
+        wanted = node_bits(pairs.select(F.col(side).alias("node")))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node = batch.column("node").to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(in_bit_set(wanted.value, node)))
+
+        few = sets.select("node", "set").where("set is not null").mapInArrow(pick, "node bigint, set binary")
+        return few.groupBy(F.col("node").alias(side)).agg(F.first("set").alias(f"set_{side}"))
+
+    full = pairs.join(sets_of("b"), "b").join(sets_of("a"), "a").select("a", "b", "set_a", "set_b")
     return full.mapInArrow(lambda batches: _compared(batches, table.value, percent), "a bigint, b bigint, both bigint, link boolean, size_b bigint, rest array<bigint>")
 
 
@@ -356,7 +359,9 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
     postings = full.select("node", "set").mapInArrow(lambda b: _postings(b, table.value, shards, percent), f"shard int, {cells}")
     shared = stored(dealt(postings).mapInArrow(lambda b: _shared(b, percent), "kind int, x bigint, y bigint, z bigint, matches int"), "shared-postings")
 
-    best = shared.where("kind = 0").groupBy("x").agg(F.max_by("y", "z").alias("leader"))
+    # a leader met once is met by chance, mostly; such pairs, if they can link, come with the second pass
+    several = shared.where("kind = 0").groupBy("x", "y", "z").agg(F.sum("matches").alias("met")).where(F.col("met") >= MET)
+    best = several.groupBy("x").agg(F.max_by("y", "z").alias("leader"))
     led = written(best.select(F.col("leader").alias("a"), F.col("x").alias("b")), "leader-pairs")
     first = stored(compared(led, sets, table, percent), "compared", PAIRS)
     links = first.where("link").select("a", "b")
