@@ -45,7 +45,9 @@ SHARDS = 256
 POSTINGS = 500_000
 FLUSH = 400_000
 MOST_MATCHES = 8
-STORED, VERIFIED = 0.25, 4.0
+#: Costs of a stored token and of a verified pair. A token is met by CHANCE texts that have nothing to do with the document, and
+#: every further match by chance is RARER times as rare.
+STORED, VERIFIED, CHANCE, RARER = 0.25, 4.0, 0.1, 10.0
 #: Bit sets of nodes have SPARE bits a node, between these powers of two.
 SPARE, FEWEST_BITS, MOST_BITS = 8, 20, 27
 #: Nodes with less of their shingles in their leader than FAMILY percent are paired as if they had none.
@@ -170,7 +172,7 @@ def prefix(tokens: np.ndarray, table: np.ndarray, usual: float, percent: int = P
     length = n - needed + np.arange(1, most + 1)
     met = np.cumsum(np.maximum(counts - usual, 0))[length - 1]
     matches = np.arange(1, most + 1)
-    cost = STORED * length + met + VERIFIED * met / matches
+    cost = STORED * length + met + VERIFIED * (met / matches + CHANCE * length / RARER ** (matches - 1))
     best = int(np.argmin(cost))
     part = slice(length[best])
     central = int(255 * (counts[part] > usual + 4 * np.sqrt(usual)).mean())
@@ -214,7 +216,7 @@ def _dealt_out(parts: list[tuple], shards: int) -> pa.RecordBatch:
 
 
 def _best(node: np.ndarray, leader: np.ndarray, rank: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One leader per node, the one of the highest rank, and in how many lists they meet."""
+    """One leader per node, the one of the highest rank, and the weight of the lists in which they meet."""
     order = np.lexsort((rank, node))
     node, leader, rank, met = node[order], leader[order], rank[order], met[order]
     starts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (rank[1:] != rank[:-1]))) if len(node) else np.empty(0, int)
@@ -359,7 +361,7 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = N) -> DataFram
     postings = full.select("node", "set").mapInArrow(lambda b: _postings(b, table.value, shards, percent), f"shard int, {cells}")
     shared = stored(dealt(postings).mapInArrow(lambda b: _shared(b, percent), "kind int, x bigint, y bigint, z bigint, matches int"), "shared-postings")
 
-    # a leader met once is met by chance, mostly; such pairs, if they can link, come with the second pass
+    # a leader met less often is met by chance, mostly; such pairs, if they can link, come with the second pass
     several = shared.where("kind = 0").groupBy("x", "y", "z").agg(F.sum("matches").alias("met")).where(F.col("met") >= MET)
     best = several.groupBy("x").agg(F.max_by("y", "z").alias("leader"))
     led = written(best.select(F.col("leader").alias("a"), F.col("x").alias("b")), "leader-pairs")
