@@ -77,8 +77,23 @@ def test_text_that_is_the_same_on_all_pages_is_no_main_text(spark):
     pages = spark.createDataFrame([(i, f"http://a/{i}", page(i)) for i in range(12)], "page_id bigint, url string, html string")
     for r in extract.extracted(pages).collect():
         lines = r.text.split("\n")
-        assert r.described and lines[0] == f"Head {r.page_id}" and len(lines) == 3 + r.page_id % 3
-        assert all(x.startswith(f"Story {r.page_id} ") for x in lines[1:])
+        assert r.described and lines[0] == f"Head {r.page_id}" and len(lines) == 4 + r.page_id % 3
+        assert all(x.startswith(f"Story {r.page_id} ") for x in lines[1:-1]) and lines[-1] == "Read more here"  # inside the story's element
+
+
+def test_repeated_headings_and_lists_of_an_article_stay(spark):
+    def page(i):
+        story = "".join(f"<p>Story {i} line {k} " + "word " * 10 + "</p>" for k in range(1 + i % 3))
+        return (
+            "<html><body><nav><ul><li>Home</li></ul></nav><div><p>The same words on every page</p></div>"
+            f"<article><h1>Head {i}</h1><h2>Background</h2>{story}<h2>What we know</h2><ul><li>It was reported</li></ul><p>End of story</p></article>"
+            "<footer><p>All rights</p></footer></body></html>"
+        )
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", page(i)) for i in range(12)], "page_id bigint, url string, html string")
+    for r in extract.extracted(pages).collect():
+        story = [f"Story {r.page_id} line {k} " + " ".join(["word"] * 10) for k in range(1 + r.page_id % 3)]
+        assert r.text.split("\n") == [f"Head {r.page_id}", "Background", *story, "What we know", "It was reported", "End of story"]
 
 
 def test_slots_of_a_wrapper():

@@ -9,7 +9,7 @@ task holds all streams of a large host.
 Every page is then matched against its host's wrapper, which gives each of its texts a slot. Per host and slot it is counted
 on how many distinct pages each text stands; copies of a page count once. A text on more than half of the pages that have
 the slot (SEEN pages at least) belongs to the template, and a slot whose characters are nearly all such texts is fixed. Main
-text is what fills the varying slots. Where several elements hold varying text, article, main and class words choose the element,
+text is what the elements with varying slots hold, their own headings and other repeated texts included. Where several elements hold varying text, article, main and class words choose the element,
 else the innermost one with most of it; navigation, forms, adverts, notices and comments are left out, unless they are around
 the element with most of the text. html and body give no such cue. A host without varying text, or too few pages to tell, is read
 by the cues alone.
@@ -60,10 +60,10 @@ SPACE = re.compile(r"\s+")
 class Block:
     """A run of text without a block tag inside, with the elements around it."""
 
-    __slots__ = ("path", "parts")
+    __slots__ = ("path", "elements", "parts")
 
-    def __init__(self, path: tuple[str, ...]):
-        self.path, self.parts = path, []
+    def __init__(self, path: tuple[str, ...], elements: tuple[int, ...]):
+        self.path, self.elements, self.parts = path, elements, []
 
     def text(self) -> str:
         return SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
@@ -73,7 +73,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
     """Blocks of a page, and its token stream ('#' is a text slot, '!' marks a cue of main text, '~' one of other parts)."""
     blocks: list[Block] = []
     stream: list[str] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = []  # name, label, number of the element in the page
     block: Block | None = None
     inside = 0
     at = 0
@@ -81,7 +81,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
     def close_to(i: int) -> None:
         nonlocal inside
         while len(stack) > i:
-            name, label = stack.pop()
+            name, label, _ = stack.pop()
             inside -= name in ("article", "main")
             stream.append(f"/{label}")
 
@@ -95,7 +95,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
             if block is None:
                 if not piece.strip():
                     continue
-                block = Block(tuple(label for _, label in stack))
+                block = Block(tuple(label for _, label, _ in stack), tuple(number for _, _, number in stack))
                 blocks.append(block)
                 stream.append("#")
             block.parts.append(piece)
@@ -113,7 +113,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
         if name in HOLDERS:
             block = None
             if slash:
-                places = [i for i, (n, _) in enumerate(stack) if n == name]
+                places = [i for i, (n, _, _) in enumerate(stack) if n == name]
                 if places:
                     close_to(places[-1])
                 continue
@@ -123,7 +123,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
             out = name in OUTSIDE or (name == "header" and not inside) or bool(words & OUTSIDE_CUES and not words & {"article", "articlebody"}) or bool(rest and HIDDEN.search(rest))
             label = name + ("!" if words & MAIN_CUES else "") + ("~" if out else "")
             if not rest.endswith("/"):
-                stack.append((name, label))
+                stack.append((name, label, at))
                 inside += name in ("article", "main")
                 stream.append(label)
         elif name in SPLITTERS:
@@ -461,19 +461,27 @@ def main_text(page: str, wrapper: Matcher | None, path: str | None, rules: dict[
     blocks, stream = read(page)
     slots = wrapper.slots(stream) if wrapper is not None else None
     texts = [b.text() for b in blocks]
-    kept = [
-        (b.path, t) for k, (b, t) in enumerate(zip(blocks, texts, strict=True))
+    varying = [
+        k for k, t in enumerate(texts)
         if slots is None or not (slots[k] in rules["fixed"] or (rules["texts"] and text_key(slots[k], text_hash(t)) in rules["texts"]))
     ]
     asked = tuple(path.split("/")) if path and slots is not None else ()
     void = rules["void"] if slots is not None else frozenset()
-    if not any(asked and p[: len(asked)] == asked and void.issuperset(cues(p)) for p, _ in kept):
+
+    def inside(k: int) -> bool:
+        p = blocks[k].path
+        return p[: len(asked)] == asked and void.issuperset(cues(p))
+
+    if not any(asked and inside(k) for k in varying):
         sizes: Counter = Counter()
-        for p, t in kept:
-            sizes["/".join(p)] += len(t)
+        for k in varying:
+            sizes["/".join(blocks[k].path)] += len(texts[k])
         own, void = chosen(sizes)
         asked = tuple(own.split("/")) if own else ()
-    return "\n".join(t for p, t in kept if t and p[: len(asked)] == asked and void.issuperset(cues(p))), slots is not None
+    # repeated text only chooses the elements: what an element with varying text holds besides, a heading say, belongs to it
+    found = {blocks[k].elements[: len(asked)] for k in varying if inside(k)}
+    shown = set(varying) if not asked else {k for k, b in enumerate(blocks) if b.elements[: len(asked)] in found}
+    return "\n".join(t for k, t in enumerate(texts) if t and k in shown and inside(k)), slots is not None
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
