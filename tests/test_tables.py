@@ -143,3 +143,23 @@ def test_scratch_folders_can_be_discarded(spark):
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
     session._MADE[spark.sparkContext.applicationId] = before
+
+
+def test_only_the_newest_folder_is_read(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(("run_b", "run_c", "run_a")):
+        spark.range(i + 1).write.parquet(str(tmp_path / name))
+        for file in (tmp_path / name).iterdir():
+            os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    found = sf.read_newest(spark, str(tmp_path / "run_*"))
+    assert found.count() == 3 and all("/run_a/" in f for f in found.inputFiles())
+    with pytest.raises(Exception):
+        sf.read_newest(spark, str(tmp_path / "none_*"))
+
+
+def test_equal_times_are_ordered_by_run(spark):
+    rows = [("2026-04-04T00:00:00Z", "e", f"run_{i % 7}", float(i)) for i in (3, 1, 6, 0, 2, 5, 4)]
+    frame = spark.createDataFrame(rows, "event_time string, equipment_id string, run_id string, sensor_1 double")
+    found = pr.prepare_batch(frame, ["sensor_1"]).orderBy("cycle").collect()
+    assert [r.run_id for r in found] == [f"run_{i}" for i in range(7)]

@@ -153,7 +153,7 @@ def fit_trend(curve: DataFrame, period: float = 20.0, order: int = 5, pieces: in
     """Least-squares fit on the mean target per cycle (`target_cycle, y`); needs at least two cycles."""
     ends = curve.agg(F.count(F.lit(1)), F.min("target_cycle"), F.max("target_cycle")).first()
     if ends[0] < 2:
-        raise ValueError("The trend needs at least two aggregated cycle observations.")
+        raise ValueError("A trend is fitted on two cycles or more.")
     first, last = float(ends[1]), float(ends[2])
     knots = [first + (last - first) * i / pieces for i in range(pieces)]
     cycle = F.col("target_cycle").cast("double")

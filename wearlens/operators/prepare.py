@@ -32,9 +32,11 @@ def prepare_batch(
     raw: DataFrame,
     sensors: list[str] | None = None,
     source_file: str | Column | None = None,
-    ties: tuple[str, ...] = (),
+    ties: tuple[str, ...] = ("run_id",),
 ) -> DataFrame:
-    """Strict UTC time, default run id, default cycle (running count per equipment by time), numeric sensors."""
+    """Strict UTC time, default run id, default cycle (running count per equipment by time, then `ties`), numeric sensors.
+
+    Readings of one equipment with equal times and ties have no order of their own; name columns that tell them apart."""
     sensors = sensors or SENSORS
     require(raw, ["event_time", "equipment_id", *sensors], "prepare telemetry batch")
     out = raw.withColumns(
@@ -137,7 +139,7 @@ def prediction_column(df: DataFrame) -> str:
     for name in PREDICTION_COLUMNS:
         if name in df.columns:
             return name
-    raise ValueError("Could not find a RUL prediction column in the predictions.")
+    raise ValueError(f"None of the columns {PREDICTION_COLUMNS} is there.")
 
 
 def long_scores(df: DataFrame, label: str, scores: list[str], ids: list[str] | None = None) -> DataFrame:

@@ -73,34 +73,34 @@ def validation_checks(
     totals = df.agg(*counts)
     n = F.col("n")
     repeated = n if absent_keys else duplicate_rows(df, keys).scalar()
-    named = "all required columns present" if not missing else f"missing columns: {', '.join(missing)}"
+    named = "every column is there" if not missing else f"absent columns: {', '.join(missing)}"
     required = _check("required_columns", F.lit(len(missing)), F.lit(len(sensors) + 2), named, named)
-    unique = _check("unique_batch_keys", repeated, n, "batch keys are unique", "duplicate event_time/equipment keys detected")
+    unique = _check("unique_batch_keys", repeated, n, "every key occurs once", "some keys occur more than once")
     bounds = f"[{low}, {high}]"
     if mode == "strict":
         checks = [
             required,
-            _check("event_time_parseable", F.col("bad_time"), n, "event_time values are parseable",
-                   "event_time contains unparseable values"),
-            _check("key_columns_non_null", F.col("bad_key"), n, "key columns are non-null", "one or more key columns are null"),
+            _check("event_time_parseable", F.col("bad_time"), n, "every time can be read",
+                   "some times cannot be read"),
+            _check("key_columns_non_null", F.col("bad_key"), n, "no key is empty", "some keys are empty"),
             unique,
         ]
         for s in present:
             nulls, outside = F.col(f"null_{s}"), F.col(f"outside_{s}")
-            checks.append(_check(f"{s}_numeric", nulls, n, "numeric values only", "contains non-numeric values"))
-            checks.append(_check(f"{s}_range", nulls + outside, n, f"values within {bounds}", f"values outside {bounds}"))
+            checks.append(_check(f"{s}_numeric", nulls, n, "all values are numbers", "some values are no numbers"))
+            checks.append(_check(f"{s}_range", nulls + outside, n, f"all values in {bounds}", f"some values out of {bounds}"))
     else:
         missing_equipment = F.col("bad_equipment") if equipment in df.columns else n
         checks = [
             required,
-            _check("event_time_non_null", F.col("bad_time"), n, "no nulls", "contains nulls"),
-            _check("equipment_id_non_null", missing_equipment, n, "no nulls", "contains nulls"),
+            _check("event_time_non_null", F.col("bad_time"), n, "no value is absent", "some values are absent"),
+            _check("equipment_id_non_null", missing_equipment, n, "no value is absent", "some values are absent"),
             unique,
         ]
         for s in present:
             nulls, outside = F.col(f"null_{s}"), F.col(f"outside_{s}")
-            checks.append(_check(f"{s}_non_null", nulls, n, "no nulls", "contains nulls"))
-            checks.append(_check(f"{s}_range", outside, n - nulls, f"values within {bounds}", f"values outside {bounds}"))
+            checks.append(_check(f"{s}_non_null", nulls, n, "no value is absent", "some values are absent"))
+            checks.append(_check(f"{s}_range", outside, n - nulls, f"all values in {bounds}", f"some values out of {bounds}"))
     return totals.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
 
 

@@ -126,7 +126,7 @@ def _newest(spark, folder):
                          F.col("value").alias("sensor_1"), "event_type")
     for kind in ("click", "error", "view"):
         rows.where(F.col("event_type") == kind).drop("event_type").write.parquet(f"{root}/run_{kind}")
-    return sf.newest(spark.read.parquet(f"{root}/run_*"))
+    return sf.read_newest(spark, f"{root}/run_*")
 
 
 @query(
@@ -436,7 +436,7 @@ def _strict_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-@query("required_columns_val1", "SELECT 'required_columns' AS name, false AS success, 'missing columns: l_color, l_width' AS details FROM (SELECT count(*) FROM lineitem)")
+@query("required_columns_val1", "SELECT 'required_columns' AS name, false AS success, 'absent columns: l_color, l_width' AS details FROM (SELECT count(*) FROM lineitem)")
 def _required(spark, folder):
     checks = va.validation_checks(_lineitem_batch(spark, folder), ["l_width", "l_color", "l_tax"])
     return checks.where("name = 'required_columns'").select("name", "success", "details")

@@ -230,7 +230,7 @@ def _alerts(spark, folder):
 def _headline(spark, folder):
     rows = schedule(spark, folder)
     full = mt.schedule_summary(rows).select("task_count", "total_cost", "total_risk_cost")
-    empty = mt.schedule_summary(rows.where("total_cost < 0"), "No schedule artifacts found")
+    empty = mt.schedule_summary(rows.where("total_cost < 0"), "nothing is planned")
     none = empty.select(F.struct("task_count", "total_cost")).scalar()
     return full.withColumns({"empty_task_count": none["task_count"], "empty_total_cost": none["total_cost"]})
 

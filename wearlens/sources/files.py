@@ -68,12 +68,21 @@ def load_dataset(
     raise ValueError(f"No reader for {source}.")
 
 
-def newest(df: DataFrame) -> DataFrame:
-    """Rows of the most recently written run folder of a multi-folder read; the name decides between equal times."""
-    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "")
-    tagged = df.select("*", folder.alias("_folder"), F.col("_metadata.file_modification_time").alias("_time"))
-    latest = tagged.agg(F.max_by("_folder", F.struct("_time", "_folder")).alias("folder")).scalar()
-    return tagged.where(F.col("_folder") == latest).drop("_folder", "_time")
+def newest_folder(spark: SparkSession, pattern: str) -> str | None:
+    """The most recently written folder among those of a path pattern, by the times of its files; the name decides between equal
+    times. Spark lists the files; their content is not read."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    folder = F.regexp_replace("path", "/[^/]+$", "")
+    times = files.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("time"))
+    return times.agg(F.max_by("folder", F.struct("time", "folder"))).first()[0]
+
+
+def read_newest(spark: SparkSession, pattern: str) -> DataFrame:
+    """Rows of the newest run folder; only that folder is scanned."""
+    folder = newest_folder(spark, pattern)
+    if folder is None:
+        raise FileNotFoundError(f"No files in {pattern}.")
+    return spark.read.parquet(folder)
 
 
 def read_saved(spark: SparkSession, path: str, required: list[str], form: str = "parquet", schema=None) -> DataFrame:
