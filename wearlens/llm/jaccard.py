@@ -52,7 +52,8 @@ STORED, VERIFIED, CHANCE, RARER = 0.25, 4.0, 0.1, 10.0
 SPARE, FEWEST_BITS, MOST_BITS = 8, 20, 27
 #: Nodes with less of their shingles in their leader than FAMILY percent are paired as if they had none.
 FAMILY = 60
-MET = 2
+#: A leader has to be met in as many lists as the node wants matches, three at most: meetings weigh MET over that number.
+MET = 6
 PAIRS = 200
 SEEN = 1 << 18
 
@@ -255,8 +256,9 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         rank = (central.astype(np.uint64) << np.uint64(56)) | (mix(node.view(np.uint64)) >> np.uint64(8))
         top = np.repeat(np.maximum.reduceat(rank, starts), lengths)
         leader = np.repeat(node[rank == top], lengths)
-        led = leader != node
-        found = _best(*(np.concatenate(v) for v in zip(found, (node[led], leader[led], top[led], np.ones(led.sum(), np.int64)), strict=True)))
+        led = (leader != node) & (100 * np.repeat(size[rank == top], lengths) >= FAMILY * size)
+        weight = MET // np.clip(matches[led].astype(np.int64), 1, 3)
+        found = _best(*(np.concatenate(v) for v in zip(found, (node[led], leader[led], top[led], weight), strict=True)))
         near = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])  # sizes rise within a list
         kept = np.append(near, False) | np.append(False, near)
         key = (np.int64(shard) << np.int64(32)) | token[kept].astype(np.int64)
