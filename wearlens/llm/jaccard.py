@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from wearlens.session import written
 
 from .spread import bit_set, components, dealt, in_bit_set, joined, shard_groups, stored
-from .textscan import SPACED, Words, mix, text_chunks
+from .textscan import SPACED, Words, give_back, mix, text_chunks
 
 N = 5
 PERCENT = 75
@@ -154,6 +154,8 @@ def frequencies(sets: DataFrame, shingles: int) -> np.ndarray:
     table = np.zeros(1 << bits, np.float32)
     for r in rows:
         table[r.shard << BLOCK : (r.shard + 1) << BLOCK] = np.frombuffer(r.cell, np.uint64)
+    del rows
+    give_back()
     return table
 
 

@@ -19,17 +19,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textscan import text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TEXTS = 4000
+LOOKED = 16
 ROUNDS, DEPTH, BINS, RATE = 40, 3, 32, 0.3
 PRECISION = 0.95
 SCORE_BINS = 1000
@@ -56,8 +58,13 @@ CUES = {
     "phone": ("phone", "tel", "call", "telefon", "fax", "mobile", "llamar"),
 }
 
-# What a text must show to be of use for learning a kind.
-HINTS = {"email": r"(?i)@|[({\[]at[)}\]]| dot |&#64;", "ip": r"[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]{0,4}:", "card": r"[0-9]{4}[ ./_-]?[0-9]{4}", "phone": r"\+[0-9]|[0-9)][ ./-][0-9]"}
+# What a text must show to be of use for learning a kind: one of some strings, or a pattern.
+HINTS = {"email": ("@", "(at)", "[at]", "{at}", " dot ", "&#64;"), "ip": r"[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]{0,4}:", "card": r"[0-9]{4}[ ./_-]?[0-9]{4}", "phone": r"\+[0-9]|[0-9)][ ./-][0-9]"}
+
+
+def hinted_at(kind: str) -> Column:
+    hint = HINTS[kind]
+    return F.col("text").rlike(hint) if isinstance(hint, str) else reduce(or_, (F.contains("text", F.lit(h)) for h in hint))
 
 
 def passes_luhn(digits: str) -> bool:
@@ -237,8 +244,11 @@ def sample_texts(documents: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     Hashes of the texts are chosen first; they are few, so they are broadcast and only their texts move. Copies count once.
     """
     texts = documents.select("text", F.xxhash64("text").alias("place")).where("text is not null")
-    hints = [F.when(F.col("text").rlike(HINTS[kind]), F.lit(kind)) for kind in KINDS]
-    hinted = texts.select("place", F.explode(F.array_compact(F.array(*hints))).alias("kind")).distinct()
+    # looked at: about LOOKED texts for each that is taken, by their hashes; all of them where there are no more
+    share = min(1.0, LOOKED * max_texts / max(1, documents.count()))
+    thinned = texts.where(F.pmod("place", F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20)))))
+    hints = [F.when(hinted_at(kind), F.lit(kind)) for kind in KINDS]
+    hinted = thinned.select("place", F.explode(F.array_compact(F.array(*hints))).alias("kind")).distinct()
     chosen = [hinted.where(F.col("kind") == kind).orderBy("place").limit(max_texts // len(KINDS)).select("place") for kind in KINDS]
     places = F.broadcast(reduce(DataFrame.unionAll, chosen).distinct())
     return texts.join(places, "place").groupBy("place").agg(F.min("text").alias("text")).select("text")

@@ -291,7 +291,9 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     model = pickle.loads(found.pop().model)
     # sent once, for the thresholds and for `scores`
     model["sent"] = documents.sparkSession.sparkContext.broadcast(model["net"])
-    return model | {"cuts": calibrated(documents, rows, model)}
+    cuts = calibrated(documents, rows, model)
+    give_back()  # the driver goes on to other stages
+    return model | {"cuts": cuts}
 
 
 def scores(documents: DataFrame, model: dict) -> DataFrame:
