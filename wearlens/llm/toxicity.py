@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import ALNUM, Chunk, Words, text_chunks
+from .textscan import ALNUM, Chunk, Words, give_back, text_chunks
 
 MAX_TOXIC = 5000
 MAX_CLEAN = 7000
