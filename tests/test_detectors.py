@@ -7,6 +7,7 @@ from wearlens.operators import detect as de
 from wearlens.operators import forest as fo
 from wearlens.operators import neighbours as ne
 from wearlens.operators import profile as po
+from wearlens.operators.spectrum import shape_of
 
 
 def vectors(spark, x, start=0):
@@ -108,3 +109,29 @@ def test_long_series_stays_one_series(spark):
     rows = po.series_spectrum(df, ["sensor_1"], top=2).collect()
     assert len(rows) == 1 and rows[0]["fft_amp_1"] == pytest.approx(n / 2, rel=1e-3) and rows[0]["fft_amp_2"] < 1
     assert po.stationarity(df, ["sensor_1"]).count() == 1
+
+
+@pytest.mark.parametrize("n", [1_009, 2_048, 3_000])
+def test_spectrum_over_many_tasks_equals_numpy(spark, n):
+    """A prime length, a power of two and another one, next to a short series, a single value and nulls; equal cycles by value."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n) * 30 + 600
+    rows = [("a", 2 * i, float(v)) for i, v in enumerate(x)] + [("b", i, float(v)) for i, v in enumerate(x[:40])] + [("c", 1, 5.0), ("d", 1, None)]
+    rows += [("a", 7, None), ("e", 3, 2.0), ("e", 3, 1.0), ("e", 4, 5.0)]
+    df = spark.createDataFrame(rows, "unit string, cycle long, sensor_1 double").repartition(3)
+    found = {r["unit"]: r for r in po.series_spectrum(df, ["sensor_1"], whole=500).collect()}
+    assert sorted(found) == ["a", "b", "c", "e"]
+    for unit, values in (("a", x), ("b", x[:40]), ("e", np.array([1.0, 2.0, 5.0]))):
+        expected = np.sort(np.abs(np.fft.rfft(values - values.mean()))[1:])[::-1][:5]
+        got = [found[unit][f"fft_amp_{i}"] for i in range(1, 6)]
+        np.testing.assert_allclose(got[: len(expected)], expected, atol=1e-4)
+        assert got[len(expected) :] == [None] * (5 - len(expected))
+    assert all(found["c"][f"fft_amp_{i}"] is None for i in range(1, 6))
+    assert po.series_spectrum(df.limit(0), ["sensor_1"], whole=500).count() == 0
+
+
+def test_groups_of_a_long_spectrum_are_small():
+    for n in (2, 3, 500, 1_000_000, 3_000_000_000):
+        rows, columns = shape_of(n)
+        assert rows * columns >= 2 * n - 1 and rows <= columns <= 2 * rows and columns**2 <= 8 * n
+    assert max(shape_of(1_000_000)) <= 2_048 and max(shape_of(1_000_000_000)) <= 65_536

@@ -101,3 +101,61 @@ def test_stationarity_tells_noise_from_a_walk(spark):
     assert out["sensor_1"]["adf_stationary"] and out["sensor_1"]["kpss_stationary"]
     assert not out["sensor_2"]["adf_stationary"] and not out["sensor_2"]["kpss_stationary"]
     assert not math.isnan(out["sensor_2"]["adf_stat"])
+
+
+def plain_unit_root(values, lags):
+    change = np.diff(values)
+    rows = len(change) - lags
+    if rows < lags + 4 or np.ptp(values) == 0:
+        return None
+    x = np.column_stack([np.ones(rows), values[lags : lags + rows]] + [change[lags - k : lags - k + rows] for k in range(1, lags + 1)])
+    y = change[lags:]
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ x.T @ y
+    error = y - x @ beta
+    return beta[1] / np.sqrt(error @ error / max(rows - x.shape[1], 1) * inverse[1, 1])
+
+
+def plain_level(values):
+    n = len(values)
+    if n < 4 or np.ptp(values) == 0:
+        return None
+    error = values - values.mean()
+    lags = int(np.ceil(12.0 * (n / 100.0) ** 0.25))
+    variance = error @ error / n
+    for k in range(1, min(lags, n - 1) + 1):
+        variance += 2.0 * (1.0 - k / (lags + 1.0)) * (error[k:] @ error[:-k]) / n
+    return np.sum(np.cumsum(error) ** 2) / (n * n) / variance
+
+
+@pytest.mark.parametrize("lags", [0, 1, 3])
+def test_stationarity_equals_the_definition(spark, lags):
+    rng = np.random.default_rng(3)
+    # the longest one crosses two buckets of positions; the first cycles are missing, so buckets and positions differ
+    series = {1: rng.normal(size=9_001) + 500, 2: np.cumsum(rng.normal(size=300)), 3: rng.normal(size=9), 4: np.array([1.0, 2.0, 4.0]), 5: np.full(50, 0.1), 6: np.array([7.0])}
+    rows = [(unit, i + 1_000, float(v)) for unit, x in series.items() for i, v in enumerate(x)]
+    rows += [(2, 5_000, None), (1, 1, float("nan")), (7, 1, None)]
+    df = spark.createDataFrame(rows, "unit int, cycle int, sensor_1 double").repartition(3)
+    out = {r["unit"]: r for r in po.stationarity(df, ["sensor_1"], lags=lags).collect()}
+    assert sorted(out) == [1, 2, 3, 4, 5, 6]
+    for unit, x in series.items():
+        for name, expected in (("adf", plain_unit_root(x, lags)), ("kpss", plain_level(x))):
+            found = out[unit][f"{name}_stat"]
+            assert (found is None and out[unit][f"{name}_pvalue"] is None) if expected is None else found == pytest.approx(expected, abs=2e-6)
+    assert po.stationarity(df.limit(0), ["sensor_1"]).count() == 0
+
+
+def test_stationarity_holds_no_series(spark):
+    df = spark.range(100).select(F.lit(1).alias("unit"), (F.col("id") + 1).alias("cycle"), F.rand(1).alias("sensor_1"))
+    plan = po.stationarity(df, ["sensor_1"])._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Python" not in plan and "InPandas" not in plan
+
+
+def test_stationarity_of_segments(spark):
+    x = np.random.default_rng(4).normal(size=300)
+    df = spark.createDataFrame([(1, i + 1, float(v)) for i, v in enumerate(x)], "unit int, cycle int, sensor_1 double")
+    out = {r["segment"]: r for r in po.stationarity(df, ["sensor_1"], segment=100).collect()}
+    assert sorted(out) == [0, 1, 2]
+    for k in range(3):
+        assert out[k]["kpss_stat"] == pytest.approx(plain_level(x[100 * k : 100 * k + 100]), abs=2e-6)
+        assert out[k]["adf_stat"] == pytest.approx(plain_unit_root(x[100 * k : 100 * k + 100], 1), abs=2e-6)

@@ -182,17 +182,6 @@ def top_amplitudes(windows: pd.Series, top: int) -> pd.Series:
     return pd.Series(found)
 
 
-def spectrum_of(values: Column, top: int = SPECTRUM_TOP) -> list[Column]:
-    """`fft_amp_1..top` of an array column; missing ranks are null."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def amplitudes(windows: pd.Series) -> pd.Series:
-        return top_amplitudes(windows, top)
-
-    found = amplitudes(values)
-    return [F.get(found, F.lit(i)).alias(f"fft_amp_{i + 1}") for i in range(top)]
-
-
 def rolling_spectrum(
     readings: DataFrame,
     keys: list[str],

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.joins import attach_facts
+from ..functions.ordered import CYCLE_BUCKET, row_index, with_neighbours
 from ..functions.quantiles import exact_medians, exact_quantiles, to_long
 from ..schemas import SETTINGS
-from .features import spectrum_of, unpivot_sensors
+from .features import unpivot_sensors
+from .spectrum import WHOLE, largest_amplitudes
+
+#: What tells one series from another.
+SERIES = ["unit", "sensor", "segment"]
 
 
 def unit_summary(df: DataFrame, settings: list[str] | None = None) -> DataFrame:
@@ -87,82 +91,125 @@ def top_sensors(ranked: DataFrame, order: list, rows: int) -> DataFrame:
 
 
 def _series(df: DataFrame, sensors: list[str], segment: int | None) -> DataFrame:
-    """Values in cycle order per unit and sensor. A segment length is asked for by the caller; without one a series is whole."""
-    long = unpivot_sensors(df, ["unit", "cycle"], sensors).where("value IS NOT NULL")
-    cut = (F.floor((F.col("cycle") - 1) / segment) if segment else F.lit(0).cast("long")).alias("segment")
-    ordered = F.array_sort(F.collect_list(F.struct("cycle", "value")))
-    return (
-        long.groupBy("unit", "sensor", cut)
-        .agg(ordered.alias("points"))
-        .withColumn("values", F.transform("points", lambda p: p["value"]))
-        .drop("points")
+    """Values per unit, sensor and segment with the facts of their series. A segment length is asked for by the caller; without
+    one a series is a whole life. Null and NaN values are left out."""
+    long = unpivot_sensors(df, ["unit", "cycle"], sensors).where("value IS NOT NULL AND NOT isnan(value)")
+    cut = F.floor((F.col("cycle") - 1) / segment) if segment else F.lit(0).cast("long")
+    rows = long.select("unit", "sensor", cut.alias("segment"), "cycle", F.col("value").cast("double").alias("value"))
+    facts = rows.groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), (F.min("value") == F.max("value")).alias("constant")
     )
+    return attach_facts(rows, facts, SERIES, "cycle", "inner")
 
 
-def series_spectrum(df: DataFrame, sensors: list[str], top: int = 5, segment: int | None = None) -> DataFrame:
-    """Top Fourier amplitudes of the centred series per unit and sensor, rounded to 4 places."""
-    amplitudes = spectrum_of(F.col("values"), top)
-    found = _series(df, sensors, segment).select("unit", "sensor", "segment", *amplitudes)
-    return found.withColumns({f"fft_amp_{i + 1}": F.round(f"fft_amp_{i + 1}", 4) for i in range(top)})
+def series_spectrum(df: DataFrame, sensors: list[str], top: int = 5, segment: int | None = None, whole: int = WHOLE) -> DataFrame:
+    """Top Fourier amplitudes of the centred series per unit and sensor, rounded to 4 places.
+
+    Series of more than `whole` values are transformed by many tasks. Missing ranks are null; a series of one value has all of
+    them null, one without values has no row.
+    """
+    series = _series(df, sensors, segment)
+    found = largest_amplitudes(series, SERIES, top, whole).groupBy(*SERIES).agg(
+        *[F.round(F.max(F.when(F.col("place") == i, F.col("amplitude"))), 4).alias(f"fft_amp_{i}") for i in range(1, top + 1)]
+    )
+    single = series.where("n = 1").select(*SERIES, *[F.lit(None).cast("double").alias(f"fft_amp_{i}") for i in range(1, top + 1)])
+    return found.unionByName(single)
 
 
 # Published critical values at the given significance levels (constant, no trend).
 KPSS_LEVELS = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 UNIT_ROOT_LEVELS = ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10), (-1.57, 0.50), (-0.44, 0.90), (0.60, 0.99))
 
+#: A variance that falls below this share of itself has been explained by the other inputs.
+EXPLAINED = 1e-12
 
-def unit_root_statistic(values: np.ndarray, lags: int) -> float:
-    """t statistic of the level term in a regression of the change on level, constant and lagged changes."""
-    change = np.diff(values)
-    rows = len(change) - lags
-    if rows < lags + 4 or np.ptp(values) == 0:
-        return np.nan
-    design = [np.ones(rows), values[lags : lags + rows]] + [change[lags - k : lags - k + rows] for k in range(1, lags + 1)]
-    x = np.column_stack(design)
-    y = change[lags:]
-    inverse = np.linalg.pinv(x.T @ x)
-    beta = inverse @ x.T @ y
-    error = y - x @ beta
-    variance = error @ error / max(rows - x.shape[1], 1) * inverse[1, 1]
-    return float(beta[1] / np.sqrt(variance)) if variance > 0 else np.nan
-
-
-def level_statistic(values: np.ndarray, lags: int) -> float:
-    """Sum of squared partial sums over the long-run variance (Bartlett weights)."""
-    n = len(values)
-    error = values - values.mean()
-    if n < 4 or not np.any(error):
-        return np.nan
-    variance = error @ error / n
-    for k in range(1, min(lags, n - 1) + 1):
-        variance += 2.0 * (1.0 - k / (lags + 1.0)) * (error[k:] @ error[:-k]) / n
-    return float(np.sum(np.cumsum(error) ** 2) / (n * n) / variance) if variance > 0 else np.nan
+
+def _read_off(stat: Column, levels: tuple[tuple[float, float], ...]) -> Column:
+    """The value between published ones on a straight line, and the outer ones beyond them."""
+    value = F.when(stat <= levels[0][0], F.lit(levels[0][1]))
+    for (low, first), (high, second) in zip(levels, levels[1:], strict=False):
+        value = value.when(stat <= high, first + (second - first) * (stat - low) / (high - low))
+    return value.when(stat.isNotNull(), F.lit(levels[-1][1]))
+
+
+def level_statistics(numbered: DataFrame, lags: Column) -> DataFrame:
+    """`kpss_stat` per series: squared running totals of the errors over their long-run variance (Bartlett weights).
+
+    The weighted sum of all lagged products is the sum of squared totals over every stretch of lags + 1 errors, divided by lags + 1;
+    such a total is the difference of two running totals, which meet at the later one's position.
+    """
+    run = F.floor((F.col("j") - 1) / CYCLE_BUCKET)
+    rows = numbered.withColumns({"run": run, "error": F.col("value") - F.col("mean"), "reach": lags.cast("long") + 1})
+    before = W.partitionBy(*SERIES).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy(*SERIES, "run").agg(F.sum("error").alias("part")).select(
+        *SERIES, "run", F.coalesce(F.sum("part").over(before), F.lit(0.0)).alias("offset")
+    )
+    inside = W.partitionBy(*SERIES, "run").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
+    totals = rows.join(offsets, [*SERIES, "run"]).withColumn("total", F.col("offset") + F.sum("error").over(inside))
+    ends = F.array(
+        F.struct(F.col("j").alias("at"), F.col("total").alias("signed"), F.col("total").alias("own")),
+        F.struct((F.col("j") + F.col("reach")).alias("at"), (-F.col("total")).alias("signed"), F.lit(None).cast("double").alias("own")),
+    )
+    stretches = totals.select(*SERIES, "n", "constant", "reach", F.inline(ends)).groupBy(*SERIES, "n", "constant", "reach", "at").agg(
+        F.sum("signed").alias("stretch"), F.max("own").alias("own")
+    )
+    n = F.col("n")
+    variance = F.sum(F.col("stretch") * F.col("stretch")) / F.col("reach") / n
+    stat = F.sum(F.col("own") * F.col("own")) / (n * n) / variance
+    defined = (n >= 4) & ~F.col("constant") & (variance > 0)
+    return stretches.groupBy(*SERIES, "n", "constant", "reach").agg(F.when(defined, stat).alias("kpss_stat")).select(*SERIES, "kpss_stat")
+
+
+def unit_root_statistics(numbered: DataFrame, lags: int) -> DataFrame:
+    """`adf_stat` per series: t statistic of the level in a regression of the change on level, constant and lagged changes.
+
+    Covariances of the inputs are summed over the rows; eliminating the lagged changes one by one leaves the level's equation.
+    An input that the others explain is left out.
+    """
+    lent = with_neighbours(numbered.withColumn("error", F.col("value") - F.col("mean")), "j", max(CYCLE_BUCKET, lags + 1), before=lags + 1)
+    order = W.partitionBy(*SERIES, "_run").orderBy("j")
+    back = [F.col("error")] + [F.lag("error", k).over(order) for k in range(1, lags + 2)]
+    names = ["level", *[f"past_{k}" for k in range(1, lags + 1)], "change"]
+    inputs = [back[1], *[back[k] - back[k + 1] for k in range(1, lags + 1)], back[0] - back[1]]
+    rows = lent.select(*SERIES, "n", "constant", "j", "_own", *[c.alias(name) for c, name in zip(inputs, names, strict=True)])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    used = rows.where(F.col("_own") & (F.col("j") > lags + 1))
+    sums = used.groupBy(*SERIES, "n", "constant").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.covar_pop(a, b).alias(f"{a}.{b}") for a, b in pairs]
+    )
+    sums = sums.toDF(*[c.replace(".", "__") for c in sums.columns])
+
+    def cell(a: str, b: str) -> Column:
+        return F.col(f"{a}__{b}" if (a, b) in pairs else f"{b}__{a}")
+
+    sums = sums.withColumns({f"full_{a}": cell(a, a) for a in names})
+    left = list(names)
+    for out in names[1:-1]:
+        left.remove(out)
+        free = cell(out, out) > EXPLAINED * F.col(f"full_{out}")
+        share = {(a, b): F.when(free, cell(a, out) * cell(out, b) / cell(out, out)).otherwise(0.0) for a, b in pairs if a in left and b in left}
+        sums = sums.withColumns({f"{a}__{b}": cell(a, b) - taken for (a, b), taken in share.items()})
+    level, both, change = cell("level", "level"), cell("level", "change"), cell("change", "change")
+    slope = both / level
+    freedom = F.greatest(F.col("rows") - (lags + 2), F.lit(1))
+    variance = (change - both * slope) / freedom / level
+    defined = (F.col("rows") >= lags + 4) & ~F.col("constant") & (level > EXPLAINED * F.col("full_level")) & (change - both * slope > EXPLAINED * F.col("full_change"))
+    return sums.select(*SERIES, F.when(defined, slope / F.sqrt(F.when(variance > 0, variance))).alias("adf_stat"))
 
 
 def stationarity(df: DataFrame, sensors: list[str], lags: int = 1, segment: int | None = None) -> DataFrame:
-    """Unit-root and level-stationarity tests per unit and sensor, p-values read off published tables."""
-    result = T.StructType([T.StructField(n, T.DoubleType()) for n in ("adf_stat", "adf_pvalue", "kpss_stat", "kpss_pvalue")])
-
-    def read_off(stat: float, levels) -> float:
-        if np.isnan(stat):
-            return np.nan
-        stats, shares = zip(*levels)
-        return float(np.interp(stat, stats, shares))
-
-    @F.pandas_udf(result)
-    def tests(series: pd.Series) -> pd.DataFrame:
-        rows = []
-        for points in series:
-            values = np.asarray(points, dtype=float)
-            root = unit_root_statistic(values, lags)
-            level = level_statistic(values, int(np.ceil(12.0 * (max(len(values), 1) / 100.0) ** 0.25)))
-            rows.append((root, read_off(root, UNIT_ROOT_LEVELS), level, read_off(level, KPSS_LEVELS)))
-        return pd.DataFrame(rows, columns=["adf_stat", "adf_pvalue", "kpss_stat", "kpss_pvalue"])
-
-    tested = _series(df, sensors, segment).select("unit", "sensor", "segment", tests("values").alias("t"))
-    flat = tested.select("unit", "sensor", "segment", "t.*")
-    clean = flat.withColumns({c: F.when(~F.isnan(c), F.round(c, 6)) for c in result.fieldNames()})
-    return clean.withColumns(
+    """Unit-root and level-stationarity tests per unit and sensor, p-values read off published tables.
+
+    Built-in functions only; no task holds a series. A series that is constant, too short or explained without an error has null tests.
+    """
+    numbered = row_index(_series(df, sensors, segment), SERIES, ["cycle", "value"], F.floor(F.col("cycle") / CYCLE_BUCKET), "j")
+    reach = F.ceil(12.0 * F.pow(F.col("n") / 100.0, F.lit(0.25)))
+    tested = level_statistics(numbered, reach).join(unit_root_statistics(numbered, lags), SERIES, "left")
+    tested = tested.withColumns(
+        {"adf_pvalue": _read_off(F.col("adf_stat"), UNIT_ROOT_LEVELS), "kpss_pvalue": _read_off(F.col("kpss_stat"), KPSS_LEVELS)}
+    )
+    rounded = [F.round(c, 6).alias(c) for c in ("adf_stat", "adf_pvalue", "kpss_stat", "kpss_pvalue")]
+    return tested.select(*SERIES, *rounded).withColumns(
         {"adf_stationary": F.col("adf_pvalue") < 0.05, "kpss_stationary": F.col("kpss_pvalue") >= 0.05}
     )
 

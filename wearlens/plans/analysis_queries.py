@@ -274,7 +274,7 @@ k AS (SELECT unit, v, n, m, unnest(range(1, n // 2 + 1)) AS f FROM c),
 a AS (SELECT unit, sqrt(pow(list_sum(list_transform(range(0, n), lambda j: (v[j + 1] - m) * cos(2 * pi() * f * j / n))), 2) +
   pow(list_sum(list_transform(range(0, n), lambda j: (v[j + 1] - m) * sin(2 * pi() * f * j / n))), 2)) AS amp FROM k),
 s AS (SELECT unit, list(amp ORDER BY amp DESC) AS amps FROM a GROUP BY 1)
-SELECT unit, 'sensor_1' AS sensor, 0 AS segment, {', '.join(f'round(amps[{i}], 4) AS fft_amp_{i}' for i in range(1, 6))} FROM s"""
+SELECT unit, 'sensor_1' AS sensor, 0 AS segment, {', '.join(f'round(amps[{i}], 4) AS fft_amp_{i}' for i in range(1, 6))} FROM c LEFT JOIN s USING (unit)"""
 
 
 @query("series_spectrum_agg7", _SERIES_SQL)
@@ -282,7 +282,37 @@ def _series(spark, folder):
     return po.series_spectrum(cycles(spark, folder), ["sensor_1"])
 
 
-@query("stationarity_agg8")
+def _read_off_sql(stat: str, levels) -> str:
+    steps = "".join(
+        f" WHEN {stat} <= {high} THEN {first} + ({second} - {first}) * ({stat} - ({low})) / ({high} - ({low}))"
+        for (low, first), (high, second) in zip(levels, levels[1:], strict=False)
+    )
+    return f"CASE WHEN {stat} <= {levels[0][0]} THEN {levels[0][1]}{steps} WHEN {stat} IS NOT NULL THEN {levels[-1][1]} END"
+
+
+# The level's coefficient from residuals: change and level are both freed from the lagged change first.
+_STATIONARITY_SQL = f"""WITH {q.READINGS},
+x AS (SELECT unit, sensor, value, row_number() OVER (PARTITION BY unit, sensor ORDER BY cycle) AS j, count(*) OVER u AS n,
+  value - avg(value) OVER u AS e, max(value) OVER u = min(value) OVER u AS flat
+  FROM ({q.unpivot('tv', ['unit', 'cycle'], TWO)}) WHERE value IS NOT NULL WINDOW u AS (PARTITION BY unit, sensor)),
+s AS (SELECT *, sum(e) OVER (PARTITION BY unit, sensor ORDER BY j) AS s, ceil(12 * pow(n / 100.0, 0.25)) AS l FROM x),
+k AS (SELECT a.unit, a.sensor, sum(2.0 * (1.0 - (b.j - a.j) / (a.l + 1.0)) * a.e * b.e) AS c
+  FROM s a JOIN s b ON a.unit = b.unit AND a.sensor = b.sensor AND b.j > a.j AND b.j - a.j <= a.l GROUP BY 1, 2),
+t AS (SELECT unit, sensor, max(n) AS n, bool_or(flat) AS flat, sum(s * s) AS ss, sum(e * e) AS ee FROM s GROUP BY 1, 2),
+level_test AS (SELECT unit, sensor, CASE WHEN n >= 4 AND NOT flat THEN (ss / (n * n)) / (ee / n + c / n) END AS kpss FROM t LEFT JOIN k USING (unit, sensor)),
+d AS (SELECT unit, sensor, flat, j, lag(value) OVER w AS v, value - lag(value) OVER w AS y, lag(value) OVER w - lag(value, 2) OVER w AS p
+  FROM x WINDOW w AS (PARTITION BY unit, sensor ORDER BY j)),
+g AS (SELECT unit, sensor, v - coalesce(regr_slope(v, p) OVER u * (p - avg(p) OVER u), 0) - avg(v) OVER u AS rv,
+  y - coalesce(regr_slope(y, p) OVER u * (p - avg(p) OVER u), 0) - avg(y) OVER u AS ry FROM d WHERE j > 2 AND NOT flat WINDOW u AS (PARTITION BY unit, sensor)),
+h AS (SELECT unit, sensor, count(*) AS m, sum(rv * rv) AS vv, sum(rv * ry) AS vy, sum(ry * ry) AS yy FROM g GROUP BY 1, 2),
+root AS (SELECT unit, sensor, CASE WHEN m >= 5 THEN (vy / vv) / sqrt((yy - vy * vy / vv) / greatest(m - 3, 1) / vv) END AS adf FROM h)
+SELECT unit, sensor, 0 AS segment, round(adf, 6) AS adf_stat, round({_read_off_sql('adf', po.UNIT_ROOT_LEVELS)}, 6) AS adf_pvalue,
+  round(kpss, 6) AS kpss_stat, round({_read_off_sql('kpss', po.KPSS_LEVELS)}, 6) AS kpss_pvalue,
+  round({_read_off_sql('adf', po.UNIT_ROOT_LEVELS)}, 6) < 0.05 AS adf_stationary, round({_read_off_sql('kpss', po.KPSS_LEVELS)}, 6) >= 0.05 AS kpss_stationary
+FROM level_test LEFT JOIN root USING (unit, sensor)"""
+
+
+@query("stationarity_agg8", _STATIONARITY_SQL)
 def _stationarity(spark, folder):
     return po.stationarity(cycles(spark, folder), TWO)
 
