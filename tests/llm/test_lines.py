@@ -54,3 +54,18 @@ def test_common_lines_deplete(spark):
     assert not any(found[i].depleted for i in range(30, 100))
     # fifty copies of one text are one document of their host
     assert not any(found[200 + i].depleted for i in range(50))
+
+
+def test_limit_grows_like_the_root_of_the_host(spark):
+    """1 600 texts of one host, limit 40: a line held by 41 of them goes, one held by 40 stays, though both are below 3 %."""
+
+    def text(i):
+        own = " ".join(f"own{i}x{j}" for j in range(30))
+        return own + ("\nHeld by forty one texts" * 9 if i < 41 else "\nHeld by just forty texts" * 9 if i < 81 else "")
+
+    rows = [(i, text(i), None) for i in range(1_600)] + [(5_000 + i, text(i), "small") for i in range(19)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id: r for r in lines.judged(docs).collect()}
+    assert all(found[i].common_words == (45 if i < 41 else 0) for i in range(1_600))
+    assert all(found[i].depleted == (i < 41) for i in range(1_600))
+    assert all(found[5_000 + i].common_words == 0 for i in range(19))

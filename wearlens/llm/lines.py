@@ -2,8 +2,9 @@
 
 A normalised line is the line lower-cased (A-Z) with white space collapsed to single spaces. For each host the number of
 distinct documents that hold a line is counted over all documents, copies of a whole text counting once. A line is above
-the limit if at least MIN_DOCS such documents and more than SHARE of the host's documents hold it. Lines above the limit
-are removed; a document that keeps less than KEEP of its words is depleted and rejected.
+the limit if at least MIN_DOCS such documents hold it, and more than the square root of the host's number of them: the limit of a
+host of a hundred million documents is ten thousand, not millions. Lines above the limit are removed; a document that keeps
+less than KEEP of its words is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from wearlens.session import written
 from .textscan import SPACED, Words, text_chunks
 
 MIN_DOCS = 20
-SHARE = 0.05
+#: A line that very many documents hold is joined over this many parts of them; adaptive execution splits what is still large.
+SALTS = 16
 KEEP = 0.5
 MIN_WORDS = 50
 
@@ -100,7 +102,7 @@ def _triples(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words.ngrams(hashes, 3)
 
 
-def judged(documents: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+def judged(documents: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, keep: float = KEEP) -> DataFrame:
     """Per document row: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, common_words (words in
     lines above the limit), depleted, base_failed, kept.
 
@@ -122,13 +124,14 @@ def judged(documents: DataFrame, host: str = "source", min_docs: int = MIN_DOCS,
         .groupBy("host", "line").agg(F.count("*").alias("held"))
         .where(F.col("held") >= min_docs)
     )
-    common = common.join(texts, common["host"].eqNullSafe(texts["host"])).where(F.col("held") > share * F.col("docs")).select(common["host"], "line")
-    # at most 1 / share lines of average frequency per host and document size remain: a small table
-    exploded = rows.select("row", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), "l.sizes")
-    lost = (
-        exploded.join(common.select(F.col("host").alias("h"), F.col("line").alias("k")), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k")))
-        .groupBy("row").agg(F.sum("sizes").cast("bigint").alias("common_words"))
+    above = common.join(texts, common["host"].eqNullSafe(texts["host"])).where(F.col("held") * F.col("held") > F.col("docs"))
+    # the lines above the limit grow with the input, like its root in a host: a shuffled join, in which a frequent line has many parts
+    parts = above.select(common["host"].alias("h"), F.col("line").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    exploded = rows.select("row", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("l")).select(
+        "row", "host", F.col("l.lines").alias("line"), "l.sizes", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
     )
+    same = F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k")) & (F.col("salt") == F.col("part"))
+    lost = exploded.join(parts, same).groupBy("row").agg(F.sum("sizes").cast("bigint").alias("common_words"))
     words = F.col("n_words")
     return (
         rows.drop("lines", "sizes", "copy").join(lost, "row", "left")

@@ -62,7 +62,7 @@ u as (select r, count(*) - count(distinct line) as n_dup_lines from m group by r
 h as (select host, count(distinct md5(x)) as docs from d group by host),
 f as (
   select m.host, k from m join h on m.host is not distinct from h.host group by m.host, k
-  having count(distinct copy) >= 20 and count(distinct copy) > 0.05 * max(docs)
+  having count(distinct copy) >= 20 and count(distinct copy) * count(distinct copy) > max(docs)
 ),
 z as (select r, cast(sum(size) as bigint) as common_words from m join f on m.host is not distinct from f.host and m.k = f.k group by r),
 b as (
