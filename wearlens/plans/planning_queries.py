@@ -163,8 +163,9 @@ def _summary(spark, folder):
 def _scenario_sql(cheapest: bool) -> str:
     named = "sn(scenario, dm, rm, lm) AS (VALUES " + ", ".join(str(s) for s in mt.SCENARIOS) + ")"
     day = "day" if cheapest else "scheduled_day"
-    base = "(SELECT tk.*, unnest(range(0, 14)) AS day FROM tk)" if cheapest else "(SELECT tk.*, least(preferred_day + 2, 13) AS scheduled_day FROM tk)"
-    spread = f"sd AS (SELECT x.*, sn.* FROM {base} x CROSS JOIN sn)"
+    base = "(SELECT tk.*, unnest(range(0, 14)) AS day FROM tk)" if cheapest else "tk"
+    own = "" if cheapest else ", least(preferred_day + CASE WHEN dm > 1 THEN 0 WHEN lm > 1 THEN 4 ELSE 2 END, 13) AS scheduled_day"
+    spread = f"sd AS (SELECT x.*, sn.*{own} FROM {base} x CROSS JOIN sn)"
     priced = f"sp AS ({_costed('sd', day, '10000.0 * dm', '150.0 * lm', 'rm')}), sq AS (SELECT *, direct_cost + risk_cost AS total_cost FROM sp)"
     if cheapest:
         chosen = "ch AS (SELECT *, day AS scheduled_day FROM sq QUALIFY row_number() OVER (PARTITION BY scenario, equipment_id ORDER BY round(total_cost, 4), day) = 1)"
@@ -180,8 +181,12 @@ def _scenario_sql(cheapest: bool) -> str:
 
 
 def scenarios(spark, folder) -> DataFrame:
+    """Each scenario with days of its own: the preferred day where downtime costs more, four days later where labour does, else two."""
     rows = tasks(spark, folder)
-    return mt.scenario_costs(rows, assignment(rows))
+    delays = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(0 if d > 1 else 4 if w > 1 else 2).alias("delay")) for n, d, _, w in mt.SCENARIOS])
+    days = rows.select("equipment_id", "preferred_day", F.inline(delays))
+    day = F.least(F.col("preferred_day") + F.col("delay"), F.lit(13)).alias("scheduled_day")
+    return mt.scenario_costs(rows, days.select("equipment_id", "scenario", day))
 
 
 _SCENARIO_COLUMNS = ("scenario, CAST(downtime_multiplier AS DOUBLE) AS downtime_multiplier, CAST(repair_multiplier AS DOUBLE) AS repair_multiplier, CAST(labor_multiplier AS DOUBLE) AS labor_multiplier, "
