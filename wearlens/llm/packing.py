@@ -26,15 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearlens.session import written
-
-from .textscan import ALNUM, Words, text_chunks
+from .spread import stored
+from .textscan import ALNUM, Words, give_back, text_chunks
 
 WINDOW = 2048
 BLOCK = 32
 END_ID = 1
 SHARD_DOCS = 1024
-CACHE = 1_000_000
+#: Words an encoder knows before it starts anew: most distinct words are met once, and the frequent ones are soon known again.
+CACHE = 150_000
+#: Rows in an Arrow batch of texts.
+ROWS = 2000
 TOKENIZER = "byte_bpe_50k.json"
 K1, B = 1.2, 0.75
 
@@ -299,6 +301,7 @@ def _shard_rows(rows: list[tuple], first: int) -> tuple[list[tuple], int]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()  # what tokenizing has freed
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 32
     held: list[tuple] = []
@@ -328,12 +331,13 @@ def sequences(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     a row cover each of its ids once. Other columns are not read.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = written(
+    rows = stored(
         documents.select("doc_id", "text").mapInArrow(
             lambda b: _tokenized(b, tokenizer),
             f"doc_id {kind}, doc_tokens bigint, windows array<bigint>, blocks binary, terms binary, counts binary, key bigint",
         ),
         "tokenized",
+        ROWS,
     )
     ordered = rows.withColumn("tie", F.xxhash64("doc_id", "terms")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").drop("key", "tie")
     return ordered.mapInArrow(_pack, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
