@@ -54,11 +54,6 @@ def _read_cycles(spark, folder):
     return rounded(sf.read_cycles(spark, f"{root}/CMaps/*", names=r"(train|test)_(FD\d+)\.txt"))
 
 
-def _ordered_lines(order: str, value: str):
-    listed = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("string").alias("line"))))
-    return F.array_join(F.transform(listed, lambda r: r["line"]), "\n")
-
-
 @query(
     "read_targets_src2",
     "WITH t AS (SELECT user_id, count(*) AS rul FROM events GROUP BY 1) SELECT printf('FD%03d', user_id // 100) AS fd, "
@@ -68,10 +63,9 @@ def _read_targets(spark, folder):
     root = scratch_path(spark, "targets")
     lives = table(spark, folder, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("rul"))
     named = lives.select(F.format_string("FD%03d", F.floor(F.col("user_id") / 100)).alias("fd"), "user_id", "rul")
-    # At most 100 units per file, as one text of ordered lines.
-    lines = named.groupBy("fd").agg(_ordered_lines("user_id", "rul").alias("value"))
-    lines.write.partitionBy("fd").text(root)
-    return sf.read_targets(spark, f"{root}/*", names=r"fd=(FD\d+)")
+    ordered = named.orderBy("fd", "user_id").select("fd", F.col("rul").cast("string").alias("value"))
+    ordered.write.partitionBy("fd").text(root)
+    return sf.read_targets(spark, f"{root}/*", names=r"fd=(FD\d+)", per="folder")
 
 
 _TV_OUT = "event_us, equipment_id, run_id, cycle, sensor_1, sensor_2, failure_label"
@@ -98,7 +92,7 @@ def _load_dataset(spark, folder):
     cycles.select(line).write.text(f"{root}/CMaps/train_FD001.txt")
     cycles.where("cycle <= 20").select(line).write.text(f"{root}/CMaps/test_FD001.txt")
     left = cycles.groupBy("unit").agg((F.max("cycle") - 20).alias("rul"))
-    left.agg(_ordered_lines("unit", "rul").alias("value")).write.text(f"{root}/CMaps/RUL_FD001.txt")
+    left.orderBy("unit").select(F.col("rul").cast("string").alias("value")).write.text(f"{root}/CMaps/RUL_FD001.txt")
     train, test, targets = sf.load_dataset(spark, root, "nasa", "FD001")
 
     def summed(df, part):

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import attach_facts
 from ..schemas import READING_SCHEMA, UNIT_CYCLE_SCHEMA, require
+from ..session import written
 
 
 def _file_part(pattern: str, group: int):
@@ -34,15 +37,45 @@ def read_cycles(
     return parts.select(*keep, checked.alias("checked")).select(*keep, *values)
 
 
-def read_targets(spark: SparkSession, paths: str | list[str], names: str | None = None) -> DataFrame:
-    """`unit, rul`: the unit is the 1-based line number inside its (small) file."""
-    rows = spark.read.text(paths, wholetext=True)
-    named = [_file_part(names, 1).alias("fd")] if names else []
-    lines = F.split(F.rtrim("value", F.lit(" \r\n\t")), r"\r?\n")
-    listed = rows.select(*named, F.posexplode(lines).alias("place", "line"))
-    return listed.select(
-        *(["fd"] if names else []), (F.col("place") + 1).alias("unit"), F.trim("line").cast("int").alias("rul")
+def numbered_lines(spark: SparkSession, paths: str | list[str], per: str = "file") -> DataFrame:
+    """`path, number, line`: lines numbered from 1 within their file or, with per="folder", on through the files of a folder in the
+    order of their names, which is how Spark writes a sorted frame.
+
+    Large files are read in splits: a line's place in its split is a difference of row ids, and only the splits' numbers of
+    lines are added up. Lines of white space at the end are left out, those in between count; an empty file has no lines.
+    """
+    if per not in ("file", "folder"):
+        raise ValueError(f"Lines are numbered per file or folder, not per {per}.")
+    # Written, so that ids are the same wherever they are read.
+    lines = written(
+        spark.read.text(paths).select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("id"),
+            F.col("value").alias("line"),
+        ),
+        "lines",
+    )
+    splits = lines.groupBy("path", "block").agg(
+        F.min("id").alias("first"),
+        F.count(F.lit(1)).alias("lines"),
+        F.max(F.when(F.col("line").rlike(r"\S"), F.col("id"))).alias("filled"),
     )
+    series = F.col("path") if per == "file" else F.regexp_replace("path", "/[^/]+$", "")
+    # One row per split, so a window over all splits of a file is small.
+    of_series = W.partitionBy(series)
+    before = F.coalesce(F.sum("lines").over(of_series.orderBy("path", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.withColumn("before", before).withColumn("end", F.max(F.col("before") + F.col("filled") - F.col("first") + 1).over(of_series))
+    number = F.col("before") + F.col("id") - F.col("first") + 1
+    found = attach_facts(lines, placed.select("path", "block", "first", "before", "end"), ["path", "block"], "id", "inner")
+    return found.select("path", number.alias("number"), "line", "end").where("number <= end").drop("end")
+
+
+def read_targets(spark: SparkSession, paths: str | list[str], names: str | None = None, per: str = "file") -> DataFrame:
+    """`unit, rul`: the unit is the 1-based line number inside its file, or inside its folder of files (see `numbered_lines`)."""
+    lines = numbered_lines(spark, paths, per)
+    named = [F.regexp_extract("path", names, 1).alias("fd")] if names else []
+    return lines.select(*named, F.col("number").cast("int").alias("unit"), F.trim("line").cast("int").alias("rul"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -62,7 +95,7 @@ def load_dataset(
     if source == "nasa":
         folder = f"{root}/CMaps"
         train, test = (read_cycles(spark, f"{folder}/{split}_{fd}.txt") for split in ("train", "test"))
-        return train, test, read_targets(spark, f"{folder}/RUL_{fd}.txt")
+        return train, test, read_targets(spark, f"{folder}/RUL_{fd}.txt", per="folder")
     if source == "kaggle":
         return read_csv(spark, f"{root}/Kaggle/{table_name}.csv", schema), None, None
     raise ValueError(f"No reader for {source}.")
