@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,44 @@ def test_stream_load_is_idempotent(spark):
     assert spark.read.parquet(f"{root}/table").count() == 1
 
 
+def test_late_repeats_are_loaded_once_and_clean_batches_leave_no_quarantine(spark):
+    root = scratch_path(spark, "stream")
+    minutes = [f"2026-04-{day:02}T10:{minute:02}:00Z" for day in (4, 5) for minute in range(20)]
+    first = [(_message(event_time=m),) for m in minutes]
+    late = [(_message(event_time=minutes[i]),) for i in (0, 7, 25)] + [(_message(event_time="2026-04-04T10:07:30Z"),)]
+
+    def load():
+        stream = si.read_messages(spark, f"{root}/in", files_per_batch=1)
+        si.load_stream(stream, f"{root}/table", f"{root}/refused", f"{root}/checkpoint").awaitTermination()
+
+    for part in (first, late):  # the second call goes on from the checkpoint of the first
+        spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(f"{root}/in")
+        load()
+    table = spark.read.parquet(f"{root}/table")
+    assert table.count() == table.select("event_time").distinct().count() == 41
+    assert not os.path.exists(f"{root}/refused")
+
+
+def test_a_small_batch_looks_at_stored_rows_of_its_times_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+
+    def rows(seconds):
+        frame = spark.createDataFrame([(s, f"e{s % 3}") for s in seconds], "s long, equipment_id string")
+        return frame.select(F.timestamp_seconds("s").alias("event_time"), "equipment_id", F.lit("r").alias("run_id"), F.col("s").alias("value"))
+
+    day = 86_400
+    for start in range(0, 3 * day, 3600):  # appended hour after hour
+        if start % day < 4 * 3600:
+            assert st.insert_if_absent(rows(range(start, start + 3600, 60)), path) == 60
+    batch = rows([3660, 3661, day + 60, day + 120])
+    stored = st._stored_keys(spark, path, st._dated(batch), ["equipment_id", "event_time", "run_id"])
+    assert stored.count() == 1 + 2
+    assert "PushedFilters: [Or(And(GreaterThanOrEqual(event_time" in stored._jdf.queryExecution().executedPlan().toString().replace("And(IsNotNull(event_time),", "")
+    assert st.insert_if_absent(batch, path) == 1
+    by_run = rows([3660]).withColumn("event_time", F.timestamp_seconds(F.lit(9 * 3600)))  # a key without the time: the whole day counts
+    assert st.insert_if_absent(by_run, path, key=["equipment_id", "run_id"]) == 0
+
+
 def test_upsert_keeps_stored_columns_and_takes_new_ones(spark, tmp_path):
     path = str(tmp_path / "features")
 

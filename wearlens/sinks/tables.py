@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -61,6 +63,31 @@ def _existing(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame | N
     return table.where(F.col(DATE).isin(days))
 
 
+def _stored_keys(spark: SparkSession, path: str, batch: DataFrame, key: list[str]) -> DataFrame | None:
+    """Day and key of those rows of the table that the batch may repeat, or None while there is no table.
+
+    Where the time is part of the key, only rows between the batch's first and last time of a day count. The scan leaves out
+    files and row groups of other times, so that a small batch reads little of a long day. Every file has the key, so
+    no schemas are merged.
+    """
+    try:
+        table = spark.read.option("mergeSchema", False).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    timed = "event_time" in key and dict(batch.dtypes)["event_time"] == "timestamp"
+    time = F.unix_micros("event_time") if timed else F.lit(None).cast("long")
+    # one row per calendar day
+    days = batch.groupBy(DATE).agg(F.min(time).alias("low"), F.max(time).alias("high")).where(F.col(DATE).isNotNull()).collect()
+    found = table.where(F.col(DATE).isin([r[DATE] for r in days]))
+    if timed and days:
+        at = F.col("event_time")
+        ranges = [at.between(F.timestamp_micros(F.lit(r["low"])), F.timestamp_micros(F.lit(r["high"]))) for r in days]
+        found = found.where(reduce(Column.__or__, ranges))
+    return found.select(DATE, *key)
+
+
 def first_per_key(df: DataFrame, key: list[str], arrival: list[str]) -> DataFrame:
     """One row per key, the earliest arrival. An aggregate, so copies shrink before the shuffle."""
     rest = [c for c in df.columns if c not in key]
@@ -76,9 +103,9 @@ def insert_if_absent(
     spark = batch.sparkSession
     order = arrival or [c for c in batch.columns if c not in key]
     fresh = first_per_key(_dated(batch), key, order)
-    existing = _existing(spark, path, _dated(batch))
-    if existing is not None:
-        fresh = fresh.join(existing.select(DATE, *key), [DATE, *key], "left_anti")
+    stored = _stored_keys(spark, path, _dated(batch), key)
+    if stored is not None:
+        fresh = fresh.join(stored, [DATE, *key], "left_anti")
     seen = Observation()
     write_by_day(fresh, path, seen=seen)
     try:

@@ -90,14 +90,17 @@ def load_stream(
     """Load good messages once per reading key and keep refused ones with their reason.
 
     The source position is committed only after both writes. A repeated micro-batch finds its keys in the
-    table already, and its refused rows replace those of the first attempt.
+    table already, and its refused rows replace those of the first attempt. A batch without refused messages leaves
+    no folder in the quarantine.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_messages(batch, columns).persist()
         try:
             insert_if_absent(good_messages(parsed), table, key=READING_KEY)
-            refused_messages(parsed).write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+            refused = refused_messages(parsed)
+            if not refused.isEmpty():
+                refused.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
         finally:
             parsed.unpersist()
 
