@@ -135,3 +135,45 @@ def test_groups_of_a_long_spectrum_are_small():
         rows, columns = shape_of(n)
         assert rows * columns >= 2 * n - 1 and rows <= columns <= 2 * rows and columns**2 <= 8 * n
     assert max(shape_of(1_000_000)) <= 2_048 and max(shape_of(1_000_000_000)) <= 65_536
+
+
+def test_nearest_pairs_take_exact_distances_of_few_pairs(monkeypatch):
+    """Far from the origin, in tight groups, with ties, copies and values that are none: the same as all distances sorted."""
+    rng = np.random.default_rng(12)
+    spread = rng.normal(size=(9_000, 16))
+    tight = 1e4 + np.repeat(rng.normal(size=(5, 8)), 60, axis=0) + 1e-7 * rng.normal(size=(300, 8))
+    grid = rng.integers(0, 2, size=(400, 6)).astype(float)
+    broken = rng.normal(size=(50, 4))
+    broken[3, 1], broken[7, 2] = np.nan, np.inf
+    huge = rng.normal(size=(60, 3)) * 1e160
+    for known, asked in ((spread, spread[:600] * 1.25), (tight, tight[::7]), (grid, grid[:90]), (broken, broken), (huge, huge), (spread[:3], spread[:2])):
+        with np.errstate(all="ignore"):
+            rows, cols, dist = ne.nearest_pairs(asked, known, 7)
+            every = ne.distances(asked, known)
+        best = np.argsort(every, axis=1, kind="stable")[:, :7]
+        np.testing.assert_array_equal(rows, np.repeat(np.arange(len(asked)), best.shape[1]))
+        np.testing.assert_array_equal(cols, best.ravel())
+        np.testing.assert_array_equal(dist, np.take_along_axis(every, best, 1).ravel())
+    taken = []
+    rough = ne.Known.not_ruled_out
+    monkeypatch.setattr(ne.Known, "not_ruled_out", lambda *a: taken.append(rough(*a)) or taken[-1])
+    ne.nearest_pairs(spread[:600], spread, 7)
+    assert sum(map(len, taken)) < 600 * len(spread) / 100
+
+
+def test_a_query_is_sent_to_areas_not_to_rings(spark):
+    """Vectors of many rings that no bound rules out go to one task each, not to one a ring."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(400, 12))
+    refs = ne.distinct_vectors(vectors(spark, x / np.linalg.norm(x, axis=1, keepdims=True)), "id", "v")
+    asked = refs.select(F.col("ref").alias("q"), "vec")
+    made = []
+    before = ne.written
+    ne.written = lambda df, name: made.append((name, before(df, name))) or made[-1][1]
+    try:
+        out = ne.nearest(asked, refs, 3)
+    finally:
+        ne.written = before
+    sent = dict(made)["visits"]
+    assert sent.count() == 400 and sent.agg(F.max(F.size("areas"))).first()[0] == 1
+    assert out.groupBy("q").count().where("count = 3").count() == 400
