@@ -27,6 +27,19 @@ def test_small_batch_features(spark):
     assert found["sensor_1_fft_amp_3"] is None and found["sensor_1_fft_amp_1"] > 0
 
 
+def test_packed_blocks_hold_what_long_rows_hold(spark):
+    """Seven rows a reading of two sensors meet, in place of 59; the maps are the same, also with nulls and one sensor."""
+    raw = minutes(spark).withColumn("sensor_1", F.when(F.col("sensor_1") != 2, F.col("sensor_1")))
+    for sensors in (["sensor_1", "sensor_2"], ["sensor_1"]):
+        placed = pr.prepare_batch(raw, sensors).withColumn("row_index", F.col("cycle"))
+        long, blocks = (ft.engineer_features(placed, sensors, blocks=b) for b in (False, True))
+        assert blocks.count() == 4 * (3 * len(sensors) + (len(sensors) > 1))
+        packed = pr.pack_long_features(long, "v"), pr.pack_long_features(blocks, "v", ft.feature_blocks(sensors))
+        one, two = ({r["cycle"]: r.asDict() for r in p.collect()} for p in packed)
+        assert one == two and len(two[3]["feature_payload"]) == 29 * len(sensors) + len(sensors) - 1
+        assert packed[0].schema.simpleString() == packed[1].schema.simpleString()
+
+
 def test_unparseable_time_fails(spark):
     raw = minutes(spark).withColumn("event_time", F.lit("yesterday"))
     try:

@@ -266,6 +266,19 @@ def with_ratios(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.withColumns({f"{n}_to_{d}_ratio": ratio(F.col(n), F.col(d)) for n, d in pairs})
 
 
+def feature_blocks(
+    sensors: list[str], windows: dict[str, int] | None = None, lags: tuple[int, ...] = LAGS, top: int = SPECTRUM_TOP
+) -> dict[str, list[str]]:
+    """The feature names of each block of values that `engineer_features` makes with `blocks`."""
+    parts = {
+        "rolled": [f"{w}_{s}" for w in windows or ROLLING_WINDOWS for s in STATS],
+        "lagged": [f"lag_{k}" for k in lags],
+        "spectrum": [f"fft_amp_{i + 1}" for i in range(top)],
+    }
+    names = {f"{s}_{part}": [f"{s}_{c}" for c in columns] for s in sensors for part, columns in parts.items()}
+    return names | {"ratios": [f"{n}_to_{d}_ratio" for n, d in ratio_pairs(sensors)]}
+
+
 def engineer_features(
     prepared: DataFrame,
     sensors: list[str],
@@ -273,8 +286,10 @@ def engineer_features(
     lags: tuple[int, ...] = LAGS,
     top: int = SPECTRUM_TOP,
     partition_keys: tuple[str, ...] = ("equipment_id",),
+    blocks: bool = False,
 ) -> DataFrame:
     """All features of a prepared batch in long form: reading key, cycle, `feature`, `feature_value`.
+    With `blocks`, a row holds the `values` of a whole `block`, whose names `feature_blocks` has.
 
     `prepared` carries `row_index` (position per equipment). The long form keeps the row narrow (the wide
     form has 629 columns for 21 sensors) and spreads one equipment over its sensors.
@@ -285,25 +300,32 @@ def engineer_features(
     base = prepared.withColumn("event_us", F.unix_micros("event_time"))
     long = unpivot_sensors(base, [*meta, "row_index", "event_us"], sensors)
 
-    def melt(df: DataFrame, columns: list[str], name: Column) -> DataFrame:
+    def melt(df: DataFrame, columns: list[str], name: Column, block: str) -> DataFrame:
+        if blocks:
+            values = F.array(*[F.col(c).cast("double") for c in columns])
+            return df.select(*meta, F.concat_ws("_", "sensor", F.lit(block)).alias("block"), values.alias("values"))
         flat = df.unpivot([*meta, "sensor"], columns, "part", "feature_value")
         return flat.select(*meta, name.alias("feature"), "feature_value")
 
     prefixed = F.concat_ws("_", "sensor", "part")
     rolled = rolling_stats(long, keys, "event_us", windows)
-    stats = melt(rolled, [f"{w}_{s}" for w in windows for s in STATS], prefixed)
+    stats = melt(rolled, [f"{w}_{s}" for w in windows for s in STATS], prefixed, "rolled")
     lagged = lag_values(long.withColumnRenamed("value", "v"), keys, "row_index", ["v"], lags)
     lag_rows = melt(
-        lagged.withColumnsRenamed({f"v_lag_{k}": f"lag_{k}" for k in lags}), [f"lag_{k}" for k in lags], prefixed
+        lagged.withColumnsRenamed({f"v_lag_{k}": f"lag_{k}" for k in lags}), [f"lag_{k}" for k in lags], prefixed, "lagged"
     )
     longest = max(windows.values())
     ids = [c for c in meta if c not in partition_keys]
     spectrum = rolling_spectrum(long, keys, "event_us", ids, longest, longest, top)
-    fft_rows = melt(spectrum, [f"fft_amp_{i + 1}" for i in range(top)], prefixed)
+    fft_rows = melt(spectrum, [f"fft_amp_{i + 1}" for i in range(top)], prefixed, "spectrum")
     parts = [stats, lag_rows, fft_rows]
     pairs = ratio_pairs(sensors)
     if pairs:
         names = [f"{n}_to_{d}_ratio" for n, d in pairs]
         wide = with_ratios(prepared, pairs).select(*meta, *names)
-        parts.append(wide.unpivot(meta, names, "feature", "feature_value"))
+        if blocks:
+            values = F.array(*[F.col(c).cast("double") for c in names])
+            parts.append(wide.select(*meta, F.lit("ratios").alias("block"), values.alias("values")))
+        else:
+            parts.append(wide.unpivot(meta, names, "feature", "feature_value"))
     return reduce(DataFrame.unionByName, parts)

@@ -106,12 +106,26 @@ def pack_features(features: DataFrame, version: str = DEFAULT_FEATURE_SET) -> Da
     )
 
 
-def pack_long_features(features: DataFrame, version: str = DEFAULT_FEATURE_SET) -> DataFrame:
-    """Long features as one map per reading; a reading has a fixed number of features."""
+def pack_long_features(
+    features: DataFrame, version: str = DEFAULT_FEATURE_SET, blocks: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """Long features as one map per reading; a reading has a fixed number of features. Rows that hold the `values` of a
+    `block` are named by `blocks` after they have met, so that no name is shuffled."""
     meta = [c for c in FEATURE_META if c in features.columns and c != "feature_set_version"]
-    entries = F.collect_list(F.struct("feature", "feature_value"))
-    packed = features.groupBy(*meta).agg(F.map_from_entries(entries).alias("feature_payload"))
-    return packed.withColumn("feature_set_version", F.lit(version))
+    if blocks is None:
+        payload = F.map_from_entries(F.collect_list(F.struct("feature", "feature_value")))
+        return features.groupBy(*meta).agg(payload.alias("feature_payload")).withColumn("feature_set_version", F.lit(version))
+    order = list(blocks)
+    place = F.element_at(F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (b, i)]), F.col("block")).cast("short")
+    met = (
+        features.select(*meta, F.struct(place.alias("place"), "values").alias("part"))
+        .groupBy(*meta)
+        .agg(F.collect_list("part").alias("parts"))
+    )
+    names = F.array(*[F.array(*[F.lit(n) for n in blocks[b]]) if blocks[b] else F.array().cast("array<string>") for b in order])
+    keys = F.flatten(F.transform("parts", lambda p: F.element_at(names, p["place"].cast("int") + 1)))
+    payload = F.map_from_arrays(keys, F.flatten(F.transform("parts", lambda p: p["values"])))
+    return met.select(*meta, payload.alias("feature_payload"), F.lit(version).alias("feature_set_version"))
 
 
 def payload_values(packed: DataFrame, names: list[str], version: str | None = None) -> DataFrame:

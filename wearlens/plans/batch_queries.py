@@ -595,7 +595,7 @@ def _engineered(spark, folder):
 )
 def _packed_map(spark, folder):
     rows = readings(spark, folder).withColumn("row_index", F.col("cycle"))
-    packed = pr.pack_long_features(ft.engineer_features(rows, TWO))
+    packed = pr.pack_long_features(ft.engineer_features(rows, TWO, blocks=True), blocks=ft.feature_blocks(TWO))
     value = F.try_element_at("feature_payload", F.lit("sensor_2_to_sensor_1_ratio"))
     return packed.select("equipment_id", F.unix_micros("event_time").alias("event_us"), "cycle",
                          F.size("feature_payload").alias("features"), F.round(value, 6).alias("ratio"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.detect import inject_anomalies, reconstruction_scores, score_statistics
-from ..operators.features import engineer_features
+from ..operators.features import engineer_features, feature_blocks
 from ..operators.forest import isolation_scores
 from ..operators.maintenance import (
     CostRates, Resources, cheapest_days, maintenance_tasks, priced_schedule, scenario_costs, schedule_summary,
@@ -31,7 +31,7 @@ def run_batch(raw: DataFrame, table: str, sensors: list[str], version: str, sour
     prepared = prepare_batch(raw, sensors, source_file)
     placed = written(row_index(prepared, ["equipment_id"], ["event_time", "run_id"], bucket), "prepared")
     gate(validation_checks(placed, sensors))
-    packed = pack_long_features(engineer_features(placed, sensors), version)
+    packed = pack_long_features(engineer_features(placed, sensors, blocks=True), version, feature_blocks(sensors))
     stored = packed.withColumn("arrival", F.lit(0))
     upsert(stored, table, arrival=["arrival"])
     return prepared.sparkSession.read.option("mergeSchema", True).parquet(table)
