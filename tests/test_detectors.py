@@ -177,3 +177,12 @@ def test_a_query_is_sent_to_areas_not_to_rings(spark):
     sent = dict(made)["visits"]
     assert sent.count() == 400 and sent.agg(F.max(F.size("areas"))).first()[0] == 1
     assert out.groupBy("q").count().where("count = 3").count() == 400
+
+
+def test_rows_with_gaps_have_no_score_and_equal_vectors_share_one(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(80, 3)))]
+    rows += [(100, [0.0, -0.0, 1.0]), (101, [-0.0, 0.0, 1.0]), (102, [None, 1.0, 2.0]), (103, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    scores = {r[0]: r[1] for r in ne.local_outlier_factor(df, df, "id", "v", 5, pivots=1).collect()}
+    assert set(scores) == {*range(80), 100, 101} and scores[100] == scores[101]

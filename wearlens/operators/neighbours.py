@@ -127,7 +127,7 @@ def nearest(
     home = (F.col("cell") * rings + ring).cast("int")
     summary = (
         placed.groupBy(home.alias("home"), "cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("radius").alias("whole"), F.min("radius").alias("low"), F.max("radius").alias("high"))
         .orderBy("home")
         .collect()
     )
@@ -147,9 +147,15 @@ def nearest(
             firsts.append(firsts[-1] + counts[-1] - 1)
         counts.append(-(-n // block))
         room = room - n if n <= block else 0
-    held = np.zeros((len(homes), firsts[-1] + counts[-1] if firsts else 0), dtype="float32")
+    last = firsts[-1] + counts[-1] if firsts else 0
+    held = np.zeros((len(homes), last + 1), dtype="float32")
     for i, (first, n) in enumerate(zip(firsts, counts)):
         held[i, first : first + n] = 1
+    # Vectors with missing elements have no distance. They fill up the ring they fall into where it holds fewer than k whole
+    # vectors, from an area of their own.
+    gaps = [(i, k - r["whole"]) for i, r in enumerate(summary) if r["whole"] < min(r["n"], k)]
+    filling = [r["ref"] for _, n in gaps for r in placed.where("radius IS NULL").orderBy("ref").limit(n).select("ref").collect()]
+    held[[i for i, _ in gaps], last] = 1
 
     @F.pandas_udf("array<int>")
     def visits(vectors: pd.Series) -> pd.Series:
@@ -177,11 +183,13 @@ def nearest(
         "chunk", F.pmod(F.xxhash64("q"), looked_up(chunks, "area")).cast("int")
     )
     right = (
-        placed.select("ref", "vec", "weight", home.alias("home"))
+        placed.where(F.col("radius").isNotNull() | F.col("ref").isin(filling))
+        .select("ref", "vec", "weight", "radius", home.alias("home"))
         .withColumn("area", looked_up(first_area, "home") + F.pmod(F.xxhash64("ref"), looked_up(areas, "home")).cast("int"))
+        .withColumn("area", F.when(F.col("radius").isNull(), F.lit(last)).otherwise(F.col("area")))
         .where(F.col("area").isin(list(chunks)))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), looked_up(chunks, "area") - 1)))
-        .drop("home")
+        .drop("home", "radius")
     )
     q_type, ref_type = dict(queries.dtypes)["q"], dict(refs.dtypes)["ref"]
     schema = f"q {q_type}, dist double, ref {ref_type}, weight long"
@@ -258,7 +266,7 @@ def local_outlier_factor(
     # Back from distinct vectors to rows, by a hash; vectors are compared only where two of them share one.
     same = F.xxhash64(F.transform("vec", lambda x: x + F.lit(0.0))).alias("same")
     several = F.collect_list(F.struct("vec", "local_outlier_factor_score"))
-    scored = asked.join(scores, "q").select(same, "vec", "local_outlier_factor_score").groupBy("same").agg(several.alias("several"))
+    scored = asked.join(scores, "q", "left").select(same, "vec", "local_outlier_factor_score").groupBy("same").agg(several.alias("several"))
     alone = F.size("several") == 1
     facts = scored.select(
         "same",
@@ -268,4 +276,5 @@ def local_outlier_factor(
     wanted = rows.select(key, F.col(vector).cast("array<double>").alias("vec")).where("vec is not null").select(key, "vec", same)
     met = attach_facts(wanted, facts, ["same"], key, "inner")
     own_score = F.get(F.filter("several", lambda s: s["vec"] == F.col("vec")), F.lit(0))["local_outlier_factor_score"]
-    return met.select(key, F.when(F.col("several").isNull(), F.col("only")).otherwise(own_score).alias("local_outlier_factor_score"))
+    score = F.when(F.col("several").isNull(), F.col("only")).otherwise(own_score)
+    return met.select(key, score.alias("local_outlier_factor_score")).where("local_outlier_factor_score IS NOT NULL")
