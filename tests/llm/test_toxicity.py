@@ -75,3 +75,22 @@ def test_thresholds_follow_the_class_ratio_of_all_labels(spark):
         return 2 * weight[accepted & (y == 1)].sum() / (weight[accepted].sum() + 200)
 
     assert f1(predicted == 1) > 0.95 * max(f1(score >= c) for c in np.unique(score))
+
+
+def test_a_model_holds_only_what_the_fit_has_changed():
+    """Rows of the tables that no text touched come from the seed, not with the model."""
+    import pickle
+
+    rows = corpus(120)
+    model = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    assert len(pickle.dumps(model)) < 1 << 20
+    net, start = toxicity.Net.of(pickle.loads(pickle.dumps(model["net"]))), toxicity.Net()
+    changed = (net.table != start.table).any(2)
+    assert 0 < changed.sum() <= sum(map(len, model["net"]["slots"])) and not (changed & ~net.changed).any()
+    assert all(np.array_equal(table[slots], kept) for table, slots, kept in zip(net.table, model["net"]["slots"], model["net"]["rows"], strict=True))
+
+
+def test_the_start_is_the_one_drawn_at_once():
+    whole = np.random.default_rng(7).normal(0, 0.1, (toxicity.TABLES, 1 << toxicity.SLOTS, toxicity.DIM)).astype(np.float32)
+    whole[:, 0] = 0
+    assert np.array_equal(toxicity.Net().table, whole)
