@@ -79,3 +79,25 @@ def test_neighbours_come_first():
 def test_query(spark):
     texts = [tuple(x) for x in spark.read.parquet(f"{helpers.SF}/documents.parquet").select("doc_id", "text").collect()]
     assert check(QUERIES["op3_packing"](spark, helpers.SF).collect(), texts) < 0.02
+
+
+def test_encoder_keeps_words_met_again(monkeypatch):
+    """Also when it forgets: frequent words are encoded once, and ids stay those of the whole text."""
+    monkeypatch.setattr(packing, "CACHE", 40)
+    t, e = tokenizer(), packing.Encoder(packing.TOKENIZER)
+    asked, ids_of = [], e._ids
+    monkeypatch.setattr(e, "_ids", lambda text: (asked.append(text), ids_of(text))[1])
+    for n in range(30):
+        texts = ["the often met " + " ".join(f"rare{n}x{i}" for i in range(9)) + " often\n", "", "often  the é\tmet"]
+        ids, bounds = e.encode(texts)
+        for i, x in enumerate(t.encode_batch(texts, add_special_tokens=False)):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*x.ids, 1]
+        assert len(e.known) <= packing.CACHE + 20
+    assert sum("often met" in text for text in asked) == 1
+
+
+def test_best_first_keeps_the_order_of_equal_scores():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 5, 32, 33, 200):
+        scores = r.integers(0, 9, n).astype(float)
+        assert list(packing.best_first(scores, 32)) == np.argsort(-scores, kind="stable").tolist()

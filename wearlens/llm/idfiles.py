@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from wearlens.session import written
 
-from .packing import Numbered
 from .textscan import text_chunks
 from .worker import kept
 
@@ -131,6 +130,19 @@ class PackedFile:
         return self.ids(int(self.bounds[i]), int(self.bounds[i + 1]))
 
 
+class Numbered(dict):
+    """Words and their numbers; an unknown word gets the next number and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library; where tokens never cross white space, a word's ids are computed once.
 

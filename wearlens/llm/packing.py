@@ -33,7 +33,7 @@ WINDOW = 2048
 BLOCK = 32
 END_ID = 1
 SHARD_DOCS = 1024
-#: Words an encoder knows before it starts anew: most distinct words are met once, and the frequent ones are soon known again.
+#: Words an encoder knows before it forgets those that it has met once since it forgot the last time: most distinct words.
 CACHE = 150_000
 #: Rows in an Arrow batch of texts.
 ROWS = 2000
@@ -48,11 +48,10 @@ RARE_ASCII = [c for c in RARE if c.isascii()]
 
 
 def pieces_of(text: str) -> list[str]:
-    """The text in parts that tokens do not cross; all but the first start with a space."""
+    """The text in parts that tokens do not cross, single spaces between them left out; no part but the first starts with white space."""
     odd = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
     odd = odd or any(c in text for c in (RARE_ASCII if text.isascii() else RARE))
-    parts = BETWEEN.split(text) if odd else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    return BETWEEN.split(text) if odd else text.split(" ")
 
 
 def byte_pairs(tokenizer) -> object | None:
@@ -77,19 +76,6 @@ def byte_pairs(tokenizer) -> object | None:
     return tiktoken.Encoding("byte-pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Numbered(dict):
-    """Words and their numbers; an unknown word gets the next number and is noted as new."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
 def encoder_of(name: str) -> Encoder:
     """The worker process's encoder of a file, kept from task to task with the words it knows."""
     kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders"))
@@ -117,61 +103,100 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known = Numbered()
-        self.ids, self.used = np.empty(1 << 18, np.uint32), 0
-        self.starts = np.zeros(1 << 16, np.int64)
+        # number 0 stands for the end of a text; the first part of a text is known by a space and the part, others by the part
+        self.known = {"": 0}
+        self.ids, self.used = np.full(1 << 18, END_ID, np.uint32), 1
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.sizes[0] = 1
+        self.again = np.zeros(1 << 16, bool)
+
+    def forget(self) -> None:
+        """Keep words met again, if they are few enough to leave room for others."""
+        kept = np.flatnonzero(self.again[: len(self.known)])
+        if len(kept) > CACHE // 2:
+            return self.clear()
+        words, sizes, starts = list(self.known), self.sizes[kept], self.starts[kept]
+        ids = self.ids[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+        words = [words[i] for i in kept.tolist() if i]
+        self.clear()
+        self._append(self._number(words), ids[-sizes[kept > 0].sum() :] if words else ids[:0], sizes[kept > 0])
 
-    def _ids(self, text: str) -> list[int]:
-        return self.pairs.encode_ordinary(text) if self.pairs else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _ids(self, text: str) -> np.ndarray:
+        if self.pairs:
+            return self.pairs.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _append(self, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Ids of the words from number `first` on."""
+    def _append(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the words of these numbers, one word's after another's."""
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(len(ids), len(self.ids)), np.uint32)])
-        if first + len(sizes) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(max(len(sizes) + 1, len(self.starts)), np.int64)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[first + 1 : first + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
         self.used += len(ids)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Runs of words that start with a single space are encoded in one go and cut by their bytes, others one by one."""
-        first = len(self.known) - len(pieces)
-        plain = [p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in pieces]
-        for good, run in itertools.groupby(zip(plain, pieces, strict=True), key=lambda x: x[0]):
-            words = [p for _, p in run]
-            if good:
-                ids = np.array(self._ids("".join(words)), np.uint32)
-                ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in words])) + 1
-                sizes = np.diff(ends, prepend=0)
-            else:
-                found = [self._ids(x) for x in words]
-                ids, sizes = np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found])
-            self._append(first, ids, sizes)
-            first += len(words)
+    def _number(self, words: list[str]) -> np.ndarray:
+        """Numbers for words that have none."""
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        if len(self.known) > len(self.starts):
+            more = max(len(words), len(self.starts))
+            self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.sizes, self.again))
+        return np.arange(first, len(self.known))
+
+    def _learn(self, words: list[str], alone: set[str]) -> None:
+        """Words that follow a single space and end before one are encoded in one go and cut by their bytes, those of `alone` one by one."""
+        odd = [w for w in words if w in alone]
+        if odd:
+            found = [self._ids(w[1:] if w[0] == " " else " " + w) for w in odd]
+            self._append(self._number(odd), np.concatenate(found), np.array([len(x) for x in found]))
+            words = [w for w in words if w not in alone]
+        if words:
+            numbers = self._number(words)
+            text = " " + " ".join(words)
+            raw = text.encode()
+            at = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+            # a word may hold spaces of its own
+            ends = np.append(at[1:], len(raw)) if len(at) == len(words) else np.cumsum([1 + len(w.encode()) for w in words])
+            ids = self._ids(text)
+            self._append(numbers, ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1, prepend=0))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text, and where each text starts."""
         if len(self.known) > CACHE:
-            self.clear()
-        pieces: list[str] = []
-        ends = []
+            self.forget()
+        words: list[str] = []
+        ends, alone = [], set()
         for text in texts:
             if text:
-                pieces += pieces_of(text)
-            ends.append(len(pieces))
-        at = np.array(list(map(self.known.__getitem__, pieces)), np.int64)
-        if self.known.new:
-            self._learn(self.known.new)
-            self.known.new = []
-        sizes = self.starts[at + 1] - self.starts[at]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = np.concatenate([[0], total[ends]]) + np.arange(len(texts) + 1)
-        ids = np.full(bounds[-1], END_ID, np.uint32)
-        place = np.ones(len(ids), bool)
-        place[bounds[1:] - 1] = False
-        ids[place] = self.ids[np.arange(total[-1]) + np.repeat(self.starts[at] - total[:-1], sizes)]
-        return ids, bounds
+                first = len(words)
+                words += pieces_of(text)
+                words[first] = " " + words[first]
+                alone.add(words[first])
+                if text[-1].isspace():
+                    alone.add(words[-1])
+            words.append("")
+            ends.append(len(words))
+        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        self.again[at[at >= 0] if new else at] = True
+        if new:
+            met = [words[i] for i in new]
+            self._learn(list(dict.fromkeys(met)), alone)
+            at[new] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
+        sizes = self.sizes[at]
+        total = np.cumsum(sizes)
+        ids = self.ids[np.arange(total[-1] if len(total) else 0) + np.repeat(self.starts[at] - (total - sizes), sizes)]
+        return ids, np.concatenate([[0], total[np.array(ends, np.int64) - 1]])
+
+
+_NONE = np.uint64((1 << 64) - 1)
+
+
+def _cells(values: np.ndarray, edges: np.ndarray | list[int]) -> pa.Array:
+    """The bytes of 32-bit values, a cell from each edge to the next."""
+    offsets = (4 * np.asarray(edges, np.int64)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
@@ -186,28 +211,30 @@ def _tokenized(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Reco
             words = Words(chunk, ALNUM)
             hashes = words.hashes()
             grams, whole = words.ngrams(hashes, 3)
-            small = (hashes >> np.uint64(32)).astype(np.uint32)
-            columns: list[list] = [[], [], [], [], [], []]
-            for d in range(chunk.docs):
-                a, b = 4 * int(bounds[d]), 4 * int(bounds[d + 1])
+            # distinct words of all the chunk's texts at once, text by text in the order of their hashes
+            pairs = np.sort((words.doc().astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
+            runs = np.flatnonzero(np.diff(pairs, prepend=pairs[:1] + np.uint64(1)))
+            terms, counts = pairs[runs].astype(np.uint32), np.diff(runs, append=len(pairs)).astype(np.uint32)
+            edges = np.searchsorted(pairs[runs] >> np.uint64(32), np.arange(chunk.docs + 1, dtype=np.uint64))
+            some = np.flatnonzero(words.counts())
+            key = np.zeros(chunk.docs, np.int64)
+            if len(some):
+                least = np.minimum.reduceat(np.where(whole, grams >> np.uint64(1), _NONE), words.first[some])
+                key[some] = np.where(least < _NONE, least, terms[edges[some]]).astype(np.int64)
+            windows, blocks, cuts = [], [], [0]
+            for a, b in itertools.pairwise((4 * bounds).tolist()):
                 full = range(a, b - 4 * WINDOW + 1, 4 * WINDOW)
                 rest = a + 4 * WINDOW * len(full)
-                first, last = words.first[d], words.first[d + 1]
-                terms, counts = np.unique(small[first:last], return_counts=True)
-                triples = grams[first:last][whole[first:last]]
-                key = int(triples.min() >> np.uint64(1)) if len(triples) else int(terms[0]) if len(terms) else 0
-                cells = (
-                    (b - a) // 4, [zlib.crc32(raw[i : i + 4 * WINDOW]) for i in full],
-                    np.array([zlib.crc32(raw[i : min(b, i + 4 * BLOCK)]) for i in range(rest, b, 4 * BLOCK)], np.uint32).tobytes(),
-                    terms.tobytes(), counts.astype(np.uint32).tobytes(), key,
-                )
-                for column, cell in zip(columns, cells, strict=True):
-                    column.append(cell)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+                windows.append([zlib.crc32(raw[i : i + 4 * WINDOW]) for i in full])
+                blocks += [zlib.crc32(raw[i : min(b, i + 4 * BLOCK)]) for i in range(rest, b, 4 * BLOCK)]
+                cuts.append(len(blocks))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[rows], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                [
+                    batch.column("doc_id")[rows], pa.array(np.diff(bounds), pa.int64()), pa.array(windows, pa.list_(pa.int64())),
+                    _cells(np.array(blocks, np.uint32), cuts), _cells(terms, edges), _cells(counts, edges), pa.array(key),
+                ],
                 names=["doc_id", "doc_tokens", "windows", "blocks", "terms", "counts", "key"],
-            )
+            )
 
 
 _ZEROS = bytes(4 * BLOCK)
@@ -249,25 +276,39 @@ class Index:
         return np.bincount(self.posting[at], self.value[at], self.docs)
 
 
+def best_first(scores: np.ndarray, most: int = 32) -> Iterator[int]:
+    """Places by falling score, equal ones in their order; those behind the best `most` are sorted only if they are asked for."""
+    lost = -scores
+    if len(lost) > most:
+        cut = np.partition(lost, most - 1)[most - 1]
+        parts = [lost <= cut, lost > cut]
+    else:
+        parts = [np.ones(len(lost), bool)]
+    for part in parts:
+        at = np.flatnonzero(part)
+        yield from at[np.argsort(lost[at], kind="stable")].tolist()
+
+
 def packed_shard(rests: list[int], index: Index) -> list[list[tuple[int, int, int]]]:
     """Sequences of (text, start within its rest, length)."""
     done, out, seed = [0] * len(rests), [], 0
+    unused = np.array(rests) > 0
     while True:
-        while seed < len(rests) and done[seed] >= rests[seed]:
+        while seed < len(rests) and not unused[seed]:
             seed += 1
         if seed == len(rests):
             return out
         pieces, space = [(seed, done[seed], rests[seed] - done[seed])], WINDOW - (rests[seed] - done[seed])
-        done[seed] = rests[seed]
+        unused[seed] = False
         if space >= BLOCK:
-            near = np.argsort(-index.scores(seed), kind="stable")
-            for d in near.tolist():
+            others = np.flatnonzero(unused)
+            for at in best_first(index.scores(seed)[others]):
+                d = int(others[at])
                 left = rests[d] - done[d]
-                if left <= 0:
-                    continue
                 take = left if left <= space else space // BLOCK * BLOCK
                 pieces.append((d, done[d], take))
                 done[d] += take
+                unused[d] = take < left
                 space -= take
                 if space < BLOCK:
                     break
