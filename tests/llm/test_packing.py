@@ -101,3 +101,39 @@ def test_best_first_keeps_the_order_of_equal_scores():
     for n in (0, 1, 5, 32, 33, 200):
         scores = r.integers(0, 9, n).astype(float)
         assert list(packing.best_first(scores, 32)) == np.argsort(-scores, kind="stable").tolist()
+
+
+def test_parts_begin_at_single_spaces_and_at_punctuation_behind_letters():
+    import random
+    import re
+
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", "é", "1", ".", "'", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u0905", "\U0001f600", "か", *"     "]) for _ in range(r.randint(0, 30))) for _ in range(800)]
+    raw = [t.encode() for t in texts]
+    buf, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for marks, cut in ((False, r"(?<=\S)(?= \S)"), (True, r"(?<=\S)(?= \S)|(?<=[a-z])(?=[.'])")):
+        starts = packing.piece_starts(buf, offsets, marks).tolist()
+        found = [b.decode() for b in np.split(buf, starts[1:]) for b in [b.tobytes()]]
+        assert found == [p for t in texts if t for p in re.split(cut, t)]
+
+
+def test_words_are_known_with_and_without_punctuation(monkeypatch):
+    t, e = tokenizer(), packing.Encoder(packing.TOKENIZER)
+    asked, ids_of = [], e._ids
+    monkeypatch.setattr(e, "_ids", lambda text: (asked.append(text), ids_of(text))[1])
+    texts = ["x uncommonword stands", "x uncommonword, stands! (uncommonword)", "(uncommonword's x.y_z it's'll\u00e9.é's .uncommonword a.!\n", ".uncommonword", "'s", "a'", "!!\n"]
+    for text in texts:
+        ids, _ = e.encode([text])
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+    assert sum("uncommonword stands" in x or "uncommonword," in x for x in asked) == 1
+
+
+def test_checksums_of_pieces_from_blocks():
+    r = np.random.default_rng(6)
+    ids = r.integers(0, 50_000, 5000).astype("<u4")
+    blocks = np.array([zlib.crc32(ids[i : i + packing.BLOCK].tobytes()) for i in range(0, len(ids), packing.BLOCK)], np.uint32)
+    tokens = np.array([32, 64, 2048, 96, 32, 4992, 5000, 8, 40])
+    first = np.array([3, 0, 7, 5, 0, 0, 0, len(blocks) - 1, len(blocks) - 2])
+    wanted = [zlib.crc32(ids[32 * a : 32 * a + n].tobytes()) for a, n in zip(first.tolist(), tokens.tolist(), strict=True)]
+    assert packing.joined_checksums(blocks, first, tokens).tolist() == wanted
+    assert packing.joined_checksums(blocks, first[:0], tokens[:0]).tolist() == []

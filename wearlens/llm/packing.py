@@ -14,7 +14,6 @@ from __future__ import annotations
 import itertools
 import json
 import os
-import re
 import sys
 import types
 import zlib
@@ -40,18 +39,39 @@ ROWS = 2000
 TOKENIZER = "byte_bpe_50k.json"
 K1, B = 1.2, 0.75
 
-# A token never starts before and ends after a single space between two other characters that are not white space.
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-# White space besides the space and the line feed; texts that have it, or several spaces in a row, are cut by BETWEEN.
-RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
-RARE_ASCII = [c for c in RARE if c.isascii()]
-
-
-def pieces_of(text: str) -> list[str]:
-    """The text in parts that tokens do not cross, single spaces between them left out; no part but the first starts with white space."""
-    odd = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
-    odd = odd or any(c in text for c in (RARE_ASCII if text.isascii() else RARE))
-    return BETWEEN.split(text) if odd else text.split(" ")
+# White space as str.isspace() has it, in UTF-8: one byte, two and three.
+_WHITE = np.zeros(256, bool)
+_WHITE[[c for c in range(128) if chr(c).isspace()]] = True
+_WIDE = [chr(c).encode() for c in range(128, 0x3001) if chr(c).isspace()]
+_TWO, _THREE = (np.array([int.from_bytes(w) for w in _WIDE if len(w) == n], np.uint32) for n in (2, 3))
+
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def piece_starts(buf: np.ndarray, offsets: np.ndarray, marks: bool = False) -> np.ndarray:
+    """Where the parts begin that tokens do not cross: texts without their empty ones, every single space between two other
+    characters that are not white space, and if `marks` says so, punctuation after a letter (both ASCII), where a byte-level file's
+    own pattern cuts. A token never starts before such a place and ends after it."""
+    begin = np.zeros(len(buf) + 1, bool)
+    begin[offsets] = True
+    at = np.flatnonzero(buf == 32)
+    at = at[~(begin[at] | begin[at + 1])]
+    before, after = buf[at - 1], buf[at + 1]
+    cut = ~(_WHITE[before] | _WHITE[after])
+    wide = np.flatnonzero(cut & ((before >= 128) | (after >= 128)))
+    if len(wide):
+        # past the text's end lies no part of its own characters; before its start neither
+        near = np.concatenate([np.zeros(3, np.uint8), buf, np.zeros(3, np.uint8)]).astype(np.uint32)
+        p = at[wide] + 3
+        left, right = ((near[q] << 16) | (near[q + 1] << 8) | near[q + 2] for q in (p - 3, p + 1))
+        cut[wide] = ~(np.isin(left & 0xFFFF, _TWO) | np.isin(left, _THREE) | np.isin(right >> 8, _TWO) | np.isin(right, _THREE))
+    begin[at[cut]] = True
+    if marks:
+        begin[1:-1] |= _LETTER[buf[:-1]] & _MARK[buf[1:]]
+    return np.flatnonzero(begin[:-1])
 
 
 def byte_pairs(tokenizer) -> object | None:
@@ -85,7 +105,7 @@ def encoder_of(name: str) -> Encoder:
 
 
 class Encoder:
-    """Token ids of many texts; ids of a word (with the space before it) are computed once and kept for later texts."""
+    """Token ids of many texts; ids of a word, that is a part as `piece_starts` has it, are computed once and kept for later texts."""
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,8 +123,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        # number 0 stands for the end of a text; the first part of a text is known by a space and the part, others by the part
-        self.known = {"": 0}
+        # number 0 stands for the end of a text; a word is known by its bytes, the space before it among them
+        self.known = {b"": 0}
         self.ids, self.used = np.full(1 << 18, END_ID, np.uint32), 1
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.sizes[0] = 1
@@ -135,7 +155,7 @@ class Encoder:
         self.sizes[numbers] = sizes
         self.used += len(ids)
 
-    def _number(self, words: list[str]) -> np.ndarray:
+    def _number(self, words: list[bytes]) -> np.ndarray:
         """Numbers for words that have none."""
         first = len(self.known)
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
@@ -144,50 +164,62 @@ class Encoder:
             self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.sizes, self.again))
         return np.arange(first, len(self.known))
 
-    def _learn(self, words: list[str], alone: set[str]) -> None:
-        """Words that follow a single space and end before one are encoded in one go and cut by their bytes, those of `alone` one by one."""
-        odd = [w for w in words if w in alone]
-        if odd:
-            found = [self._ids(w[1:] if w[0] == " " else " " + w) for w in odd]
-            self._append(self._number(odd), np.concatenate(found), np.array([len(x) for x in found]))
-            words = [w for w in words if w not in alone]
-        if words:
-            numbers = self._number(words)
-            text = " " + " ".join(words)
-            raw = text.encode()
-            at = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
-            # a word may hold spaces of its own
-            ends = np.append(at[1:], len(raw)) if len(at) == len(words) else np.cumsum([1 + len(w.encode()) for w in words])
-            ids = self._ids(text)
-            self._append(numbers, ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1, prepend=0))
+    def _learn(self, words: list[bytes], alone: np.ndarray) -> np.ndarray:
+        """Numbers of new words. Words that follow a single space and end before one are encoded in one go and cut by their bytes, so
+        are those that start with punctuation, behind a letter each; those marked in `alone` are encoded one by one."""
+        numbers = self._number(words)
+        spaced = np.fromiter((w[0] == 32 for w in words), bool, len(words))
+        if alone.any():
+            found = [self._ids(words[i].decode()) for i in np.flatnonzero(alone).tolist()]
+            self._append(numbers[alone], np.concatenate(found), np.array([len(x) for x in found]))
+        for which, before in ((spaced & ~alone, b""), (~spaced & ~alone, b" a")):
+            if which.any():
+                some = [words[i] for i in np.flatnonzero(which).tolist()]
+                ids = self._ids((before + before.join(some)).decode())
+                lengths, at = np.fromiter(map(len, some), np.int64, len(some)), np.cumsum(self.bytes[ids])
+                ends = np.cumsum(lengths + len(before))
+                first = np.searchsorted(at, ends - lengths, "right")
+                sizes = np.searchsorted(at, ends, "right") - first
+                if before:
+                    ids = ids[np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)]
+                self._append(numbers[which], ids, sizes)
+        return numbers
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text, and where each text starts."""
+        raw = [t.encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(bytearray().join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    def encode_bytes(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` for texts in one buffer, each from its offset to the next one."""
         if len(self.known) > CACHE:
             self.forget()
-        words: list[str] = []
-        ends, alone = [], set()
-        for text in texts:
-            if text:
-                first = len(words)
-                words += pieces_of(text)
-                words[first] = " " + words[first]
-                alone.add(words[first])
-                if text[-1].isspace():
-                    alone.add(words[-1])
-            words.append("")
-            ends.append(len(words))
-        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0).tolist()
-        self.again[at[at >= 0] if new else at] = True
+        starts = piece_starts(buf, offsets, self.pairs is not None)
+        first, edges = np.searchsorted(starts, offsets), np.append(starts, len(buf))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(buf)]).dictionary_encode()
+        of, words = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        fresh = numbers < 0
+        self.again[numbers[~fresh]] = True
+        new = np.flatnonzero(fresh).tolist()
         if new:
-            met = [words[i] for i in new]
-            self._learn(list(dict.fromkeys(met)), alone)
-            at[new] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
+            # a first part follows no space; a last one that ends in white space would be read together with the space after it
+            alone, some = np.zeros(len(words), bool), np.flatnonzero(np.diff(first))
+            alone[of[first[some]]] = True
+            last = np.unique(of[first[some + 1] - 1])
+            last = last[fresh[last]]
+            alone[last] |= np.array([words[i].decode()[-1].isspace() for i in last.tolist()], bool)
+            numbers[new] = self._learn([words[i] for i in new], alone[new])
+        # a word's number for each part, and 0 after each text
+        closing = first[1:] + np.arange(len(offsets) - 1)
+        inside = np.ones(len(of) + len(closing), bool)
+        inside[closing] = False
+        at = np.zeros(len(inside), np.int64)
+        at[inside] = numbers[of]
         sizes = self.sizes[at]
         total = np.cumsum(sizes)
         ids = self.ids[np.arange(total[-1] if len(total) else 0) + np.repeat(self.starts[at] - (total - sizes), sizes)]
-        return ids, np.concatenate([[0], total[np.array(ends, np.int64) - 1]])
+        return ids, np.concatenate([[0], total[closing]])
 
 
 _NONE = np.uint64((1 << 64) - 1)
@@ -206,7 +238,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Reco
         encoder = encoder or encoder_of(name)
         for chunk in text_chunks(batch.column("text")):
             rows = slice(chunk.first, chunk.first + chunk.docs)
-            ids, bounds = encoder.encode([t or "" for t in batch.column("text")[rows].to_pylist()])
+            ids, bounds = encoder.encode_bytes(chunk.buf, chunk.offsets)
             raw = memoryview(ids.astype("<u4").tobytes())
             words = Words(chunk, ALNUM)
             hashes = words.hashes()
@@ -238,17 +270,27 @@ def _tokenized(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Reco
 
 
 _ZEROS = bytes(4 * BLOCK)
-_MOVED = zlib.crc32(_ZEROS)
-
-
-def joined_checksum(blocks: list[int], tokens: int) -> int:
-    """CRC-32 of consecutive blocks of BLOCK tokens, the last one shorter if `tokens` says so."""
-    total = blocks[0]
-    for i, block in enumerate(blocks[1:], 1):
-        size = 4 * min(BLOCK, tokens - i * BLOCK)
-        zeros = _ZEROS[:size]
-        total = zlib.crc32(zeros, total) ^ (_MOVED if size == len(_ZEROS) else zlib.crc32(zeros)) ^ block
-    return total
+# A checksum after one more block of zeros is a sum (by exclusive or) over the bytes of the checksum before.
+_MOVED = np.array([[zlib.crc32(_ZEROS, byte << 8 * i) ^ zlib.crc32(_ZEROS) for byte in range(256)] for i in range(4)], np.uint32)
+
+
+def joined_checksums(blocks: np.ndarray, first: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """CRC-32 of pieces of so many tokens each, put together from the checksums of consecutive blocks of BLOCK tokens, from place
+    `first` of `blocks` on; a piece's last block may be shorter."""
+    number, rest = -(-tokens // BLOCK), tokens % BLOCK
+    order = np.argsort(-(tokens // BLOCK), kind="stable")
+    at, whole = first[order], (tokens // BLOCK)[order]
+    total = blocks[at]
+    for i in range(1, int(whole.max(initial=0))):
+        going = int(np.searchsorted(-whole, -i))
+        t = total[:going]
+        total[:going] = _MOVED[0][t & 255] ^ _MOVED[1][t >> 8 & 255] ^ _MOVED[2][t >> 16 & 255] ^ _MOVED[3][t >> 24] ^ blocks[at[:going] + i]
+    out = np.empty(len(first), np.int64)
+    out[order] = total
+    for p in np.flatnonzero((rest > 0) & (number > 1)).tolist():
+        zeros = _ZEROS[: 4 * int(rest[p])]
+        out[p] = zlib.crc32(zeros, int(out[p])) ^ zlib.crc32(zeros) ^ int(blocks[first[p] + number[p] - 1])
+    return out
 
 
 class Index:
@@ -329,13 +371,16 @@ def _shard_rows(rows: list[tuple], first: int) -> tuple[list[tuple], int]:
             rests.append(total % WINDOW)
     if packable:
         index = Index([np.frombuffer(r[4], np.uint32) for r in packable], [np.frombuffer(r[5], np.uint32) for r in packable])
-        blocks = [np.frombuffer(r[3], np.uint32).tolist() for r in packable]
-        for sequence in packed_shard(rests, index):
+        blocks = np.frombuffer(b"".join(r[3] for r in packable), np.uint32)
+        held = np.cumsum([0, *(len(r[3]) // 4 for r in packable)])
+        found = packed_shard(rests, index)
+        d, start, length = np.array([piece for sequence in found for piece in sequence], np.int64).T
+        checksums = iter(joined_checksums(blocks, held[d] + start // BLOCK, length).tolist())
+        for sequence in found:
             offset = 0
             for d, start, length in sequence:
-                part = blocks[d][start // BLOCK : -(-(start + length) // BLOCK)]
                 doc, total, windows = packable[d][:3]
-                out.append((doc, len(windows) * WINDOW + start, length, joined_checksum(part, length), total, first, offset))
+                out.append((doc, len(windows) * WINDOW + start, length, next(checksums), total, first, offset))
                 offset += length
             first += 1
     return out, first
