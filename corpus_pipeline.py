@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearlens.llm import decontaminate, jaccard, packing, pii, toxicity
-from wearlens.session import written
+from wearlens.session import written, written_alone
 
 #: Classifiers and retrieval are not expressible in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
@@ -37,11 +37,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents: the first one of the smallest id; a null id counts as the largest."""
     rows = _numbered(docs)
-    linked = jaccard.linked(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     doc_id = F.col(f"column_{docs.columns.index('doc_id')}")
     order = F.struct(doc_id.isNull(), doc_id, ROW)
-    first = linked.join(rows.select(ROW, doc_id), ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW))
-    return rows.join(first.select(ROW), ROW, "left_semi").drop(ROW).toDF(*docs.columns)
+
+    def first() -> DataFrame:
+        linked = jaccard.linked(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+        return linked.join(rows.select(ROW, doc_id), ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW)).select(ROW)
+
+    # numbers alone are kept of what the search has written: its sets and postings would lie there up to the last stage
+    return rows.join(written_alone(spark, first, "first-rows"), ROW, "left_semi").drop(ROW).toDF(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +79,15 @@ STAGES = [
 ]
 
 
+def _left(spark: SparkSession, sf_dir: str, done: int) -> DataFrame:
+    """The documents after so many stages, written; what the stages have read and written before is removed by then."""
+    if not done:
+        return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name, stage = STAGES[done - 1]
+    return written_alone(spark, lambda: stage(spark, _left(spark, sf_dir, done - 1), sf_dir), f"stage-{name}")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the table of documents, one after another; each is written before the next one reads it. No rows
     give no rows; extra columns are carried up to the last stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, _left(spark, sf_dir, len(STAGES) - 1), sf_dir)

@@ -72,3 +72,27 @@ def test_odd_documents(spark, tmp_path):
         spark.read.parquet(f"{helpers.SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in found} == {1, 2, 3, None}
+
+
+def test_stages_leave_no_tables_of_their_searches(spark, tmp_path):
+    """Of the near-copy search only the numbers of the rows that stay, of the whole run only what the last stage reads."""
+    from pyspark.sql import functions as F
+
+    from wearlens import session
+
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"one {words}"), (2, f"one {words}"), (3, f"{words} three"), (4, "other words altogether")]
+    docs = helpers.texts(spark, rows).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{helpers.SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def made_by(make):
+        made = session._MADE.setdefault(spark.sparkContext.applicationId, [])
+        before = set(made)
+        found = {r.doc_id for r in make().collect()}
+        return found, {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made if p not in before}
+
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert made_by(lambda: corpus_pipeline.drop_near_copies(spark, read, str(tmp_path))) == ({1, 4}, {"numbered", "first-rows"})
+    assert made_by(lambda: corpus_pipeline.run(spark, str(tmp_path))) == ({1, 4}, {"stage-pii", "tokenized"})
