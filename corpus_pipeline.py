@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearlens.llm import decontaminate, jaccard, packing, pii, toxicity
+from wearlens.llm.spread import IN_BATCH, IN_SCAN, limit_rows
 from wearlens.session import written, written_alone
 
 #: Classifiers and retrieval are not expressible in SQL; tests/llm/test_pipeline.py has a brute-force version.
@@ -26,6 +30,20 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(_by_place(docs).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def few_texts(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with few whole texts in a batch, for Python as for the readers of tables. The settings stay in the session, since the
+    stage's rows are made when its caller writes them; smaller ones are kept."""
+
+    @functools.wraps(stage)
+    def limited(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key in (IN_BATCH, IN_SCAN):
+            limit_rows(docs.sparkSession, key)
+        return stage(spark, docs, sf_dir)
+
+    return limited
+
+
+@few_texts
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels of two thirds of the ids."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -34,6 +52,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").drop("toxicity", "predicted").toDF(*docs.columns)
 
 
+@few_texts
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents: the first one of the smallest id; a null id counts as the largest."""
     rows = _numbered(docs)
@@ -48,6 +67,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(written_alone(spark, first, "first-rows"), ROW, "left_semi").drop(ROW).toDF(*docs.columns)
 
 
+@few_texts
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     rows = _numbered(docs)
@@ -55,6 +75,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return rows.join(found.where("contaminated").select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW).toDF(*docs.columns)
 
 
+@few_texts
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with marks in place of personal data; a null text stays null, and n_chars follows the text."""
     found = pii.private_spans(_by_place(docs))
@@ -64,6 +85,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumns({number: chars, "text": text}).drop("base", "spans", "redacted").toDF(*docs.columns)
 
 
+@few_texts
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents' tokens in sequences of one window: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. Rows of equal or null ids are documents of their own."""

@@ -137,3 +137,12 @@ def test_checksums_of_pieces_from_blocks():
     wanted = [zlib.crc32(ids[32 * a : 32 * a + n].tobytes()) for a, n in zip(first.tolist(), tokens.tolist(), strict=True)]
     assert packing.joined_checksums(blocks, first, tokens).tolist() == wanted
     assert packing.joined_checksums(blocks, first[:0], tokens[:0]).tolist() == []
+
+
+def test_encoders_go_when_texts_are_tokenized():
+    """The step behind tokenizing lets go of what the worker process has kept for it."""
+    first = packing.encoder_of(packing.TOKENIZER)
+    assert packing.encoder_of(packing.TOKENIZER) is first
+    list(packing._pack(iter(())))
+    assert packing.encoder_of(packing.TOKENIZER) is not first
+    packing.forget_encoders()

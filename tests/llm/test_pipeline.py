@@ -96,3 +96,47 @@ def test_stages_leave_no_tables_of_their_searches(spark, tmp_path):
     read = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert made_by(lambda: corpus_pipeline.drop_near_copies(spark, read, str(tmp_path))) == ({1, 4}, {"numbered", "first-rows"})
     assert made_by(lambda: corpus_pipeline.run(spark, str(tmp_path))) == ({1, 4}, {"stage-pii", "tokenized"})
+
+
+def test_texts_come_in_small_batches(spark, tmp_path, monkeypatch):
+    """Also where the caller writes a stage's rows, and where the near-copy search counts shingles."""
+    from wearlens.llm import decontaminate, jaccard, toxicity
+
+    def small(module, name, rows):
+        before = getattr(module, name)
+
+        def checked(given, *more):
+            for batch in [given] if rows else (given := list(given)):
+                assert len(batch) <= 1000
+            return before(given if rows else iter(given), *more)
+
+        monkeypatch.setattr(module, name, checked)
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    usual = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        for module in (toxicity, decontaminate, pii):
+            small(module, "text_chunks", True)
+        for name in ("_sets", "_counters", "_postings"):
+            small(jaccard, name, False)
+        rows = [(i, f"text {i} of many " + " ".join(f"w{i + j}" for j in range(6))) for i in range(2500)]
+        docs = helpers.texts(spark, rows).coalesce(1).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars")
+        spark.createDataFrame([("b1", "words of no text")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        spark.read.parquet(f"{helpers.SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            for k in keys:
+                spark.conf.unset(k)
+            found = stage(spark, docs, str(tmp_path))
+            found.write.parquet(f"{tmp_path}/{name}")
+            assert spark.read.parquet(f"{tmp_path}/{name}").count() == 2500
+        for k in keys:
+            spark.conf.unset(k)
+        assert jaccard.linked(docs).count() == 2500
+        spark.conf.set(keys[0], "300")  # smaller ones are kept
+        corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+        assert spark.conf.get(keys[0]) == "300"
+    finally:
+        for k, v in zip(keys, usual, strict=True):
+            spark.conf.set(k, v)

@@ -104,6 +104,12 @@ def encoder_of(name: str) -> Encoder:
     return getattr(kept, name)
 
 
+def forget_encoders() -> None:
+    """Encoders and their words would lie in the worker process through all steps that come later."""
+    sys.modules.pop("_kept_encoders", None)
+    give_back()
+
+
 class Encoder:
     """Token ids of many texts; ids of a word, that is a part as `piece_starts` has it, are computed once and kept for later texts."""
 
@@ -387,7 +393,7 @@ def _shard_rows(rows: list[tuple], first: int) -> tuple[list[tuple], int]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    give_back()  # what tokenizing has freed
+    forget_encoders()  # all texts are tokenized by now
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 32
     held: list[tuple] = []
